@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +30,24 @@ def build_session(app: str = "dyadica", cores: str = "*", **conf: str) -> SparkS
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The archive is served by the driver; workers that have the package installed prefer theirs.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_dyadica_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="dyadica-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    here = Path(__file__).resolve().parent
+    sc.addPyFile(shutil.make_archive(f"{folder}/dyadica", "zip", here.parent, here.name))
+    sc._dyadica_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one parquet table of a data directory; pruning and pushdown stay with Catalyst."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +78,7 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
 
     Used before CPU-heavy Python stages only; a scan of many splits is returned as it is.
     """
+    ship(df.sparkSession)
     want = per_core * df.sparkSession.sparkContext.defaultParallelism
     have = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df.repartition(want) if have < want // per_core else df
