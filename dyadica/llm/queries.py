@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, leakage, shared_spans, term_frequency
+from . import consensus, encoding, grouped_splits, leakage, shared_spans, similarity_clusters, term_frequency
 
 
 def _p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,47 @@ counts AS (SELECT field, term, CAST(count(*) AS BIGINT) AS occurrences,
 """
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of responses that say much the same."""
+    return similarity_clusters.cluster_members(table(spark, sf_dir, "response_vectors"), "vec_id", "vector")
+
+
+def p2_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster with its size and most typical responses."""
+    return similarity_clusters.cluster_profiles(table(spark, sf_dir, "response_vectors"), "vec_id", "vector")
+
+
+def _p3(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return consensus.consensus(table(spark, sf_dir, "teacher_labels"), ["cell_key", "dimension"], "teacher_id", "score", "labelled_at")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of each cell and dimension."""
+    return _p3(spark, sf_dir)[0].select("cell_key", "dimension", "level")
+
+
+def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the level's probability and the share of votes for it."""
+    return _p3(spark, sf_dir)[0]
+
+
+def p3_teachers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability of each teacher."""
+    return _p3(spark, sf_dir)[1]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each cell."""
+    return grouped_splits.linked_groups(table(spark, sf_dir, "attempt_log"), "cell_key", "persona_id", "prompt_id")
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of each cell, framings balanced too."""
+    log = table(spark, sf_dir, "attempt_log")
+    framing = log.groupBy("cell_key").agg(F.max((F.col("prompt_type") == "original_post").cast("double")).alias("value"))
+    return grouped_splits.assign_splits(p5_found(spark, sf_dir), "cell_key", framing)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encoding.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -81,6 +122,13 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
+    "p2_found": p2_found,
+    "p2_profiles": p2_profiles,
+    "p3_found": p3_found,
+    "p3_agreement": p3_agreement,
+    "p3_teachers": p3_teachers,
+    "p5_found": p5_found,
+    "p5_splits": p5_splits,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_items": p9_items,

@@ -1,10 +1,12 @@
 """Frequency of every distinct value or term, with last-seen counters.
 
-Tokens are hash-partitioned by (field, term, slice of the record id) and ordered by record
-inside each partition. One pass then keeps, per term, the occurrences, the number of records
-and the last record seen: a record counts when it differs from the last one. No set of
-records is ever held. The slices split a hot term over many tasks; as all rows of a record
-fall into one slice, the slices' counts just add up.
+Rows are hash-partitioned by record and ordered by record inside each partition. One pass
+then keeps, per term, the occurrences, the number of records and the last record seen: a
+record counts when it differs from the last one. No set of records is ever held, and only
+the counters of a partition's terms are shuffled. A record that holds very many rows is
+split by term instead: its tokens are hash-partitioned by (field, term, slice of the record
+id) and ordered by record, and the same counters run over them. As a record takes one of
+the two ways, and a (term, record) pair falls into one partition, the counts just add up.
 """
 
 from __future__ import annotations
@@ -18,11 +20,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 WORD = re.compile("[a-z0-9]+")
 GAPS = re.compile("[^a-z0-9]+")
 LABEL_LEAD = "the user is "
 #: How many tasks the tokens of one term can be split over.
 SLICES = 16
+#: A record with more rows than this, and than a thousandth of all, is split by term.
+HOT_ROWS = 50_000
+#: Counters are handed on, at a record's end, when a task holds this many.
+MOST_COUNTERS = 500_000
 RARE_BELOW = 3
 COMMON_SHARE = 0.1
 
@@ -44,6 +52,44 @@ def word_terms(text: str | None) -> list[str]:
 TOKENISERS = {"value": value_term, "words": word_terms}
 
 
+def _by_record(fields: list[tuple[str, str]]):
+    """Count rows that come ordered by record; rows without a record add occurrences only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters: dict[tuple[str, str], list] = {}
+        before = None
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for row in zip(*columns):
+                rid = row[0]
+                if len(counters) > MOST_COUNTERS and rid != before:
+                    yield _flushed(counters)
+                    counters = {}
+                before = rid
+                for (field, kind), text in zip(fields, row[1:]):
+                    terms = TOKENISERS[kind](text)
+                    if terms:
+                        terms.append("")
+                    for term in terms:
+                        c = counters.get((field, term))
+                        if c is None:
+                            counters[field, term] = [1, int(rid is not None), rid]
+                        else:
+                            c[0] += 1
+                            if rid is not None and c[2] != rid:
+                                c[1] += 1
+                                c[2] = rid
+        if counters:
+            yield _flushed(counters)
+
+    return run
+
+
+def _flushed(counters: dict[tuple[str, str], list]) -> pa.RecordBatch:
+    values = list(counters.values())
+    return _counted(list(counters), np.array([v[0] for v in values]), np.array([v[1] for v in values]))
+
+
 def _tokens(fields: list[tuple[str, str]]):
     """Map side: tokenise, and combine equal (field, term, record) of a batch before the shuffle.
 
@@ -138,13 +184,23 @@ def term_counts(df: DataFrame, record: str, fields: dict[str, str]) -> DataFrame
     pairs = list(fields.items())
     rid = F.when(F.col(f"`{record}`").isNotNull(), F.xxhash64(F.col(f"`{record}`").cast("string")))
     lean = df.select(rid.alias("rid"), *[F.col(f"`{c}`").cast("string").alias(f"f{i}") for i, c in enumerate(fields)])
-    tokens = lean.mapInArrow(_tokens(pairs), "field string, term string, rid long, n long")
-    ordered = tokens.repartition("field", "term", F.pmod(F.coalesce("rid", F.lit(0)), F.lit(SLICES))).sortWithinPartitions(
-        "field", "term", "rid"
-    )
-    sliced = ordered.mapInArrow(_last_seen, "field string, term string, occurrences long, records long")
-    counts = sliced.groupBy("field", "term").agg(
-        F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")
+    per = lean.filter("rid is not null").groupBy("rid").count()
+    total = per.agg(F.sum("count")).first()[0] or 0
+    # At most a thousand records can hold more than a thousandth of the rows each.
+    least = max(HOT_ROWS, total // 1000)
+    hot = [r["rid"] for r in per.filter(F.col("count") > least).collect()] if total > HOT_ROWS else []
+    is_hot = F.coalesce(F.col("rid").isin(hot), F.lit(False)) if hot else F.lit(False)
+    texts = [F.col(f"f{i}") for i in range(len(pairs))]
+    spot = F.coalesce("rid", F.xxhash64(*texts))  # rows without a record go anywhere
+    ordered = lean.filter(~is_hot).repartition(spot).sortWithinPartitions("rid")
+    counted = "field string, term string, occurrences long, records long"
+    partial = ordered.mapInArrow(_by_record(pairs), counted)
+    if hot:
+        tokens = lean.filter(is_hot).mapInArrow(_tokens(pairs), "field string, term string, rid long, n long")
+        sliced = tokens.repartition("field", "term", F.pmod("rid", F.lit(SLICES))).sortWithinPartitions("field", "term", "rid")
+        partial = partial.union(sliced.mapInArrow(_last_seen, counted))
+    counts = cut_lineage(
+        partial.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     )
     # One row per field: its records with any term. Bounded by the number of fields.
     totals = counts.filter("term = ''").select("field", F.col("records").alias("field_records"))
