@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import consensus, encoding, grouped_splits, leakage, shared_spans, similarity_clusters, term_frequency
+from . import broken_pairs, consensus, encoding, grouped_splits, leakage, personal_info
+from . import shared_spans, similarity_clusters, term_frequency, truncation
 
 
 def _p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,17 @@ def p3_teachers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p3(spark, sf_dir)[1]
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text and each kind of personal information in it."""
+    return personal_info.kinds_found(table(spark, sf_dir, "personas"), table(spark, sf_dir, "prompts"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with typed placeholders."""
+    texts = personal_info.message_texts(table(spark, sf_dir, "personas"), table(spark, sf_dir, "prompts"))
+    return personal_info.scan_texts(texts, personal_info.TEXT_KEYS, "text").select(*personal_info.TEXT_KEYS, F.col("redacted").alias("text"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of each cell."""
     return grouped_splits.linked_groups(table(spark, sf_dir, "attempt_log"), "cell_key", "persona_id", "prompt_id")
@@ -82,6 +94,25 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_splits.assign_splits(p5_found(spark, sf_dir), "cell_key", framing)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective replies with their defect."""
+    replies, prompts = table(spark, sf_dir, "parsed_probes"), table(spark, sf_dir, "prompts")
+    return broken_pairs.broken_pairs(replies, prompts, "response_id", "response", "alias", "prompt_id", "prompt_type", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that break off."""
+    return truncation.cut_values(table(spark, sf_dir, "parsed_probes"), "response_id", "alias", "response").select("response_id", "alias")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each model's replies break off, with its limit."""
+    replies = table(spark, sf_dir, "parsed_probes")
+    shares = truncation.cut_shares(replies, p7_found(spark, sf_dir), "response_id", "alias")
+    specs = table(spark, sf_dir, "model_specs").select("alias", "max_output_tokens")
+    return shares.join(specs, "alias", "left")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encoding.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -127,8 +158,13 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_agreement": p3_agreement,
     "p3_teachers": p3_teachers,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_shares": p7_shares,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_items": p9_items,
