@@ -52,7 +52,7 @@ def stratified_null(df: DataFrame, stratum: str, level: str, value: str) -> Data
 def cluster_null(df: DataFrame, cluster: str, level: str, value: str) -> DataFrame:
     """Per level: the null of its sum when levels are shuffled across whole clusters."""
     per = df.filter(F.col(value).isNotNull()).groupBy(cluster).agg(F.min(level).alias(level), F.sum(F.col(value).cast("double")).alias("_s"))
-    return stratified_null(per.withColumn("_all", F.lit(1)), "_all", level, "_s")
+    return stratified_null(per.withColumn("_one", F.lit(1)), "_one", level, "_s")
 
 
 def _scored(df: DataFrame) -> DataFrame:
