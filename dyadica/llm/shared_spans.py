@@ -6,7 +6,9 @@ windows inside a passage-long one, that with the least hash. Two equal passages
 same, so a window whose representative occurs in one record only cannot be repeated. Only
 windows with a repeated representative are hashed at full length (twice, 128 bits in all),
 counted in Spark, and merged into maximal intervals. No candidate is capped, no pair is
-formed: groups are aggregated to a least and a greatest record id.
+formed: groups are aggregated map-side to a least and a greatest record id. Where a window
+stands in very many records, the join that finds it back is one that adaptive execution
+splits, as its other side has one row per window. Texts are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -25,8 +27,6 @@ PASSAGE = 400
 GRAM = 200
 #: Long texts are hashed in overlapping segments of this many characters.
 SEGMENT = 400_000
-#: Tasks that the rows of one repeated representative are spread over.
-SALTS = 16
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -105,7 +105,7 @@ def _anchors(passage: int, gram: int):
                     at.append(np.full(len(own), i))
             if hashes:
                 digests = batch.column(0).take(pa.array(np.concatenate(at)))
-                yield pa.RecordBatch.from_arrays([digests, pa.array(np.concatenate(hashes))], names=["digest", "anchor"])
+                yield pa.RecordBatch.from_arrays([digests, pa.array(np.concatenate(hashes))], names=["text_id", "anchor"])
 
     return run
 
@@ -113,7 +113,7 @@ def _anchors(passage: int, gram: int):
 def _windows(passage: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (raw, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            for i, (raw, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 keep = np.sort(np.array(wanted, np.int64).view(np.uint64))
                 for offset, part in segments(raw, passage):
                     least = representatives(part, passage, gram)
@@ -121,54 +121,40 @@ def _windows(passage: int, gram: int):
                     starts = np.flatnonzero(keep[spot] == least)
                     if len(starts):
                         a, b = (window_hashes(prefix_sums(part, x), passage, x)[starts].view(np.int64) for x in _BASES)
-                        digests = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(starts), np.int64)))
+                        own = [batch.column(k).slice(i, 1).take(pa.array(np.zeros(len(starts), np.int64))) for k in (0, 1)]
                         yield pa.RecordBatch.from_arrays(
-                            [digests, pa.array(a), pa.array(b), pa.array(starts + offset)], names=["digest", "a", "b", "start"]
+                            [*own, pa.array(a), pa.array(b), pa.array(starts + offset)], names=["text_id", "key", "a", "b", "start"]
                         )
 
     return run
 
 
 def shared_windows(df: DataFrame, key: str, text: str, passage: int = PASSAGE, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(documents, windows): (key, digest, n_chars, first_key, last_key) of each text that is
-    long enough, and (digest, start) of each of its windows found under another key too.
+    """(documents, windows): (key, text_id, n_chars, first_key, last_key) of each text that is
+    long enough, and (text_id, start) of each of its windows found under another key too.
 
-    Texts with more than one key are exact copies, shared as a whole; they are not windowed.
+    Texts with more than one key are exact copies, shared as a whole; one record of them is
+    windowed, for what third records share with them.
     """
     own = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("t"))
     own = own.filter(F.col("key").isNotNull() & (F.length("t") >= passage))
-    docs = own.select("key", F.md5(F.col("t").cast("binary")).alias("digest"), F.length("t").alias("n_chars"), F.col("t").cast("binary").alias("t"))
-    groups = docs.groupBy("digest").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
-    anchors = spread(docs.select("digest", "t")).mapInArrow(_anchors(passage, gram), "digest string, anchor long")
-    # Copies of a text count once. Salted by text, so that a hot anchor is split over tasks.
-    anchors = cut_lineage(anchors.groupBy("anchor", "digest").agg(F.lit(1).alias("one")).drop("one"))
+    raw = F.col("t").cast("binary")
+    docs = own.select("key", F.xxhash64(raw, F.lit(1)).alias("text_id"), F.length("t").alias("n_chars"), raw.alias("t"))
+    groups = docs.groupBy("text_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+    anchors = spread(docs.select("text_id", "t")).mapInArrow(_anchors(passage, gram), "text_id long, anchor long")
+    # Copies of a text count once, combined before the shuffle.
+    anchors = cut_lineage(anchors.distinct())
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = anchors.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
-    wanted = (
-        salted.join(repeated.withColumn("salt", salts), ["anchor", "salt"], "left_semi")
-        .groupBy("digest")
-        .agg(F.collect_list("anchor").alias("wanted"))
-    )
-    # One record stands for its copies; which are shared as they are.
-    single = groups.filter(F.col("first_key") == F.col("last_key"))
-    standing = wanted.join(groups, "digest")
-    todo = docs.join(standing.withColumnRenamed("first_key", "key"), ["digest", "key"]).dropDuplicates(["digest"])
-    windows = todo.select("digest", "t", "wanted").mapInArrow(_windows(passage, gram), "digest string, a long, b long, start long")
-    windows = cut_lineage(windows.join(groups, "digest"))
-    hit = (
-        windows.groupBy("a", "b")
-        .agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"))
-        .filter("lo <> hi")
-        .select("a", "b")
-    )
-    spotted = (
-        windows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
-        .join(hit.withColumn("salt", salts), ["a", "b", "salt"], "left_semi")
-        .select("digest", "start")
-    )
-    del single
-    return docs.drop("t").join(groups, "digest"), spotted
+    wanted = anchors.join(repeated, "anchor", "left_semi").groupBy("text_id").agg(F.collect_list("anchor").alias("wanted"))
+    # One record stands for its copies, which are shared as they are.
+    standing = wanted.join(groups, "text_id").select("text_id", F.col("first_key").alias("key"), "wanted")
+    todo = docs.join(standing, ["text_id", "key"]).dropDuplicates(["text_id"])
+    kind = docs.schema["key"].dataType.simpleString()
+    windows = todo.select("text_id", "key", "t", "wanted").mapInArrow(_windows(passage, gram), f"text_id long, key {kind}, a long, b long, start long")
+    windows = cut_lineage(windows)
+    hit = windows.groupBy("a", "b").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("a", "b")
+    spotted = windows.join(hit, ["a", "b"], "left_semi").select("text_id", "start")
+    return docs.drop("t").join(groups, "text_id"), spotted
 
 
 def shared_spans(df: DataFrame, key: str, text: str, passage: int = PASSAGE) -> DataFrame:
@@ -180,14 +166,14 @@ def shared_spans(df: DataFrame, key: str, text: str, passage: int = PASSAGE) ->
     two keys are shared as a whole. Other columns play no part, whatever their names.
     """
     docs, windows = shared_windows(df, key, text, passage)
-    w = W.partitionBy("digest").orderBy("start")
+    w = W.partitionBy("text_id").orderBy("start")
     islands = (
         windows.withColumn("fresh", (F.col("start") > F.lag("start", 1, -passage - 1).over(w) + passage).cast("int"))
         .withColumn("island", F.sum("fresh").over(w))
-        .groupBy("digest", "island")
+        .groupBy("text_id", "island")
         .agg(F.min("start").alias("start"), (F.max("start") + passage).alias("end"))
     )
-    part = docs.filter("first_key = last_key").join(islands, "digest").select("key", "start", "end")
+    part = docs.filter("first_key = last_key").join(islands, "text_id").select("key", "start", "end")
     whole = docs.filter("first_key <> last_key").select("key", F.lit(0).cast("long").alias("start"), F.col("n_chars").cast("long").alias("end"))
     both = part.unionByName(whole).distinct()
     return both.select(F.col("key").alias(key), "start", "end", (F.col("end") - F.col("start")).alias("n_chars"))
@@ -196,8 +182,8 @@ def shared_spans(df: DataFrame, key: str, text: str, passage: int = PASSAGE) ->
 def shared_records(df: DataFrame, key: str, text: str, passage: int = PASSAGE) -> DataFrame:
     """(key): each record with at least one passage that stands in another record."""
     docs, windows = shared_windows(df, key, text, passage)
-    some = windows.select("digest").distinct()
-    part = docs.filter("first_key = last_key").join(some, "digest", "left_semi").select("key")
+    some = windows.select("text_id").distinct()
+    part = docs.filter("first_key = last_key").join(some, "text_id", "left_semi").select("key")
     whole = docs.filter("first_key <> last_key").select("key")
     return part.unionByName(whole).distinct().withColumnRenamed("key", key)
 
