@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, trimmed
 
 #: Java patterns. Ideographs and kana count as words of one character.
-TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|(?:(?![\p{IsHan}\p{IsHiragana}\p{IsKatakana}])[\p{L}\p{M}\p{N}'’-])+"
+TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}\p{N}'’\-&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+"
 ENDED = r"(?:[.!?…][\"”»’'*_)\]~]*|[。！？][」』”\"）]*)$"
 BREAK = r"(?<=[.!?…])(?=[\"”»’'*_)\]]{0,3}\s)[\"”»’'*_)\]]{0,3}\s+|(?<=[。！？])|[\r\n]+"
 DAMAGED = r"�+$"
@@ -44,10 +44,9 @@ def _features(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     ended = F.col("t").rlike(ENDED) & ~F.col("damaged")
     # A quote or bracket opened in the last sentence and not closed there keeps it open.
     opened = (F.size(F.split(last, r"[(\[«“]")) > F.size(F.split(last, r"[)\]»”]"))) & ~last.rlike(r"[:;]\($")
-    return out.select(
-        "key", "source", "raw_source", "n", "damaged", "s", (ended & ~F.coalesce(opened, F.lit(False))).alias("ended"),
-        F.regexp_extract_all(F.lower(F.coalesce(last, F.lit(""))), F.lit(TOKEN), F.lit(0)).alias("words"),
-    )
+    tokens = F.transform("s", lambda x: F.struct(F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(0)).alias("w"), x.rlike(ENDED).alias("d")))
+    out = out.select("key", "source", "raw_source", "n", "damaged", (ended & ~F.coalesce(opened, F.lit(False))).alias("ended"), tokens.alias("s"))
+    return out.withColumn("words", F.coalesce(F.try_element_at("s", F.lit(-1))["w"], F.array().cast("array<string>")))
 
 
 def _key(words: Column, k: int) -> Column:
@@ -67,9 +66,8 @@ def cut_values(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     rows = cut_lineage(_features(df, key, source, text))
     # Sentence beginnings of one to three words: how often ended (t), how often left open (u).
     numbered = rows.select("ended", F.posexplode("s").alias("i", "x"), F.size("s").alias("m"))
-    done = (F.col("i") < F.col("m") - 1) & F.col("x").rlike(ENDED) | (F.col("i") == F.col("m") - 1) & F.col("ended")
-    words = F.regexp_extract_all(F.lower("x"), F.lit(TOKEN), F.lit(0))
-    openings = numbered.select(done.alias("done"), (F.col("i") == F.col("m") - 1).alias("final"), words.alias("w")).filter("size(w) > 0")
+    done = (F.col("i") < F.col("m") - 1) & F.col("x.d") | (F.col("i") == F.col("m") - 1) & F.col("ended")
+    openings = numbered.select(done.alias("done"), (F.col("i") == F.col("m") - 1).alias("final"), F.col("x.w").alias("w")).filter("size(w) > 0")
     keys = openings.select(
         "done", "final", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(KEY_WORDS))), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("w", 1, k), " ").alias("key"), (F.size("w") == k).alias("whole")))).alias("o")
     )
@@ -78,7 +76,7 @@ def cut_values(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     )
     stats = cut_lineage(stats)
     # The word table: every word that is not the last of its text, with all its prefixes.
-    tokens = rows.select(F.explode("s").alias("x")).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("x"), F.lit(TOKEN), F.lit(0)))).alias("w"))
+    tokens = rows.select(F.explode(F.flatten(F.transform("s", lambda x: F.array_distinct(x["w"])))).alias("w"))
     finals = rows.filter(~F.col("ended") & (F.size("words") > 0)).select(F.element_at("words", -1).alias("w"))
     last_uses = finals.groupBy("w").agg(F.count("*").alias("last"))
     vocab = tokens.groupBy("w").agg(F.count("*").alias("all")).join(last_uses, "w", "left")
