@@ -113,29 +113,37 @@ def _place(units: dict, size: int, quota: list[float], wish: dict) -> dict:
 def allocate(bundles: list[tuple[int, int, int]], shares: list[float]) -> dict[tuple[int, int], list[int]]:
     """How many groups of each (size, profile) bundle go to each split.
 
-    ``bundles`` holds (size, profile, groups). The whole part of a bundle's proportional
-    share is given at once; what is left is placed from the largest size to the least.
+    ``bundles`` holds (size, profile, groups). Sizes are gone through from the largest to the
+    least. The whole part of a bundle's share of what the splits still lack is given at once,
+    so that small groups make up for what a very large one upset; the rest is placed by flow.
     """
     k = len(shares)
-    out, wish = {}, {}
-    quota = [s * sum(a * c for a, _, c in bundles) for s in shares]
+    total = sum(a * c for a, _, c in bundles)
+    quota = [s * total for s in shares]
+    out: dict[tuple[int, int], list[int]] = {}
+    wish: dict[int, list[float]] = {}
     for size, profile, n in bundles:
-        base = [int(n * s + 1e-9) for s in shares]
-        out[size, profile] = base
         mine = wish.setdefault(profile, [0.0] * k)
         for s in range(k):
-            quota[s] -= size * base[s]
-            mine[s] += size * (n * shares[s] - base[s])
+            mine[s] += shares[s] * size * n
     for size in sorted({b[0] for b in bundles}, reverse=True):
-        units = {p: n - sum(out[size, p]) for a, p, n in bundles if a == size}
-        units = {p: n for p, n in units.items() if n}
-        if not units:
-            continue
-        for p, placed in _place(units, size, quota, wish).items():
+        lack = [max(q, 0.0) for q in quota]
+        now = [x / sum(lack) for x in lack] if sum(lack) > 0 else shares
+        units = {}
+        for a, profile, n in bundles:
+            if a == size:
+                base = [int(n * s + 1e-9) for s in now]
+                out[size, profile] = base
+                for s in range(k):
+                    quota[s] -= size * base[s]
+                    wish[profile][s] -= size * base[s]
+                if n > sum(base):
+                    units[profile] = n - sum(base)
+        for profile, placed in _place(units, size, quota, wish).items():
             for s, x in enumerate(placed):
-                out[size, p][s] += x
+                out[size, profile][s] += x
                 quota[s] -= size * x
-                wish[p][s] -= size * x
+                wish[profile][s] -= size * x
     return out
 
 
