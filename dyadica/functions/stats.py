@@ -21,8 +21,8 @@ def erfc(x: Column) -> Column:
 
 
 def normal_p(z: Column) -> Column:
-    """Two-sided p of a standard normal score; null stays null."""
-    return F.least(F.lit(1.0), erfc(F.abs(z) / F.sqrt(F.lit(2.0))))
+    """Two-sided p of a standard normal score; null stays null (least() alone would skip it)."""
+    return F.when(z.isNotNull(), F.least(F.lit(1.0), erfc(F.abs(z) / F.sqrt(F.lit(2.0)))))
 
 
 def sigmoid(x: Column) -> Column:
@@ -31,9 +31,9 @@ def sigmoid(x: Column) -> Column:
 
 
 def log_odds(p: Column, floor: float = 1e-6) -> Column:
-    """Log odds of a share, clipped away from 0 and 1."""
+    """Log odds of a share, clipped away from 0 and 1; null stays null."""
     q = F.least(F.greatest(p, F.lit(floor)), F.lit(1 - floor))
-    return F.ln(q / (1 - q))
+    return F.when(p.isNotNull(), F.ln(q / (1 - q)))
 
 
 def logaddexp(a: Column, b: Column) -> Column:
@@ -87,7 +87,7 @@ def mcnemar_p(b: Column, c: Column) -> Column:
         F.lit(0.0),
         lambda acc, i: acc + F.exp(log_gamma(n + 1) - log_gamma(i + 1.0) - log_gamma(n - i + 1.0) - n * F.ln(F.lit(2.0))),
     )
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    return F.when(n == 0, F.lit(1.0)).when(n.isNotNull(), F.least(F.lit(1.0), 2 * tail))
 
 
 def normal_quantile(p: float) -> float:

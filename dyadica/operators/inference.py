@@ -41,18 +41,18 @@ def blocked_null(df: DataFrame, block: str, level: str, value: str, levels: int)
 def stratified_null(df: DataFrame, stratum: str, level: str, value: str) -> DataFrame:
     """Per level: observed sum, and its null when values are shuffled within strata (any group sizes)."""
     rows = df.filter(F.col(value).isNotNull() & F.col(level).isNotNull()).withColumn("_y", F.col(value).cast("double"))
-    strata = rows.groupBy(stratum).agg(F.count("*").alias("_all"), F.avg("_y").alias("m"), F.var_pop("_y").alias("v"))
-    cells = rows.groupBy(stratum, level).agg(F.count("*").alias("k"), F.sum("_y").alias("s"))
-    k, n = F.col("k").cast("double"), F.col("_all").cast("double")
-    var = F.when(n > 1, k * (n - k) / (n - 1) * F.col("v")).otherwise(0.0)
-    out = cells.join(strata, stratum).groupBy(level).agg(F.sum("k").alias("n"), F.sum("s").alias("observed"), F.sum(k * F.col("m")).alias("expected"), F.sqrt(F.sum(var)).alias("null_sd"))
+    strata = rows.groupBy(stratum).agg(F.count("*").alias("_all"), F.avg("_y").alias("_m"), F.var_pop("_y").alias("_v"))
+    cells = rows.groupBy(stratum, level).agg(F.count("*").alias("_k"), F.sum("_y").alias("_s"))
+    k, n = F.col("_k").cast("double"), F.col("_all").cast("double")
+    var = F.when(n > 1, k * (n - k) / (n - 1) * F.col("_v")).otherwise(0.0)
+    out = cells.join(strata, stratum).groupBy(level).agg(F.sum("_k").alias("n"), F.sum("_s").alias("observed"), F.sum(k * F.col("_m")).alias("expected"), F.sqrt(F.sum(var)).alias("null_sd"))
     return _scored(out)
 
 
 def cluster_null(df: DataFrame, cluster: str, level: str, value: str) -> DataFrame:
     """Per level: the null of its sum when levels are shuffled across whole clusters."""
-    per = df.filter(F.col(value).isNotNull()).groupBy(cluster).agg(F.min(level).alias(level), F.sum(F.col(value).cast("double")).alias("_s"))
-    return stratified_null(per.withColumn("_one", F.lit(1)), "_one", level, "_s")
+    per = df.filter(F.col(value).isNotNull()).groupBy(cluster).agg(F.min(level).alias(level), F.sum(F.col(value).cast("double")).alias("_sum"))
+    return stratified_null(per.withColumn("_one", F.lit(1)), "_one", level, "_sum")
 
 
 def _scored(df: DataFrame) -> DataFrame:
@@ -136,11 +136,12 @@ def contrast_table(df: DataFrame, level: str, feature: str, unit: str, stratum:
 def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     """Independence test of a count table (row, column, n): statistic, dof, p and Cramer's V."""
     n = df.filter("n > 0")
-    cells = n.groupBy(row, column).agg(F.sum("n").alias("o"))
-    rows, cols = cells.groupBy(row).agg(F.sum("o").alias("r")), cells.groupBy(column).agg(F.sum("o").alias("c"))
-    total = cells.agg(F.sum("o").alias("t"))
+    cells = n.groupBy(row, column).agg(F.sum("n").alias("_o"))
+    rows, cols = cells.groupBy(row).agg(F.sum("_o").alias("_r")), cells.groupBy(column).agg(F.sum("_o").alias("_c"))
+    total = cells.agg(F.sum("_o").alias("t"))
     # sum (o-e)^2/e = t * sum o^2/(r c) - t, so empty cells need no rows
-    part = cells.join(F.broadcast(rows), row).join(F.broadcast(cols), column).agg(F.sum(F.col("o").cast("double") * F.col("o") / (F.col("r").cast("double") * F.col("c"))).alias("q"))
+    share = F.col("_o").cast("double") * F.col("_o") / (F.col("_r").cast("double") * F.col("_c"))
+    part = cells.join(rows, row).join(cols, column).agg(F.sum(share).alias("q"))
     shape = rows.agg(F.count("*").alias("nr")).crossJoin(cols.agg(F.count("*").alias("nc"))).crossJoin(total).crossJoin(part)
     stat = F.col("t") * (F.col("q") - 1)
     dof = (F.col("nr") - 1) * (F.col("nc") - 1)

@@ -692,7 +692,6 @@ SELECT l_suppkey, round(p, 6) AS p, round(q, 6) AS q FROM {bh_('c', 'p', 'l_supp
 def bh_fdr(spark, d):
     r = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("x"), F.count("*").alias("n"))
     p = r.select("l_suppkey", F.least(F.when(F.col("n") > 1, F.exp(-100 * F.col("x")) * 50), F.lit(1.0)).alias("p"))
-    p = p.withColumn("p", F.when(F.exp(F.lit(0.0)) > 0, F.col("p")))
     return rounded(inference.benjamini_hochberg(p, "p", ["l_suppkey"]))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a compressed table in the shared folder and read it back.
+
+    Like :func:`cut_lineage`, but columnar and several times smaller, for large tables. The
+    tables stay until :func:`release`, as results may still be read from them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/dyadica-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    sc = spark.sparkContext
+    sc._dyadica_written = [*getattr(sc, "_dyadica_written", []), path]
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that :func:`written` left in the shared folder; how many there were."""
+    sc = spark.sparkContext
+    paths = getattr(sc, "_dyadica_written", [])
+    for path in paths:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    sc._dyadica_written = []
+    return len(paths)
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Round-robin a scan that has fewer partitions than the cluster has cores.
 

@@ -139,8 +139,8 @@ def fullest_column(df: DataFrame, columns: list[str]) -> str:
 
 def load_probe_rows(df: DataFrame, text: str, score: str) -> DataFrame:
     """Training rows of a probe: without nulls, scores clipped to 0 to 1."""
-    s = F.col(score).try_cast("double")
-    return df.withColumn(score, F.least(F.greatest(no_nan(s), F.lit(0.0)), F.lit(1.0))).dropna(subset=[text, score])
+    s = no_nan(F.col(score).try_cast("double"))
+    return df.withColumn(score, F.when(s.isNotNull(), F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)))).dropna(subset=[text, score])
 
 
 def discover(folder: str, names: list[str], suffixes: tuple[str, ...] = (".parquet", ".csv", ".jsonl")) -> dict[str, str]:

@@ -23,7 +23,7 @@ def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
     elif kind in ("json", "jsonl"):
         writer.json(path)
     elif kind == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     else:
         raise ValueError(f"no writer for .{kind}")
 
