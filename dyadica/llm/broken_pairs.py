@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..session import spread, trimmed
 from .truncation import cut_values
 
-WORDS = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}\p{N}’'])+")
+WORDS = re.compile(r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}]|[[\p{L}\p{M}\p{N}’']--[\p{Han}\p{Hiragana}\p{Katakana}]]+")
+PLAIN_WORDS = re.compile(r"[a-z0-9']+")
 #: Matches of fewer words say nothing about copying.
 LEAST_MATCH = 6
 COPIED_SHARE = 0.6
@@ -82,23 +83,24 @@ PREAMBLE = re.compile(r"(?i)^\s*(?:okay|ok|sure|of course|certainly)?[,.! ]*(?:h
 
 def words(text: str | None) -> list[str]:
     """Lower-case words without quotes' direction; ideographs and kana singly."""
-    return [] if text is None else WORDS.findall(text.lower().replace("’", "'"))
+    if text is None:
+        return []
+    return PLAIN_WORDS.findall(text.lower()) if text.isascii() else WORDS.findall(text.lower().replace("’", "'"))
 
 
-def language(text: str | None) -> str | None:
+def language(text: str | None, tokens: list[str] | None = None) -> str | None:
     """The language most stop words vote for; scripts decide where they can; null if unclear."""
     if not text:
         return None
-    letters = sum(c.isalpha() for c in text)
-    if letters == 0:
-        return None
-    kana, han, cyr, hang = (len(p.findall(text)) for p in (KANA, HAN, CYRILLIC, HANGUL))
-    if kana + han + hang > 0.3 * letters:
-        return "ja" if kana else "ko" if hang > han else "zh"
-    if cyr > 0.3 * letters:
-        return "ru"
+    if not text.isascii():
+        letters = sum(c.isalpha() for c in text)
+        kana, han, cyr, hang = (len(p.findall(text)) for p in (KANA, HAN, CYRILLIC, HANGUL))
+        if letters and kana + han + hang > 0.3 * letters:
+            return "ja" if kana else "ko" if hang > han else "zh"
+        if letters and cyr > 0.3 * letters:
+            return "ru"
     votes: dict[str, float] = {}
-    for w in words(text):
+    for w in words(text) if tokens is None else tokens:
         for lang in (own := _VOTES.get(w, ())):
             votes[lang] = votes.get(lang, 0.0) + 1 / len(own)
     if not votes:
@@ -222,11 +224,12 @@ def defect(response: str | None, prompt: str | None, other: str | None, cut: boo
     own = words(bare)
     if not own:
         return "empty"
-    if prompt and is_copy(own, words(prompt)):
+    asked_words = words(prompt)
+    if prompt and is_copy(own, asked_words):
         return "copied"
     if is_refusal(bare, own):
         return "refusal"
-    spoken, asked = language(bare), language(prompt) or language(other)
+    spoken, asked = language(bare, own), language(prompt, asked_words) or language(other)
     if spoken and asked and spoken != asked:
         return "other_language"
     return "truncated" if cut else None
