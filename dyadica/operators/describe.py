@@ -110,8 +110,9 @@ def column_profile(df: DataFrame, columns: list[str], max_levels: int, min_level
 
 def collapse_levels(df: DataFrame, column: str, least: int) -> DataFrame:
     """Levels with fewer rows than ``least`` become null."""
-    n = F.count("*").over(W.partitionBy(column))
-    return df.withColumn(column, F.when(n >= least, F.col(column)))
+    small = df.groupBy(column).count().filter(F.col("count") < least).select(column, F.lit(True).alias("_small"))
+    kept = df.join(small, column, "left").withColumn(column, F.when(F.col("_small").isNull(), F.col(column)))
+    return kept.select(*df.columns)
 
 
 def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:

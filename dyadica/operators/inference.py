@@ -115,7 +115,7 @@ def contrast_table(df: DataFrame, level: str, feature: str, unit: str, stratum:
     hits = df.select(unit, level, stratum, feature).distinct()
     k = hits.groupBy(level, feature).agg(F.count("*").alias("k"))
     all_k = hits.groupBy(feature).agg(F.count("*").alias("_k"))
-    grid = sizes.crossJoin(F.broadcast(all_k)).crossJoin(F.broadcast(total))  # levels times features
+    grid = sizes.crossJoin(all_k).crossJoin(F.broadcast(total))  # the result's own shape: levels times features
     out = grid.join(k, [level, feature], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     # Stratified null: in a stratum with N units and K hits, a level with n units expects n K / N.
     sn = units.groupBy(stratum, level).agg(F.count("*").alias("_u"))

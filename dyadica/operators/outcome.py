@@ -131,9 +131,9 @@ def within_terciles(df: DataFrame, stratum: str, value: str, tie: str) -> DataFr
     own = df.filter(F.col(stratum).isNotNull() & F.col(value).isNotNull())
     w = W.partitionBy(stratum)
     share = F.row_number().over(w.orderBy(value, tie)) / F.count("*").over(w)
-    distinct = F.size(F.collect_set(value).over(w))
-    level = F.when(share <= 1 / 3, "low").when(share <= 2 / 3, "mid").otherwise("high")
-    return own.withColumn("tercile", F.when(distinct >= 3, level))
+    ranked = own.withColumn("_share", share).withColumn("_d", F.dense_rank().over(w.orderBy(value)))
+    level = F.when(F.col("_share") <= 1 / 3, "low").when(F.col("_share") <= 2 / 3, "mid").otherwise("high")
+    return ranked.withColumn("tercile", F.when(F.max("_d").over(w) >= 3, level)).drop("_share", "_d")
 
 
 def mean_by_control(control_type: str = CONTROL) -> Column:

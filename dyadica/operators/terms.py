@@ -25,7 +25,7 @@ def ngram_shares(df: DataFrame, cell: str, facet: str, text: str, n: int, mode:
     totals = df.groupBy(facet).agg(F.count("*").alias("rows_total"), F.count_distinct(cell).alias("cells_total"))
     terms = term_rows(df, [facet, cell], text, n, mode)
     counts = terms.groupBy(facet, "term").agg(F.count("*").alias("n_rows"), F.count_distinct(cell).alias("n_cells"))
-    out = counts.join(F.broadcast(totals), facet).withColumn("row_share", F.col("n_rows") / F.col("rows_total")).withColumn("cell_share", F.col("n_cells") / F.col("cells_total"))
+    out = counts.join(totals, facet).withColumn("row_share", F.col("n_rows") / F.col("rows_total")).withColumn("cell_share", F.col("n_cells") / F.col("cells_total"))
     base = out.filter(F.col(facet) == CONTROL).select("term", F.col("row_share").alias("control_share"))
     lifted = out.join(base, "term", "left").withColumn("lift", safe_ratio(F.col("row_share"), F.col("control_share")))
     return lifted.filter(F.col("n_rows") >= least)
@@ -67,7 +67,7 @@ def contrasts_from_counts(counts: DataFrame, group: str, least: int, top: int |
     own = counts.groupBy(group).agg(F.sum("n").alias("own"))
     words = counts.groupBy("term").agg(F.sum("n").alias("prior"))
     whole = words.agg(F.sum("prior").alias("tokens"), F.sum(F.greatest("prior", F.lit(1))).alias("mass"), F.count("*").alias("vocabulary"))
-    j = counts.join(words, "term").join(F.broadcast(own), group).crossJoin(F.broadcast(whole)).filter("vocabulary >= 2")
+    j = counts.join(words, "term").join(own, group).crossJoin(F.broadcast(whole)).filter("vocabulary >= 2")
     rest = F.col("prior") - F.col("n")
     z = word_z(F.col("n").cast("double"), F.col("own") + F.col("mass").cast("double"), rest.cast("double"), F.col("tokens") - F.col("own") + F.col("mass").cast("double"), F.col("prior").cast("double"))
     out = j.filter(F.col("prior") >= least).select(group, "term", "n", "prior", z.alias("z"))

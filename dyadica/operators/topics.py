@@ -71,7 +71,7 @@ def class_term_weights(df: DataFrame, topic: str, terms: str, top: int) -> DataF
     mean = size.agg(F.avg("size").alias("mean"))
     df_ = tf.groupBy("term").agg(F.sum("tf").alias("all"))
     w = F.col("tf") / F.col("size") * F.ln(1 + F.col("mean") / F.col("all"))
-    out = tf.join(F.broadcast(size), topic).join(df_, "term").crossJoin(F.broadcast(mean)).withColumn("weight", w)
+    out = tf.join(size, topic).join(df_, "term").crossJoin(F.broadcast(mean)).withColumn("weight", w)
     rank = F.row_number().over(W.partitionBy(topic).orderBy(F.desc("weight"), "term"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= top).select(topic, "term", "weight", "rank")
 

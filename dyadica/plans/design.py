@@ -79,25 +79,31 @@ def hash_key(seed: int, tag: str, value: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), value.cast("string")), 256)
 
 
-def hash_partitions(ids: DataFrame, key: str, seed: int, tag: str, shares: dict[str, float], name: str) -> DataFrame:
-    """(key, name): whole ids to named parts, in hash order, sizes by the shares.
+def hash_ranks(ids: DataFrame, key: str, seed: int, tag: str) -> DataFrame:
+    """(key, rank from 1, n): distinct ids by their place in hash order.
 
-    The rank in hash order is counted by leading hex digits first, so each window sorts one
-    of 256 slots only.
+    Places are counted by leading hex digits first, so that each window sorts one of 256 slots
+    only and no task sees all ids.
     """
     own = ids.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_h", hash_key(seed, tag, F.col(key)))
     own = own.withColumn("_s", F.substring("_h", 1, 2))
     sizes = own.groupBy("_s").agg(F.count("*").alias("_c"))
-    before = sizes.select("_s", F.coalesce(F.sum("_c").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("_c").over(W.partitionBy()).alias("_n"))
-    rank = F.row_number().over(W.partitionBy("_s").orderBy("_h", key))
-    ranked = own.withColumn("_r", rank).join(F.broadcast(before), "_s")  # 256 rows
-    pos, out, cut = F.col("_r") + F.col("_o"), None, 0.0
+    above = F.coalesce(F.sum("_c").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select("_s", above.alias("_o"), F.sum("_c").over(W.partitionBy()).alias("n"))
+    place = F.row_number().over(W.partitionBy("_s").orderBy("_h", key))
+    ranked = own.withColumn("_r", place).join(F.broadcast(before), "_s")  # at most 256 rows
+    return ranked.select(key, (F.col("_r") + F.col("_o")).alias("rank"), "n")
+
+
+def hash_partitions(ids: DataFrame, key: str, seed: int, tag: str, shares: dict[str, float], name: str) -> DataFrame:
+    """(key, name): whole ids to named parts, in hash order, sizes by the shares."""
+    out, cut = None, 0.0
     for part, share in list(shares.items())[:-1]:
         cut += share
-        inside = pos <= F.floor(F.col("_n") * cut + 0.5)
+        inside = F.col("rank") <= F.floor(F.col("n") * cut + 0.5)
         out = F.when(inside, part) if out is None else out.when(inside, part)
     last = list(shares)[-1]
-    return ranked.select(key, (out.otherwise(last) if out is not None else F.lit(last)).alias(name))
+    return hash_ranks(ids, key, seed, tag).select(key, (out.otherwise(last) if out is not None else F.lit(last)).alias(name))
 
 
 def two_axis_splits(cells: DataFrame, persons: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -112,11 +118,11 @@ def two_axis_splits(cells: DataFrame, persons: DataFrame, prompts: DataFrame) ->
 
 def sparse_pairs(persons: DataFrame, prompts: DataFrame, per_person: int, seed: int) -> DataFrame:
     """Balanced person-prompt pairs: cyclic slices of the hash-ordered prompts."""
-    w = lambda tag, key: W.orderBy(hash_key(seed, tag, F.col(key)), key)
-    a = persons.select("persona_id").distinct().withColumn("i", F.row_number().over(w("person", "persona_id")) - 1)
-    b = prompts.select("prompt_id").distinct().withColumn("j", F.row_number().over(w("prompt", "prompt_id")) - 1)
-    n = b.agg(F.count("*").alias("n"))
-    taken = a.crossJoin(F.broadcast(n)).select("persona_id", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(per_person), F.col("n").cast("int")) - 1), lambda o: (F.col("i") * per_person + o) % F.col("n"))).alias("j"))
+    a = hash_ranks(persons, "persona_id", seed, "person").select("persona_id", (F.col("rank") - 1).alias("i"))
+    b = hash_ranks(prompts, "prompt_id", seed, "prompt").select("prompt_id", (F.col("rank") - 1).alias("j"), "n")
+    n = b.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    offsets = F.sequence(F.lit(0), F.least(F.lit(per_person), F.col("n").cast("int")) - 1)
+    taken = a.crossJoin(F.broadcast(n)).filter("n > 0").select("persona_id", F.explode(F.transform(offsets, lambda o: (F.col("i") * per_person + o) % F.col("n"))).alias("j"))
     return taken.join(b, "j").select("persona_id", "prompt_id").distinct()
 
 
