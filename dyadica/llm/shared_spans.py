@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, spread
+from ..session import spread, written
 
 PASSAGE = 400
 GRAM = 200
@@ -143,7 +143,7 @@ def shared_windows(df: DataFrame, key: str, text: str, passage: int = PASSAGE, g
     groups = docs.groupBy("text_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
     anchors = spread(docs.select("text_id", "t")).mapInArrow(_anchors(passage, gram), "text_id long, anchor long")
     # Copies of a text count once, combined before the shuffle.
-    anchors = cut_lineage(anchors.distinct())
+    anchors = written(anchors.distinct())
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     wanted = anchors.join(repeated, "anchor", "left_semi").groupBy("text_id").agg(F.collect_list("anchor").alias("wanted"))
     # One record stands for its copies, which are shared as they are.
@@ -151,7 +151,7 @@ def shared_windows(df: DataFrame, key: str, text: str, passage: int = PASSAGE, g
     todo = docs.join(standing, ["text_id", "key"]).dropDuplicates(["text_id"])
     kind = docs.schema["key"].dataType.simpleString()
     windows = todo.select("text_id", "key", "t", "wanted").mapInArrow(_windows(passage, gram), f"text_id long, key {kind}, a long, b long, start long")
-    windows = cut_lineage(windows)
+    windows = written(windows)
     hit = windows.groupBy("a", "b").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("a", "b")
     spotted = windows.join(hit, ["a", "b"], "left_semi").select("text_id", "start")
     return docs.drop("t").join(groups, "text_id"), spotted
