@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, trimmed
+from ..session import trimmed, written
 
 #: Java patterns. Ideographs and kana count as words of one character.
 TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}\p{N}'’\-&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+"
@@ -63,7 +63,7 @@ def cut_values(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     reported; a null source is a source of its own; other columns play no part. Statistics
     are taken over all rows. On very small tables they say little and fewer cuts are found.
     """
-    rows = cut_lineage(_features(df, key, source, text))
+    rows = written(_features(df, key, source, text))
     # Sentence beginnings of one to three words: how often ended (t), how often left open (u).
     numbered = rows.select("ended", F.posexplode("s").alias("i", "x"), F.size("s").alias("m"))
     done = (F.col("i") < F.col("m") - 1) & F.col("x.d") | (F.col("i") == F.col("m") - 1) & F.col("ended")
@@ -74,13 +74,13 @@ def cut_values(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     stats = keys.groupBy(F.col("o.key").alias("opening")).agg(
         F.count(F.when(F.col("done"), 1)).alias("t"), F.count(F.when(~F.col("done") & F.col("final"), 1)).alias("u")
     )
-    stats = cut_lineage(stats)
+    stats = written(stats)
     # The word table: every word that is not the last of its text, with all its prefixes.
     tokens = rows.select(F.explode(F.flatten(F.transform("s", lambda x: F.array_distinct(x["w"])))).alias("w"))
     finals = rows.filter(~F.col("ended") & (F.size("words") > 0)).select(F.element_at("words", -1).alias("w"))
     last_uses = finals.groupBy("w").agg(F.count("*").alias("last"))
     vocab = tokens.groupBy("w").agg(F.count("*").alias("all")).join(last_uses, "w", "left")
-    vocab = cut_lineage(vocab.withColumn("inner", F.col("all") - F.coalesce("last", F.lit(0))))
+    vocab = written(vocab.withColumn("inner", F.col("all") - F.coalesce("last", F.lit(0))))
     known = vocab.filter("inner >= 2")
     prefixes = known.filter("length(w) > 1").select(
         F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda k: F.left("w", k))).alias("w"), "inner"
