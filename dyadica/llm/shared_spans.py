@@ -3,9 +3,9 @@
 Every window of ``passage`` characters has a Rabin-Karp hash. Shuffling all of them would
 move many times the corpus, so a shorter window stands for them first: of the ``GRAM``-long
 windows inside a passage-long one, that with the least hash. Two equal passages choose the
-same, so a window whose representative occurs in one record only cannot be repeated. Only
-windows with a repeated representative are hashed at full length (twice, 128 bits in all),
-counted in Spark, and merged into maximal intervals. No candidate is capped, no pair is
+same, so a window whose representative occurs in one record only cannot be repeated. The
+others are sieved once more by somewhat shorter windows on a grid, which each of them
+holds one of. What is left is hashed at full length (twice, 128 bits in all), counted in Spark, and merged into maximal intervals. No candidate is capped, no pair is
 formed: groups are aggregated map-side to a least and a greatest record id. Where a window
 stands in very many records, the join that finds it back is one that adaptive execution
 splits, as its other side has one row per window. Texts are told apart by a 64-bit hash.
@@ -25,6 +25,8 @@ from ..session import spread, written
 
 PASSAGE = 400
 GRAM = 200
+#: Before all windows are formed, shorter ones on a grid of this many characters are tried.
+GRID = 25
 #: Long texts are hashed in overlapping segments of this many characters.
 SEGMENT = 400_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -110,15 +112,70 @@ def _anchors(passage: int, gram: int):
     return run
 
 
-def _windows(passage: int, gram: int):
+def _grid(part: np.ndarray, wanted: np.ndarray, passage: int, gram: int, step: int):
+    """Of the passage-long windows whose representative is wanted: their starts, and for each
+    the start and hash of the grid window it holds.
+
+    Grid windows are ``step`` shorter and start a multiple of ``step`` before their
+    representative, so equal passages hold equal ones, and each passage-long window one.
+    """
+    sums = prefix_sums(part, _BASES[0])
+    grams = window_hashes(sums, gram, _BASES[0])
+    least = sliding_min(grams, passage - gram + 1)
+    starts = np.flatnonzero(_member(wanted, least))
+    if not len(starts):
+        return starts, starts, least[:0]
+    # Where the representative stands: its next place at or after the window's start.
+    places = np.flatnonzero(_member(np.unique(least[starts]), grams))
+    order = np.lexsort((places, grams[places]))
+    keyed, spot = grams[places][order], places[order]
+    low = np.searchsorted(keyed, least[starts], "left")
+    high = np.searchsorted(keyed, least[starts], "right")
+    at = np.empty(len(starts), np.int64)
+    plain = high - low == 1
+    at[plain] = spot[low[plain]]
+    for i in np.flatnonzero(~plain):
+        at[i] = spot[low[i] + np.searchsorted(spot[low[i] : high[i]], starts[i])]
+    cell = at - (at - starts) // step * step
+    return starts, cell, window_hashes(sums, passage - step, _BASES[0])[cell]
+
+
+def _member(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each x is among the sorted values."""
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+
+
+def _grid_windows(passage: int, gram: int, step: int):
+    """Distinct grid windows of each text's candidate passages."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at, hashes = [], []
             for i, (raw, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 keep = np.sort(np.array(wanted, np.int64).view(np.uint64))
+                found = [np.unique(_grid(part, keep, passage, gram, step)[2]) for _, part in segments(raw, passage)]
+                own = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+                hashes.append(own.view(np.int64))
+                at.append(np.full(len(own), i))
+            rows = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
+            own = [batch.column(k).take(rows) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], names=["text_id", "key", "cell"])
+
+    return run
+
+
+def _windows(passage: int, gram: int, step: int):
+    """The passage-long windows whose grid window stands elsewhere too, hashed twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in (2, 3, 4)]
+            for i, (raw, wanted, cells) in enumerate(zip(*columns)):
+                keep, hit = (np.sort(np.array(x, np.int64).view(np.uint64)) for x in (wanted, cells))
                 for offset, part in segments(raw, passage):
-                    least = representatives(part, passage, gram)
-                    spot = np.minimum(np.searchsorted(keep, least), len(keep) - 1)
-                    starts = np.flatnonzero(keep[spot] == least)
+                    starts, _, cell = _grid(part, keep, passage, gram, step)
+                    if len(starts):
+                        starts = starts[_member(hit, cell)]
                     if len(starts):
                         a, b = (window_hashes(prefix_sums(part, x), passage, x)[starts].view(np.int64) for x in _BASES)
                         own = [batch.column(k).slice(i, 1).take(pa.array(np.zeros(len(starts), np.int64))) for k in (0, 1)]
@@ -149,9 +206,14 @@ def shared_windows(df: DataFrame, key: str, text: str, passage: int = PASSAGE, g
     # One record stands for its copies, which are shared as they are.
     standing = wanted.join(groups, "text_id").select("text_id", F.col("first_key").alias("key"), "wanted")
     todo = docs.join(standing, ["text_id", "key"]).dropDuplicates(["text_id"])
+    todo = written(todo.select("text_id", "key", "t", "wanted"))
     kind = docs.schema["key"].dataType.simpleString()
-    windows = todo.select("text_id", "key", "t", "wanted").mapInArrow(_windows(passage, gram), f"text_id long, key {kind}, a long, b long, start long")
-    windows = written(windows)
+    step = max(1, min(GRID, passage // 8))
+    cells = written(spread(todo).mapInArrow(_grid_windows(passage, gram, step), f"text_id long, key {kind}, cell long"))
+    shared = cells.groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("cell")
+    hits = cells.join(shared, "cell", "left_semi").groupBy("text_id").agg(F.collect_list("cell").alias("cells"))
+    close = spread(todo.join(hits, "text_id").select("text_id", "key", "t", "wanted", "cells"))
+    windows = written(close.mapInArrow(_windows(passage, gram, step), f"text_id long, key {kind}, a long, b long, start long"))
     hit = windows.groupBy("a", "b").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("a", "b")
     spotted = windows.join(hit, ["a", "b"], "left_semi").select("text_id", "start")
     return docs.drop("t").join(groups, "text_id"), spotted
