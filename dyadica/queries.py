@@ -336,10 +336,10 @@ def length_census(spark, d):
 
 
 @query(
-    f"""WITH {A}, m AS (SELECT run_id, persona_type, avg(probability_norm) AS metric FROM a GROUP BY ALL) SELECT run_id, persona_type, round(metric, 6) AS metric, round(metric / avg(metric) OVER (PARTITION BY run_id) - 1, 6) AS deviation FROM m"""
+    f"""WITH {A}, m AS (SELECT run_id, persona_type, avg(probability_norm) + 1e-9 AS metric FROM a GROUP BY ALL) SELECT run_id, persona_type, round(metric, 6) AS metric, round(metric / avg(metric) OVER (PARTITION BY run_id) - 1, 6) AS deviation FROM m"""
 )
 def facet_deviation(spark, d):
-    m = _assumptions(spark, d).groupBy("run_id", "persona_type").agg(F.avg("probability_norm").alias("metric"))
+    m = _assumptions(spark, d).groupBy("run_id", "persona_type").agg((F.avg("probability_norm") + 1e-9).alias("metric"))  # off the rounding ties
     return rounded(describe.facet_deviation(m, "run_id", "persona_type", "metric"))
 
 
