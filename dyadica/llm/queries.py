@@ -173,9 +173,30 @@ QUERIES = {
     "p10_share": p10_share,
 }
 
+CLEAN = "nullif(nullif(lower(regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), ''), 'none')"
+GRAMS = """{0}w AS (SELECT DISTINCT {1}, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {2} WHERE text IS NOT NULL),
+{0}g AS (SELECT DISTINCT {1}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {1}, w, unnest(range(1, len(w) - 10)) AS i FROM {0}w))"""
+
 ORACLES = {
     "p1_found": P1_TERMS
     + """SELECT field, term, CASE WHEN records < 3 THEN 'rare' ELSE 'common' END AS mark
          FROM counts JOIN totals USING (field) WHERE records < 3 OR records > total * 0.1""",
+    # Reachability and all pairs: exact, for tables as small as the oracle's.
+    "p2_found": """
+WITH RECURSIVE v AS (SELECT DISTINCT vec_id, vector FROM response_vectors WHERE vector IS NOT NULL AND len(vector) > 0
+  AND NOT list_bool_or(list_transform(vector, lambda x: isnan(x))) AND list_sum(list_transform(vector, lambda x: x * x)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON len(a.vector) = len(b.vector) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.vector, b.vector) >= 0.75),
+r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS vec_id, min(b) AS cluster_id FROM r GROUP BY a""",
+    "p5_found": f"""
+WITH RECURSIVE c AS (SELECT DISTINCT cell_key, {CLEAN.format('persona_id')} AS p, {CLEAN.format('prompt_id')} AS q FROM attempt_log WHERE cell_key IS NOT NULL),
+e AS (SELECT DISTINCT x.q AS a, y.q AS b FROM c x JOIN c y ON x.p = y.p OR x.cell_key = y.cell_key WHERE x.q <> y.q),
+r(a, b) AS (SELECT DISTINCT q, q FROM c WHERE q IS NOT NULL UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT a, min(b) AS m FROM r GROUP BY a), o AS (SELECT p, min(q) AS q FROM c WHERE p IS NOT NULL GROUP BY p)
+SELECT cell_key, min(m) AS group_key FROM (SELECT cell_key, coalesce(c.q, o.q) AS a FROM c LEFT JOIN o ON o.p = c.p) LEFT JOIN g USING (a) GROUP BY cell_key""",
+    "p9_found": "WITH " + GRAMS.format("d", "doc_id", "documents") + ", " + GRAMS.format("i", "item_id", "eval_items") + " SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+    "p10_found": """
+WITH w AS (SELECT doc_id, md5(substring(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)) SELECT DISTINCT doc_id FROM w WHERE h IN (SELECT h FROM s)""",
     "p1_counts": P1_TERMS + "SELECT field, term, occurrences, records FROM counts",
 }
