@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .parsing import normalize_text
 
-# The lexicon the cue grammar is made of.
+# Fixed values, to the end of the patterns: the words and forms that count as cues.
 FAULT = (
     "in the wrong|the wrong|wrong|the asshole|an asshole|unreasonable|out of line|overreacting|over reacting|at fault|to blame|selfish"
     "|a jerk|rude|the bad guy|petty|inconsiderate|overstepping|the problem|being controlling|manipulative"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Marks that end a phrase; an n-gram never spans one. Hyphens are not among them.
+# The marks that end a phrase (an n-gram never spans one; hyphens are not among
+# them), and the shape of a token.
 BREAKS = r"""[.,;:!?()\[\]{}<>"“”`/\\|\n\r\t]+"""
 TOKEN = r"[a-z0-9]+(?:'[a-z]+)?"
 BARE_WORD = "[a-z]+"

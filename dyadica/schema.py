@@ -84,6 +84,7 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 def normalize_label(col: Column) -> Column:
     """Lower case, marks as spaces, without a leading "the user is"; null becomes empty."""
     text = F.trim(F.regexp_replace(F.lower(F.coalesce(col.cast("string"), F.lit(""))), "[^a-z0-9 ]+", " "))
+    # Fixed value: the openings that say nothing.
     text = F.regexp_replace(text, r"^(the\s+)?(user|person|they|he|she)\s+(is|wants|seeks|needs)\s+", "")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -57,6 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where that setting is absent (a local test session) a folder of our own is set.
     """
+    ship(spark)
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
