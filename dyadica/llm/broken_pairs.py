@@ -16,7 +16,7 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread, trimmed
+from ..session import trimmed
 from .truncation import cut_values
 
 WORDS = re.compile(r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}]|[[\p{L}\p{M}\p{N}’']--[\p{Han}\p{Hiragana}\p{Katakana}]]+")
@@ -237,12 +237,8 @@ def defect(response: str | None, prompt: str | None, other: str | None, cut: boo
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        key, response, kind, texts, cut = (batch.column(k) for k in range(5))
-        out = []
-        for r, t, options, c in zip(response.to_pylist(), kind.to_pylist(), texts.to_pylist(), cut.to_pylist()):
-            own = {o["t"]: o["x"] for o in options or ()}
-            other = next((own[k] for k in sorted(own, key=str) if k != t and own[k]), None)
-            out.append(defect(r, own.get(t), other, c))
+        key, *rest = batch.columns
+        out = [defect(*row) for row in zip(*(c.to_pylist() for c in rest))]
         yield pa.RecordBatch.from_arrays([key, pa.array(out, pa.string())], names=["key", "defect"])
 
 
@@ -257,10 +253,16 @@ def broken_pairs(responses: DataFrame, prompts: DataFrame, key: str, text: str,
     """
     cut = cut_values(responses, key, source, text).select(F.col(key).alias("_cut")).distinct()
     kinds = prompts.select(trimmed(F.col(prompt_key)).alias("pid"), F.col(prompt_kind).alias("t"), F.col(prompt_text).alias("x")).filter("x is not null and pid is not null")
-    wordings = kinds.groupBy("pid", "t").agg(F.max("x").alias("x")).groupBy("pid").agg(F.collect_list(F.struct("t", "x")).alias("texts"))
+    texts = kinds.groupBy("pid", "t").agg(F.max("x").alias("x"))
     own = responses.select(F.col(key).alias("key"), F.col(text).cast("string").alias("r"), F.col(prompt_kind).alias("t"), trimmed(F.col(prompt_key)).alias("pid"))
-    asked = own.join(wordings, "pid", "left").join(cut, F.col("key") == F.col("_cut"), "left")
-    lean = spread(asked.select("key", "r", "t", "texts", F.col("_cut").isNotNull().alias("c")))
+    # Cuts are joined before the prompts' texts, so that those are shuffled once.
+    own = own.join(cut, F.col("key") == F.col("_cut"), "left").select("key", "r", "t", "pid", F.col("_cut").isNotNull().alias("c"))
+    asked = own.join(texts, ["pid", "t"], "left")
+    known = asked.filter("x is not null").select("key", "r", "x", F.lit(None).cast("string").alias("y"), "c")
+    # Only replies without their own prompt's text look for another wording of it.
+    lone = asked.filter("x is null").drop("x", "t")
+    wordings = kinds.join(lone.select("pid").distinct(), "pid", "left_semi").groupBy("pid").agg(F.max("x").alias("y"))
+    unknown = lone.join(wordings, "pid", "left").select("key", "r", F.lit(None).cast("string").alias("x"), "y", "c")
     kind = responses.schema[key].dataType.simpleString()
-    judged = lean.mapInArrow(_judge, f"key {kind}, defect string").filter("defect is not null")
+    judged = known.unionByName(unknown).mapInArrow(_judge, f"key {kind}, defect string").filter("defect is not null")
     return judged.withColumnRenamed("key", key)
