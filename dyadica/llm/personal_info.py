@@ -111,7 +111,7 @@ IDS = [
 CARD = re.compile(rf"{EDGE}(?:\d[ -]?){{12,18}}\d{STOP}")
 IBAN = re.compile(rf"{EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{11,30}}{STOP}")
 PHONE_WORDS = re.compile(
-    r"(?i)\b(?:tel|phone|call(?:ed)?|mobile|cell|text(?:ed)?|rang|ring|dial|whatsapp|fax|reach me|number on the note|ruf|tel[eé]fono|téléphone|appelle|mon numéro|mi número|numero|telefone|handy)\b"
+    r"(?i)\b(?:tel|phone|call(?:ed)?|mobile|cell|text(?:ed)?|rang|ring|dial|whatsapp|fax|reach me|number on the note|ruf|tel[eé]fono|téléphone|appelle|mon numéro|n[uú]mero|telefone?|handy|celular|cellulare|ligue|chiamami)\b"
 )
 ID_WORDS = re.compile(
     r"(?i)\b(?:passport|licen[cs]e|tax|social security|insurance|personal|identity|id|ssn|national|dni|nif|cpf|steuer\w*|ausweis\w*|personalausweis|sécu|fiscale?|identificación|documento)\b(?: (?:no\.?|number|nr\.?|#|as|is))*"
