@@ -105,57 +105,51 @@ def _far(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(s[i] ^ s[j]).sum(1)
 
 
-def _bucket_pairs(group: np.ndarray, ids: np.ndarray, comps: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs to verify within buckets; rows come ordered by bucket and component.
+def _pair_blocks(group: np.ndarray, comps: np.ndarray, s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of every pair within a bucket whose components differ and whose sketches are
+    within MOST_BITS, some at a time; rows come ordered by bucket and component.
 
-    Buckets of up to 64 rows are compared in one sweep over the offsets between rows. In a
-    larger one, each component's rows are compared with all later components' in blocks, and
-    each row keeps its nearest of every other block.
+    Buckets of up to 64 rows are compared in one sweep over the offsets between rows, larger
+    ones in blocks of rows against the rows of later components.
     """
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     small = np.repeat(sizes <= 64, sizes)
-    left, right = [], []
-    for step in range(1, 64):
-        i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]) & (comps[:-step] != comps[step:])) if step < len(group) else []
-        if not len(i):
-            if step >= sizes[sizes <= 64].max(initial=0):
-                break
-            continue
+    for step in range(1, min(64, sizes[sizes <= 64].max(initial=0))):
+        i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]) & (comps[:-step] != comps[step:]))
         i = i[_far(s, i, i + step) <= MOST_BITS]
-        left.append(i)
-        right.append(i + step)
+        yield i, i + step
     for at, n in zip(starts[sizes > 64], sizes[sizes > 64]):
-        edge = at + np.flatnonzero(np.r_[True, comps[at + 1 : at + n] != comps[at : at + n - 1]])
-        ends = np.r_[edge[1:], at + n]
-        for b, e in zip(edge[:-1], ends[:-1]):
-            for x in range(b, e, 1024):
-                mine = np.arange(x, min(e, x + 1024))
-                for y in range(e, at + n, 4096):
-                    other = np.arange(y, min(at + n, y + 4096))
-                    d = np.bitwise_count(s[mine][:, None, :] ^ s[other][None, :, :]).sum(2)
-                    few, axis = (mine, 1) if len(mine) <= len(other) else (other, 0)
-                    near = d.argmin(axis)
-                    ok = d.min(axis) <= MOST_BITS
-                    near = (other if axis else mine)[near]
-                    left.append(few[ok])
-                    right.append(near[ok])
-    i = np.concatenate(left).astype(np.int64) if left else np.zeros(0, np.int64)
-    j = np.concatenate(right).astype(np.int64) if right else np.zeros(0, np.int64)
-    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        own, words = comps[at : at + n], s[at : at + n]
+        for x in range(0, n, 512):
+            mine = slice(x, min(n, x + 512))
+            for y in range(int(np.searchsorted(own, own[x], "right")), n, 4096):
+                other = slice(y, min(n, y + 4096))
+                near = np.bitwise_count(words[mine, None, :] ^ words[None, other, :]).sum(2, dtype=np.uint8) <= MOST_BITS
+                i, j = np.nonzero(near & (own[mine, None] < own[None, other]))
+                yield at + x + i, at + y + j
+
+
+def _bucket_pairs(group: np.ndarray, ids: np.ndarray, comps: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pairs of :func:`_pair_blocks`, the lesser first."""
+    found = [(ids[i], ids[j]) for i, j in _pair_blocks(group, comps, s)]
+    a, b = (np.concatenate([f[k] for f in found]) if found else ids[:0] for k in (0, 1))
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stream rows ordered by bucket, slice and component; a bucket may span batches."""
     held: list[pa.RecordBatch] = []
 
-    def emit(part: pa.Table) -> pa.RecordBatch:
+    def emit(part: pa.Table) -> Iterator[pa.RecordBatch]:
         col = {c: part[c].to_numpy() for c in ("bucket", "slice", "id", "comp", "s0", "s1")}
         group = col["bucket"] * 1_000_003 + col["slice"]
         words = np.stack([col["s0"], col["s1"]], 1).view(np.uint64)  # signed words would count wrongly
-        a, b = _bucket_pairs(group, col["id"], col["comp"], words)
-        keep = a != b
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        for i, j in _pair_blocks(group, col["comp"], words):
+            a, b = np.minimum(col["id"][i], col["id"][j]), np.maximum(col["id"][i], col["id"][j])
+            keep = a != b
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -165,16 +159,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(last[-1]) + 1 if len(last) else 0
         if held and (cut or held[-1].column(0)[-1] != batch.column(0)[0] or held[-1].column(1)[-1] != batch.column(1)[0]):
             if not cut:  # the held bucket ended with the batch before
-                yield emit(pa.Table.from_batches(held))
+                yield from emit(pa.Table.from_batches(held))
                 held = [batch]
                 continue
         if cut:
-            yield emit(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            yield from emit(pa.Table.from_batches([*held, batch.slice(0, cut)]))
             held = [batch.slice(cut)]
         else:
             held.append(batch)
     if held:
-        yield emit(pa.Table.from_batches(held))
+        yield from emit(pa.Table.from_batches(held))
 
 
 def _dot(a, b):

@@ -79,6 +79,21 @@ def test_bucket_pairs_large_groups():
     assert set(zip(a.tolist(), b.tolist())) <= near and ((10, 200) in set(zip(a.tolist(), b.tolist())) or comps[10] == comps[200])
 
 
+def test_crowded_bucket_keeps_every_candidate():
+    rng = np.random.default_rng(6)
+    n, dim, bits = 2000, 96, similarity_clusters.MOST_BITS
+    centre, own = rng.normal(size=dim), rng.normal(size=(n, dim))
+    x = np.sqrt(0.65) * centre / np.linalg.norm(centre) + np.sqrt(0.35) * own / np.linalg.norm(own, axis=1, keepdims=True)
+    x[1::20] = x[::20] + 0.6 * rng.normal(size=(n // 20, dim)) / np.sqrt(dim)  # links among near non-links
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    s = similarity_clusters.sketches(x).view(np.uint64)
+    comps = np.arange(n) // 20 * 20 + np.minimum(np.arange(n) % 20, 3)  # of one row and of seventeen
+    a, b = similarity_clusters._bucket_pairs(np.zeros(n, np.int64), np.arange(n), comps, s)
+    far = np.bitwise_count(s[:, None, :] ^ s[None, :, :]).sum(2)
+    want = np.argwhere((far <= bits) & (comps[:, None] < comps[None, :]))
+    assert len(a) == len(want) and set(zip(a.tolist(), b.tolist())) == set(map(tuple, want.tolist()))
+
+
 def test_components(frame):
     rng = random.Random(3)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)] + [(1000, i) for i in range(1001, 1100)] + [(i, i + 1) for i in range(2000, 2064)] + [(5000, 5000), (None, 3)]
