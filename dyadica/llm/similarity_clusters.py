@@ -5,12 +5,12 @@ the least member (by a hash order) of its buckets: the local minimum is a pivot,
 the vectors that are truly similar to it. The absorbed form components. Then the buckets of
 all tables are gone through with those components known: only members of different components
 are compared, first by a bit sketch and then exactly, which joins what a pivot could not reach
-directly. Small components and pivots get a second, longer set of tables. Every link that
+directly. A second, longer set of tables is gone through in the same way. Every link that
 counts is verified on the whole vectors; no pairs within a component are formed.
 
 Clusters are the connected components of the links, so they do not depend on the pivots'
-order. A link at exactly the threshold that is its cluster's only one is found with a
-probability of about 0.99 (two lone vectors); denser clusters with practical certainty.
+order. A link at exactly the threshold that nothing else bridges, be it of two lone vectors or
+of two large components, is found with a probability of about 0.99.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from .components import components
 
 ALIKE = 0.75
 PIVOT_TABLES, TABLES, EXTRA_TABLES = 8, 32, 64
-#: Components of at most this many members take part in the extra tables whole.
-SMALL = 3
 #: Sketch distance in bits (of 128) up to which a pair is verified. At the threshold angle
 #: 30 bits differ on average, with a deviation of under 5.
 MOST_BITS = 48
@@ -187,7 +185,7 @@ def _labelled(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return vectors.join(labels, vectors["id"] == labels["node"], "left").select("id", F.coalesce("label", "id").alias("comp"), "v")
 
 
-def _sliced(rows: DataFrame, vectors: DataFrame, tables: int, total: int) -> DataFrame:
+def _sliced(rows: DataFrame, vectors: DataFrame, first: int, tables: int, total: int) -> DataFrame:
     """Add ``slice``: 0, but in hot buckets the leading component is split and the rest repeated.
 
     Which buckets are hot is estimated from a bounded sample; the result does not depend on it.
@@ -195,7 +193,7 @@ def _sliced(rows: DataFrame, vectors: DataFrame, tables: int, total: int) -> Dat
     if total <= HOT_ROWS:
         return rows.withColumn("slice", F.lit(0))
     share = min(1.0, SAMPLE / total)
-    taken = vectors.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share)).mapInArrow(_hashed(0, tables, False), BUCKET_ROWS)
+    taken = vectors.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share)).mapInArrow(_hashed(first, tables, False), BUCKET_ROWS)
     counts = taken.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.max_by("comp", "count").alias("lead"))
     # A bucket with over HOT_ROWS of the rows is one with a fixed share of the sample.
     hot = counts.filter(F.col("n") > max(20, HOT_ROWS * share)).select("bucket", "lead", F.ceil(F.col("n") / share / HOT_ROWS).cast("int").alias("slices"))
@@ -231,18 +229,14 @@ def similar_groups(df: DataFrame, key: str, vector: str, alike: float = ALIKE) -
 
     # All tables, between components only.
     known = cut_lineage(_labelled(vectors, labels))
-    hashed = _sliced(known.mapInArrow(_hashed(0, TABLES, True), BUCKET_ROWS), known, TABLES, total)
+    hashed = _sliced(known.mapInArrow(_hashed(0, TABLES, True), BUCKET_ROWS), known, 0, TABLES, total)
     pairs = _compared(hashed)
     links = cut_lineage(links.union(_verified(pairs, vectors, alike)))
     labels = cut_lineage(components(links))
 
-    # Longer tables for small components, against one another and the others' least members.
-    known = _labelled(vectors, labels)
-    sizes = labels.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL)
-    large = known.select("id", "comp", "v").join(sizes.select(F.col("label").alias("comp")), "comp", "left_semi").filter("id = comp")
-    small = known.join(sizes.select(F.col("label").alias("comp")), "comp", "left_anti")
-    few = cut_lineage(small.select("id", "comp", "v").unionByName(large.select("id", "comp", "v")))
-    extra = _compared(few.mapInArrow(_hashed(TABLES, EXTRA_TABLES, True), BUCKET_ROWS).withColumn("slice", F.lit(0)))
+    # Longer tables, again of all members and between components only.
+    known = cut_lineage(_labelled(vectors, labels))
+    extra = _compared(_sliced(known.mapInArrow(_hashed(TABLES, EXTRA_TABLES, True), BUCKET_ROWS), known, TABLES, EXTRA_TABLES, total))
     found = cut_lineage(_verified(extra, vectors, alike))
     if not found.isEmpty():
         labels = components(links.union(found))

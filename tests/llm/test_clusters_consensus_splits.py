@@ -50,6 +50,23 @@ def test_clusters_against_brute_force(frame):
     assert got == brute_clusters(rows, 0.75)
 
 
+def bridged(rng, bridges, cosine, dim=96, members=5):
+    """Pairs of stars whose only link is that of their centres, at the cosine; centres have the larger ids."""
+    rows = []
+    for _ in range(bridges):
+        q = np.linalg.qr(rng.normal(size=(dim, 2 + 2 * members)))[0].T
+        centres = q[0], cosine * q[0] + np.sqrt(1 - cosine**2) * q[1]
+        star = [0.85 * centres[k % 2] + np.sqrt(1 - 0.85**2) * e for k, e in enumerate(q[2:])]
+        rows += [(len(rows) + i, [float(x) for x in v]) for i, v in enumerate([*star, *centres])]
+    return rows
+
+
+def test_lone_bridges_between_clusters(frame):
+    rows = bridged(np.random.default_rng(8), 40, 0.76)
+    got = {r["vec"]: r["cluster_id"] for r in similarity_clusters.cluster_members(frame(rows, "vec long, vector array<float>"), "vec", "vector").collect()}
+    assert got == {i: i // 12 * 12 for i, _ in rows} == brute_clusters(rows, 0.75)
+
+
 def test_hot_bucket_is_split(frame, monkeypatch):
     rng = np.random.default_rng(4)
     rows = planted(rng, 1, 120, noise=0.1) + [(500 + i, v) for i, v in planted(rng, 10, 4)]
