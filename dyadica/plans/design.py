@@ -35,6 +35,36 @@ def build_cells(personas: DataFrame, prompts: DataFrame, facets: list[str], fram
     return cells.select(*UNIT_KEYS)
 
 
+def facet_factors(personas: DataFrame, prompts: DataFrame, framings: list[str] = list(FRAMINGS)) -> tuple[DataFrame, DataFrame]:
+    """(people, asked): the factors of all facets' designs, each facet with whoever has it, and the control.
+
+    The cells of :func:`build_cells` with each facet by itself, and the control's once, are
+    their product with the reps.
+    """
+    people = personas.filter((F.col("persona_type") != CONTROL) & F.col("persona_id").isNotNull()).select("persona_type", "persona_id")
+    control = personas.sparkSession.range(1).select(F.lit(CONTROL).alias("persona_type"), F.lit(CONTROL).alias("persona_id"))
+    asked = prompts.filter(F.col("prompt_type").isin(framings)).select("prompt_type", "prompt_id").distinct()
+    asked = asked.join(eligible_ids(asked, "prompt_id", "prompt_type", len(framings)), "prompt_id", "left_semi")
+    return people.distinct().unionByName(control), asked.select("prompt_type", "prompt_id")
+
+
+def factor_summary(people: DataFrame, asked: DataFrame, reps: int) -> DataFrame:
+    """:func:`design_summary` of the product of the factors, without forming it."""
+    persons = people.groupBy("persona_type").agg(F.count("*").alias("persons"))
+    prompts = asked.groupBy("prompt_type").agg(F.count("*").alias("prompts"))
+    cells = F.col("persons") * F.col("prompts") * reps
+    return persons.crossJoin(F.broadcast(prompts)).select("persona_type", "prompt_type", cells.alias("cells"), "persons", "prompts")
+
+
+def factor_wave(people: DataFrame, asked: DataFrame, reps: int, covered: DataFrame) -> DataFrame:
+    """Cells per facet and framing that :func:`wave` leaves of the product of the factors, without forming it."""
+    done = covered.select(*UNIT_KEYS).filter(F.col("rep").between(0, reps - 1)).distinct()
+    done = done.join(people, ["persona_type", "persona_id"], "left_semi").join(asked, ["prompt_type", "prompt_id"], "left_semi")
+    done = done.groupBy("persona_type", "prompt_type").agg(F.count("*").alias("done"))
+    left = factor_summary(people, asked, reps).join(done, ["persona_type", "prompt_type"], "left")
+    return left.select("persona_type", "prompt_type", (F.col("cells") - F.coalesce("done", F.lit(0))).alias("n")).filter("n > 0")
+
+
 def design_order(facets: list[str]) -> list[Column]:
     """Sort keys of the acquisition order: prompt, framing, control first, person, facets interleaved."""
     place = F.array_position(F.array(*map(F.lit, [CONTROL, *facets])), F.col("persona_type"))

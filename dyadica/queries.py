@@ -858,6 +858,24 @@ def wave_except(spark, d):
     return left.groupBy("persona_type", "prompt_type").agg(F.count("*").alias("n"))
 
 
+ALL_GRID = GRID.replace("persona_type = 'faith'", "persona_type <> 'none'")
+
+
+def _factors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """People of all facets, and the paired prompts."""
+    return design.facet_factors(clean_keys(table(spark, d, "personas")), clean_keys(table(spark, d, "prompts")).filter("text is not null"))
+
+
+@query(f"WITH {ALL_GRID} SELECT persona_type, prompt_type, count(*) AS cells, count(DISTINCT persona_id) AS persons, count(DISTINCT prompt_id) AS prompts FROM gd GROUP BY ALL")
+def design_grid_all(spark, d):
+    return design.factor_summary(*_factors(spark, d), 2)
+
+
+@query(f"WITH {ALL_GRID}, cv AS (SELECT DISTINCT {p_('persona_type')} AS persona_type, {p_('persona_id')} AS persona_id, prompt_type, {c_('prompt_id')} AS prompt_id, rep FROM attempt_log) SELECT persona_type, prompt_type, count(*) AS n FROM gd ANTI JOIN cv USING (persona_type, persona_id, prompt_type, prompt_id, rep) GROUP BY ALL")
+def wave_except_all(spark, d):
+    return design.factor_wave(*_factors(spark, d), 2, clean_keys(table(spark, d, "attempt_log")))
+
+
 @query(
     f"""WITH c AS (SELECT DISTINCT run_id, sha256({p_('persona_type')} || '|' || {p_('persona_id')} || '|' || prompt_type || '|' || {c_('prompt_id')} || '|' || rep) AS h FROM attempt_log),
 s AS (SELECT run_id, h[1:2] AS slot, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS d FROM c GROUP BY ALL) SELECT run_id, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(d, ',' ORDER BY slot)) AS digest FROM s GROUP BY ALL"""

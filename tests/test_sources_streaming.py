@@ -83,3 +83,14 @@ def test_against_sql(spark, name):
     got = queries.QUERIES[name](spark, SMALL).toPandas()[list(want.columns)]
     norm = lambda d: sorted((str([None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v for v in r]) for r in d.itertuples(index=False)))
     assert norm(got) == norm(want)
+
+
+@pytest.mark.parametrize("name", ["design_grid_all", "wave_except_all"])
+def test_all_facets_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("personas", "prompts", "attempt_log"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name]).fetchdf()
+    got = queries.QUERIES[name](spark, SMALL).toPandas()[list(want.columns)]
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
+    assert got["persona_type"].nunique() == 11  # ten facets and the control
