@@ -63,7 +63,10 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="dyadica-checkpoint-")
+        named = sc.getCheckpointDir()
+        if named is None:
+            named = tempfile.mkdtemp(prefix="dyadica-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
@@ -78,37 +81,57 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
-    Like :func:`cut_lineage`, but columnar and several times smaller, for large tables. The
-    tables stay until :func:`release`, as results may still be read from them.
+    Like :func:`cut_lineage`, but columnar and several times smaller, for large tables. A
+    table stays until :func:`discard` or :func:`release`, as results may still be read from it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/dyadica-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._dyadica_path = path
     sc = spark.sparkContext
     sc._dyadica_written = [*getattr(sc, "_dyadica_written", []), path]
-    return spark.read.schema(df.schema).parquet(path)
+    return out
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that :func:`written` left in the shared folder; how many there were."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     sc = spark.sparkContext
-    paths = getattr(sc, "_dyadica_written", [])
     for path in paths:
         where = sc._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-    sc._dyadica_written = []
+    sc._dyadica_written = [p for p in getattr(sc, "_dyadica_written", []) if p not in set(paths)]
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that no result reads any more.
+
+    An operator calls it once its later tables are written, so that only what the result is
+    read from stays in the shared folder.
+    """
+    if tables:
+        _delete(tables[0].sparkSession, [t._dyadica_path for t in tables])
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that :func:`written` left in the shared folder; how many there were."""
+    paths = list(getattr(spark.sparkContext, "_dyadica_written", []))
+    _delete(spark, paths)
     return len(paths)
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Round-robin a scan that has fewer partitions than the cluster has cores.
+    """Round-robin rows that come in fewer partitions than the cluster has cores.
 
     Used before CPU-heavy Python stages only; a scan of many splits is returned as it is.
+    Nothing is run to find out: a plan with exchanges, whose partitions adaptive execution
+    only settles while it runs, is always spread.
     """
     ship(df.sparkSession)
     want = per_core * df.sparkSession.sparkContext.defaultParallelism
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(want) if have < want // per_core else df
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df.repartition(want)
+    return df.repartition(want) if execution.toRdd().getNumPartitions() < want // per_core else df
 
 
 def shuffle_width(spark: SparkSession) -> int:
