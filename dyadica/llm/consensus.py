@@ -4,9 +4,9 @@ Votes are independent given the true level. The agreement of two annotators, cor
 chance, is then the product of their two reliabilities, so any three annotators give each
 one's reliability without a truth: r_i^2 = c_ij * c_ik / c_jk. The median over all pairs (j, k)
 is taken, and its sign from the annotator's agreement with the others, so an annotator that
-uses the scale upside down gets a negative reliability and still counts. Reliabilities start
-the vote weights; a few passes re-estimate each annotator's level-by-level rates, and votes are
-added up as log-odds.
+uses the scale upside down gets a negative reliability and still counts. From reliability and
+level shares follow each annotator's rates, and votes are added up as log-odds. Nothing is
+fitted in rounds.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from ..session import cut_lineage, trimmed
 
 #: The levels of a score between 0 and 1, cut at thirds.
 LEVELS = ("low", "mid", "high")
-#: Annotators are a short list; their pair table is made of columns. More are refused.
-MAX_ANNOTATORS = 64
-ROUNDS = 6
+#: The driver solves for one number per annotator, from at most two million pairs. More
+#: annotators are refused.
+MAX_ANNOTATORS = 2_000
 SMOOTH = 0.5
 
 
@@ -57,33 +57,29 @@ def newest_votes(df: DataFrame, item: list[str], annotator: str, score: str, at:
     return newest.groupBy(unit, dim).agg(F.array_sort(F.collect_list(vote)).alias("votes"))
 
 
-def _pair_moments(votes: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per pair of annotators: shared items, correlation of their levels; and each one's level shares."""
-    wide = votes.select(F.map_from_entries("votes").alias("m")).select(
-        *[(F.try_element_at("m", F.lit(n)) - 1).cast("double").alias(f"v{i}") for i, n in enumerate(names)]
+def _pair_moments(votes: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Per pair of annotators: shared items, and the correlation of their levels.
+
+    Pairs are formed inside an item's array, whose length is the number of its annotators,
+    and their sums are combined before they are shuffled.
+    """
+    left = votes.select(F.posexplode("votes").alias("i", "x"), "votes")
+    pairs = left.select("x", F.explode(F.slice("votes", F.col("i") + 2, F.greatest(F.size("votes"), F.lit(1)))).alias("y"))
+    a, b = (F.col(f"{c}.level") - 1 for c in "xy")
+    sums = pairs.groupBy(F.col("x.annotator").alias("p"), F.col("y.annotator").alias("q")).agg(
+        F.count("*").alias("n"), *[F.sum(v).alias(k) for k, v in (("a", a), ("b", b), ("aa", a * a), ("bb", b * b), ("ab", a * b))]
     )
-    aggs = []
-    for i in range(len(names)):
-        aggs += [F.sum((F.col(f"v{i}") == l - 1).cast("double")).alias(f"m_{i}_{l}") for l in range(3)]
-    for i, j in combinations(range(len(names)), 2):
-        a, b = F.col(f"v{i}"), F.col(f"v{j}")
-        both = a.isNotNull() & b.isNotNull()
-        for k, x in (("n", F.lit(1.0)), ("a", a), ("b", b), ("aa", a * a), ("bb", b * b), ("ab", a * b)):
-            aggs.append(F.sum(F.when(both, x)).alias(f"{k}_{i}_{j}"))
-    row = wide.agg(*aggs).first().asDict()
-    get = lambda k: float(row[k] or 0.0)
+    rows = sums.collect()
+    at = {n: i for i, n in enumerate(names)}
     size, corr = np.zeros((len(names),) * 2), np.zeros((len(names),) * 2)
-    for i, j in combinations(range(len(names)), 2):
-        n = get(f"n_{i}_{j}")
-        if n < 2:
-            continue
-        a, b = get(f"a_{i}_{j}") / n, get(f"b_{i}_{j}") / n
-        va, vb = get(f"aa_{i}_{j}") / n - a * a, get(f"bb_{i}_{j}") / n - b * b
+    for r in rows:
+        i, j, n = at[r["p"]], at[r["q"]], float(r["n"])
         size[i, j] = size[j, i] = n
-        if va > 1e-12 and vb > 1e-12:
-            corr[i, j] = corr[j, i] = (get(f"ab_{i}_{j}") / n - a * b) / np.sqrt(va * vb)
-    shares = np.array([[get(f"m_{i}_{l}") for l in range(3)] for i in range(len(names))]) + SMOOTH
-    return size, corr, shares / shares.sum(1, keepdims=True)
+        x, y = r["a"] / n, r["b"] / n
+        va, vb = r["aa"] / n - x * x, r["bb"] / n - y * y
+        if n >= 2 and va > 1e-12 and vb > 1e-12:
+            corr[i, j] = corr[j, i] = (r["ab"] / n - x * y) / np.sqrt(va * vb)
+    return size, corr
 
 
 def triplet_reliabilities(size: np.ndarray, corr: np.ndarray) -> np.ndarray:
@@ -93,13 +89,14 @@ def triplet_reliabilities(size: np.ndarray, corr: np.ndarray) -> np.ndarray:
         r = np.sqrt(abs(corr[0, 1])) if n == 2 else 1.0
         return np.full(n, max(r, 0.1))
     noise = np.where(size > 0, 3 / np.sqrt(np.maximum(size, 1)), np.inf)
+    solid, upper = np.abs(corr) > noise, np.triu(np.ones((n, n), bool), 1)
     out = np.zeros(n)
     for i in range(n):
-        est = []
-        for j, k in combinations([x for x in range(n) if x != i], 2):
-            if abs(corr[j, k]) > noise[j, k] and size[i, j] and size[i, k]:
-                est.append(corr[i, j] * corr[i, k] / corr[j, k])
-        out[i] = np.sqrt(min(max(np.median(est), 0.0), 0.98)) if est else 0.0
+        met = (size[i] > 0) & (np.arange(n) != i)
+        use = solid & upper & met[:, None] & met[None, :]
+        if use.any():
+            est = np.median(np.outer(corr[i], corr[i])[use] / corr[use])
+            out[i] = np.sqrt(min(max(est, 0.0), 0.98))
     # Signs: those of the leading agreement pattern, turned so that most weight is positive.
     values, vectors = np.linalg.eigh(np.where(size > 0, corr, 0.0))
     lead = vectors[:, np.argmax(values)]
@@ -107,30 +104,27 @@ def triplet_reliabilities(size: np.ndarray, corr: np.ndarray) -> np.ndarray:
     return np.where(lead < 0, -out, out)
 
 
-def start_rates(r: np.ndarray, shares: np.ndarray) -> np.ndarray:
+def vote_rates(r: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """rates[i, truth, vote] of annotators with the given signed reliabilities."""
     hit = np.where((r < 0)[:, None, None], np.eye(3)[::-1][None], np.eye(3)[None])
     rates = np.abs(r)[:, None, None] * hit + (1 - np.abs(r))[:, None, None] * shares[:, None, :]
     return np.clip(rates, 1e-3, None) / np.clip(rates, 1e-3, None).sum(2, keepdims=True)
 
 
-def _with_posterior(votes: DataFrame, names: list[str], prior: np.ndarray, rates: np.ndarray) -> DataFrame:
-    """Add ``p``, array<double>: each level's probability, given the votes and all weights."""
-    logs = [F.array(*[F.lit(float(y)) for y in np.log(rates[i]).ravel()]) for i in range(len(names))]
-    table = F.create_map(*[x for n, y in zip(names, logs) for x in (F.lit(n), y)])
-
-    def joint(level: int) -> Column:
-        def add(acc: Column, v: Column) -> Column:
-            return acc + F.element_at(F.element_at(table, v["annotator"]), v["level"] + (3 * level + 1))
-
-        return F.aggregate("votes", F.lit(float(np.log(prior[level]))), add)
-
-    out = votes.withColumns({f"_j{l}": joint(l) for l in range(3)})
+def _combined(votes: DataFrame, item: list[str], weights: DataFrame, prior: np.ndarray) -> DataFrame:
+    """(item columns, n_votes, p, hits): each level's probability from the summed log-odds, and
+    the votes for each level. ``weights`` holds (annotator, level, w array<double>)."""
+    each = votes.select(*item, F.explode_outer("votes").alias("v")).select(*item, F.col("v.annotator").alias("annotator"), F.col("v.level").alias("level"))
+    joined = each.join(F.broadcast(weights), ["annotator", "level"], "left")
+    sums = joined.groupBy(*item).agg(
+        F.count("level").alias("n_votes"),
+        *[(F.coalesce(F.sum(F.col("w")[l]), F.lit(0.0)) + float(np.log(prior[l]))).alias(f"_j{l}") for l in range(3)],
+        F.array(*[F.count_if(F.col("level") == l) for l in range(3)]).alias("hits"),
+    )
     top = F.greatest("_j0", "_j1", "_j2")
-    out = out.withColumns({f"_e{l}": F.exp(F.col(f"_j{l}") - top) for l in range(3)})
-    total = F.col("_e0") + F.col("_e1") + F.col("_e2")
-    p = F.array(*[F.col(f"_e{l}") / total for l in range(3)])
-    return out.withColumn("p", p).drop(*[f"_{x}{l}" for x in "je" for l in range(3)])
+    odds = [F.exp(F.col(f"_j{l}") - top) for l in range(3)]
+    # Summation order may not decide a tie.
+    return sums.select(*item, "n_votes", "hits", F.array(*[F.round(o / (odds[0] + odds[1] + odds[2]), 9) for o in odds]).alias("p"))
 
 
 def consensus(df: DataFrame, item: list[str], annotator: str, score: str, at: str) -> tuple[DataFrame, DataFrame]:
@@ -145,46 +139,38 @@ def consensus(df: DataFrame, item: list[str], annotator: str, score: str, at: st
     """
     spark = df.sparkSession
     votes = cut_lineage(newest_votes(df, item, annotator, score, at))
-    listed = votes.select(F.explode("votes.annotator").alias("a")).groupBy("a").count().orderBy("a").take(MAX_ANNOTATORS + 1)
-    if len(listed) > MAX_ANNOTATORS:
+    used = votes.select(F.explode("votes").alias("v")).groupBy("v.annotator", "v.level").count().limit(3 * MAX_ANNOTATORS + 1).collect()
+    names = sorted({r["annotator"] for r in used})
+    if len(names) > MAX_ANNOTATORS or len(used) > 3 * MAX_ANNOTATORS:
         raise ValueError(f"more than {MAX_ANNOTATORS} annotators")
-    names, n_votes = [r["a"] for r in listed], [r["count"] for r in listed]
+    at, counts = {n: i for i, n in enumerate(names)}, np.zeros((len(names), 3))
+    for r in used:
+        counts[at[r["annotator"]], r["level"]] = r["count"]
     schema = "annotator string, reliability double, accuracy double, n_votes long"
     if not names:
         empty = votes.select(*item, F.lit("mid").alias("level"), F.lit(1 / 3).alias("confidence"), F.lit(None).cast("double").alias("agreement"), F.lit(0).alias("n_votes"))
         return empty, spark.createDataFrame([], schema)
-    size, corr, shares = _pair_moments(votes, names)
+    size, corr = _pair_moments(votes, names)
+    shares = (counts + SMOOTH) / (counts + SMOOTH).sum(1, keepdims=True)
     r = triplet_reliabilities(size, corr)
     weight = np.abs(r) + 1e-6
     prior = (shares * weight[:, None]).sum(0) / weight.sum()
-    rates = start_rates(r, shares)
-    for _ in range(ROUNDS):
-        sums = (
-            _with_posterior(votes.filter(F.size("votes") > 1), names, prior, rates)
-            .select("p", F.explode("votes").alias("v"))
-            .groupBy("v.annotator", "v.level")
-            .agg(*[F.sum(F.col("p")[l]).alias(f"p{l}") for l in range(3)])
-            .collect()
-        )
-        counts = np.full((len(names), 3, 3), SMOOTH)
-        for s in sums:
-            counts[names.index(s["annotator"]), :, s["level"]] += [s[f"p{l}"] for l in range(3)]
-        rates = counts / counts.sum(2, keepdims=True)
-        prior = counts.sum((0, 2)) / counts.sum()
+    rates = vote_rates(r, shares)
+    logs = [(n, l, [float(x) for x in np.log(rates[i, :, l])]) for i, n in enumerate(names) for l in range(3)]
+    weights = spark.createDataFrame(logs, "annotator string, level int, w array<double>")
     p = F.col("p")
     best = F.when((p[1] >= p[0]) & (p[1] >= p[2]), 1).when(p[0] >= p[2], 0).otherwise(2)
-    same = F.size(F.filter("votes", lambda v: v["level"] == F.col("best")))
     items = (
-        _with_posterior(votes, names, prior, rates)
+        _combined(votes, item, weights, prior)
         .withColumn("best", best)
         .select(
             *item,
             F.element_at(F.array(*map(F.lit, LEVELS)), F.col("best") + 1).alias("level"),
             F.element_at("p", F.col("best") + 1).alias("confidence"),
-            F.try_divide(same.cast("double"), F.size("votes")).alias("agreement"),
-            F.size("votes").alias("n_votes"),
+            F.try_divide(F.element_at("hits", F.col("best") + 1).cast("double"), F.col("n_votes")).alias("agreement"),
+            F.col("n_votes").cast("int").alias("n_votes"),
         )
     )
     accuracy = (rates[:, range(3), range(3)] * prior).sum(1)
-    rows = [(n, float(r[i]), float(accuracy[i]), int(n_votes[i])) for i, n in enumerate(names)]
+    rows = [(n, float(r[i]), float(accuracy[i]), int(counts[i].sum())) for i, n in enumerate(names)]
     return items, spark.createDataFrame(rows, schema)
