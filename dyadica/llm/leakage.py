@@ -9,18 +9,23 @@ length in its range ends in; their set is precomputed along the suffix links.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import spread
 
 MIN_WORDS = 12
-#: Items are broadcast as an automaton, so their words are bounded; more are done in blocks.
-MAX_ITEM_WORDS = 2_000_000
+#: An automaton is broadcast, so the words it is built of are bounded; the items are taken in
+#: as many blocks as that needs, and a single item that is longer is a block by itself.
+BLOCK_WORDS = 1_000_000
+#: Automata this worker has read, by the number of their broadcast; the newest few.
+_READ: dict[str, "ItemAutomaton"] = {}
 WORDS = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -109,26 +114,20 @@ class ItemAutomaton:
             yield item, start, end
 
 
-def leaked_passages(
-    docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, min_words: int = MIN_WORDS
-) -> DataFrame:
-    """(key, item, first_word, end_word, n_words): every maximal run of at least ``min_words``
-    consecutive words of an item inside a document; words are counted from 0.
+def _automaton(name: str, sent) -> ItemAutomaton:
+    """The broadcast automaton, read once per worker and not once per task."""
+    if name not in _READ:
+        while len(_READ) > 2:
+            _READ.pop(next(iter(_READ)))
+        _READ[name] = pickle.loads(sent.value)
+    return _READ[name]
 
-    Null and empty texts leak nothing, items shorter than the threshold are never found, an
-    item with a null id is skipped, repeated rows are reported again. Layout (case, marks,
-    white space) plays no part. The items must hold at most ``MAX_ITEM_WORDS`` words in all,
-    which is checked: they are the held-out side and are made into one broadcast automaton.
-    """
-    spark = docs.sparkSession
-    rows = items.select(F.col(f"`{item_key}`").cast("long"), F.col(f"`{item_text}`").cast("string")).limit(MAX_ITEM_WORDS + 1).collect()
-    listed = sorted((i, words(t)) for i, t in rows if i is not None)
-    if sum(len(w) for _, w in listed) > MAX_ITEM_WORDS or len(rows) > MAX_ITEM_WORDS:
-        raise ValueError("too many item words for one automaton; pass the items in blocks")
-    automaton = spark.sparkContext.broadcast(pickle.dumps(ItemAutomaton(listed, min_words), protocol=5))
+
+def _scanner(sent, min_words: int):
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(automaton.value)
+        own = _automaton(name, sent)
         for batch in batches:
             rows, hits = [], []
             for i, raw in enumerate(batch.column(1).to_pylist()):
@@ -141,10 +140,37 @@ def leaked_passages(
             n = pa.array([h[2] - h[1] for h in hits], pa.int64())
             yield pa.RecordBatch.from_arrays([keys, item, start, end, n], names=["k", "i", "s", "e", "n"])
 
+    return run
+
+
+def leaked_passages(
+    docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """(key, item, first_word, end_word, n_words): every maximal run of at least ``min_words``
+    words inside a document of which each ``min_words`` in a row are consecutive words of one
+    item; words are counted from 0.
+
+    Null and empty texts leak nothing, items shorter than the threshold are never found, an
+    item with a null id is skipped, repeated rows are reported again. Layout (case, marks,
+    white space) plays no part. The items are the held-out side. Those of more than
+    ``block_words`` words in all are dealt into blocks by hash, and the documents are streamed
+    once for each block's automaton; as a passage belongs to one item, the result is the same.
+    """
+    spark = docs.sparkSession
+    own = items.select(F.col(f"`{item_key}`").cast("long").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).filter("i is not null")
+    size = F.size(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    total = own.agg(F.coalesce(F.sum(F.greatest(size, F.lit(0))), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-total // block_words))
     kind = docs.schema[key].dataType.simpleString()
     lean = spread(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").cast("binary").alias("t")))
-    found = lean.mapInArrow(run, f"k {kind}, i long, s long, e long, n long")
-    return found.toDF(key, item_key, "first_word", "end_word", "n_words")
+    out = None
+    for b in range(blocks):
+        part = own.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else own
+        listed = sorted((r["i"], words(r["t"])) for r in part.collect())
+        sent = spark.sparkContext.broadcast(pickle.dumps(ItemAutomaton(listed, min_words), protocol=5))
+        found = lean.mapInArrow(_scanner(sent, min_words), f"k {kind}, i long, s long, e long, n long")
+        out = found if out is None else out.unionByName(found)
+    return out.toDF(key, item_key, "first_word", "end_word", "n_words")
 
 
 def leaks(passages: DataFrame, key: str, item_key: str) -> DataFrame:
@@ -152,6 +178,24 @@ def leaks(passages: DataFrame, key: str, item_key: str) -> DataFrame:
     return passages.select(key, item_key).distinct()
 
 
+def leak_removal(docs: DataFrame, passages: DataFrame, key: str, text: str, max_words: int = 50, max_share: float = 0.2) -> DataFrame:
+    """(key, longest, leaked_words, n_words, action) of each leaking document.
+
+    ``leaked_words`` counts the words that stand in any leaked passage, each once. The whole
+    record goes (``drop``) if its longest leak exceeds ``max_words`` words or its leaked words
+    a share of ``max_share``; of the others the passages go (``cut``). Of several texts under
+    one key the longest counts.
+    """
+    w = W.partitionBy(key).orderBy("first_word", "end_word").rowsBetween(W.unboundedPreceding, -1)
+    reach = F.coalesce(F.max("end_word").over(w), F.lit(0))
+    fresh = F.greatest(F.col("end_word") - F.greatest(F.col("first_word"), reach), F.lit(0))
+    per = passages.distinct().withColumn("_f", fresh).groupBy(key).agg(F.max("n_words").alias("longest"), F.sum("_f").alias("leaked_words"))
+    n = F.size(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).cast("long")
+    sizes = docs.select(F.col(f"`{key}`").alias(key), n.alias("n_words")).join(per.select(key), key, "left_semi").groupBy(key).agg(F.max("n_words").alias("n_words"))
+    whole = (F.col("longest") > max_words) | (F.col("leaked_words") > max_share * F.col("n_words"))
+    return per.join(sizes, key).select(key, "longest", "leaked_words", "n_words", F.when(whole, "drop").otherwise("cut").alias("action"))
+
+
 def leak_coverage(docs: DataFrame, passages: DataFrame, key: str, text: str, coverage: float = 0.2) -> DataFrame:
     """(key, leaked_words, drop_document) of each leaking document: its longest leak in words,
     and whether that exceeds a share of the text's words so that the whole record should go."""

@@ -94,6 +94,18 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_splits.assign_splits(p5_found(spark, sf_dir), "cell_key", framing)
 
 
+def p5_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split: all cells, whether its own are within two per cent of its share, and the
+    groups that stand in more than one split."""
+    placed = p5_splits(spark, sf_dir)
+    total = placed.agg(F.count("*").alias("total"))
+    torn = placed.filter("group_key is not null").groupBy("group_key").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("torn"))
+    share = F.create_map(*[F.lit(x) for kv in grouped_splits.SPLITS.items() for x in kv])
+    sizes = placed.groupBy("split").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(torn))
+    off = F.abs(F.col("n") - F.element_at(share, F.col("split")) * F.col("total"))
+    return sizes.select("split", "total", (off <= 0.02 * F.col("total")).alias("close"), "torn")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective replies with their defect."""
     replies, prompts = table(spark, sf_dir, "parsed_probes"), table(spark, sf_dir, "prompts")
@@ -118,6 +130,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text again, from its ids."""
+    return encoding.decode_corpus(p8_ids(spark, sf_dir), "doc_id")
+
+
 def _p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
     return leakage.leaked_passages(docs, items, "doc_id", "text", "item_id", "text")
@@ -135,6 +152,11 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p9_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaking document, how much leaks and whether the record or its passages should go."""
+    return leakage.leak_removal(table(spark, sf_dir, "documents"), _p9_passages(spark, sf_dir), "doc_id", "text")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a long passage with another one."""
     return shared_spans.shared_records(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -162,12 +184,15 @@ QUERIES = {
     "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
+    "p5_balance": p5_balance,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p8_ids": p8_ids,
+    "p8_decoded": p8_decoded,
     "p9_found": p9_found,
     "p9_items": p9_items,
+    "p9_removal": p9_removal,
     "p10_found": p10_found,
     "p10_spans": p10_spans,
     "p10_share": p10_share,
@@ -176,6 +201,17 @@ QUERIES = {
 CLEAN = "nullif(nullif(lower(regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), ''), 'none')"
 GRAMS = """{0}w AS (SELECT DISTINCT {1}, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {2} WHERE text IS NOT NULL),
 {0}g AS (SELECT DISTINCT {1}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {1}, w, unnest(range(1, len(w) - 10)) AS i FROM {0}w))"""
+#: Each word of a document at which twelve words in a row start that some item holds too.
+LEAKS = "WITH " + GRAMS.format("d", "doc_id", "documents") + ", " + GRAMS.format("i", "item_id", "eval_items") + """,
+dp AS (SELECT doc_id, i, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw)),
+hit AS (SELECT DISTINCT doc_id, item_id, i FROM dp JOIN ig USING (g)),
+runs AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY i) AS r FROM hit) GROUP BY doc_id, item_id, r)"""
+#: The starts of all windows of 400 characters that stand in another document too, in islands.
+SPANS = """WITH w AS (SELECT doc_id, i - 1 AS st, md5(substring(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), hit AS (SELECT DISTINCT doc_id, st FROM w WHERE h IN (SELECT h FROM s)),
+fresh AS (SELECT *, CASE WHEN st > coalesce(lag(st) OVER (PARTITION BY doc_id ORDER BY st), -401) + 400 THEN 1 ELSE 0 END AS f FROM hit),
+island AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY st) AS k FROM fresh),
+span AS (SELECT doc_id, min(st) AS "start", max(st) + 400 AS "end", max(st) + 400 - min(st) AS n_chars FROM island GROUP BY doc_id, k)"""
 
 ORACLES = {
     "p1_found": P1_TERMS
@@ -198,5 +234,14 @@ SELECT cell_key, min(m) AS group_key FROM (SELECT cell_key, coalesce(c.q, o.q) A
     "p10_found": """
 WITH w AS (SELECT doc_id, md5(substring(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
 s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)) SELECT DISTINCT doc_id FROM w WHERE h IN (SELECT h FROM s)""",
+    "p5_balance": """SELECT split, (SELECT count(DISTINCT cell_key) FROM attempt_log) AS total, true AS close, CAST(0 AS BIGINT) AS torn FROM (VALUES ('train'), ('validation'), ('test')) v(split)""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_items": LEAKS + " SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(n) AS longest FROM runs GROUP BY item_id",
+    "p9_removal": LEAKS + """, cov AS (SELECT doc_id, count(*) AS leaked_words FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 12)) AS p FROM hit) GROUP BY doc_id),
+sz AS (SELECT doc_id, max(len(w)) AS n_words FROM dw GROUP BY doc_id), lo AS (SELECT doc_id, max(n) AS longest FROM runs GROUP BY doc_id)
+SELECT doc_id, longest, leaked_words, n_words, CASE WHEN longest > 50 OR leaked_words > 0.2 * n_words THEN 'drop' ELSE 'cut' END AS action FROM lo JOIN cov USING (doc_id) JOIN sz USING (doc_id)""",
+    "p10_spans": SPANS + """ SELECT doc_id, "start", "end", n_chars FROM span""",
+    "p10_share": SPANS + """, own AS (SELECT doc_id, max(length(coalesce(text, ''))) AS n_chars FROM documents GROUP BY doc_id), sh AS (SELECT doc_id, sum(n_chars) AS s FROM span GROUP BY doc_id)
+SELECT doc_id, CAST(least(coalesce(s, 0), own.n_chars) AS BIGINT) AS shared_chars, own.n_chars, least(coalesce(s, 0), own.n_chars) / nullif(own.n_chars, 0) AS share FROM own LEFT JOIN sh USING (doc_id)""",
     "p1_counts": P1_TERMS + "SELECT field, term, occurrences, records FROM counts",
 }

@@ -5,7 +5,8 @@ move many times the corpus, so a shorter window stands for them first: of the ``
 windows inside a passage-long one, that with the least hash. Two equal passages choose the
 same, so a window whose representative occurs in one record only cannot be repeated. The
 others are sieved once more by somewhat shorter windows on a grid, which each of them
-holds one of. What is left is hashed at full length (twice, 128 bits in all), counted in Spark, and merged into maximal intervals. No candidate is capped, no pair is
+holds one of. The corpus is read twice: once for the representatives of every text, and once
+for the texts that have repeated ones. What is left is hashed at full length (twice, 128 bits in all), counted in Spark, and merged into maximal intervals. No candidate is capped, no pair is
 formed: groups are aggregated map-side to a least and a greatest record id. Where a window
 stands in very many records, the join that finds it back is one that adaptive execution
 splits, as its other side has one row per window. Texts are told apart by a 64-bit hash.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import spread, written
+from ..session import discard, spread, written
 
 PASSAGE = 400
 GRAM = 200
@@ -96,18 +97,20 @@ def representatives(part: np.ndarray, passage: int, gram: int) -> np.ndarray:
 
 
 def _anchors(passage: int, gram: int):
+    """(key, text_id, n_chars, text) rows to (key, text_id, n_chars, anchors)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, hashes = [], []
-            for i, raw in enumerate(batch.column(1).to_pylist()):
+            lists = []
+            for raw in batch.column(3).to_pylist():
                 found = [np.unique(representatives(part, passage, gram)) for _, part in segments(raw, passage)]
-                if found:
-                    own = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
-                    hashes.append(own.view(np.int64))
-                    at.append(np.full(len(own), i))
-            if hashes:
-                digests = batch.column(0).take(pa.array(np.concatenate(at)))
-                yield pa.RecordBatch.from_arrays([digests, pa.array(np.concatenate(hashes))], names=["text_id", "anchor"])
+                own = found[0] if len(found) == 1 else np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
+                lists.append(own.view(np.int64))
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in range(3)), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["key", "text_id", "n_chars", "anchors"]
+            )
 
     return run
 
@@ -197,26 +200,28 @@ def shared_windows(df: DataFrame, key: str, text: str, passage: int = PASSAGE, g
     own = own.filter(F.col("key").isNotNull() & (F.length("t") >= passage))
     raw = F.col("t").cast("binary")
     docs = own.select("key", F.xxhash64(raw, F.lit(1)).alias("text_id"), F.length("t").alias("n_chars"), raw.alias("t"))
-    groups = docs.groupBy("text_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
-    anchors = spread(docs.select("text_id", "t")).mapInArrow(_anchors(passage, gram), "text_id long, anchor long")
-    # Copies of a text count once, combined before the shuffle.
-    anchors = written(anchors.distinct())
-    repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    wanted = anchors.join(repeated, "anchor", "left_semi").groupBy("text_id").agg(F.collect_list("anchor").alias("wanted"))
+    kind = docs.schema["key"].dataType.simpleString()
+    base = written(spread(docs).mapInArrow(_anchors(passage, gram), f"key {kind}, text_id long, n_chars int, anchors array<long>"))
+    slim = base.select("key", "text_id", "n_chars")
+    groups = written(slim.groupBy("text_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key")))
+    anchors = base.select("text_id", F.explode("anchors").alias("anchor"))
+    # Copies of a text are one text, whichever rows they stand in.
+    repeated = anchors.groupBy("anchor").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).filter("lo <> hi").select("anchor")
+    wanted = anchors.join(repeated, "anchor", "left_semi").groupBy("text_id").agg(F.collect_set("anchor").alias("wanted"))
     # One record stands for its copies, which are shared as they are.
     standing = wanted.join(groups, "text_id").select("text_id", F.col("first_key").alias("key"), "wanted")
-    todo = docs.join(standing, ["text_id", "key"]).dropDuplicates(["text_id"])
+    todo = docs.select("key", "text_id", "t").join(standing, ["text_id", "key"]).dropDuplicates(["text_id"])
     todo = written(todo.select("text_id", "key", "t", "wanted"))
-    kind = docs.schema["key"].dataType.simpleString()
     step = max(1, min(GRID, passage // 8))
     cells = written(spread(todo).mapInArrow(_grid_windows(passage, gram, step), f"text_id long, key {kind}, cell long"))
     shared = cells.groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("cell")
     hits = cells.join(shared, "cell", "left_semi").groupBy("text_id").agg(F.collect_list("cell").alias("cells"))
     close = spread(todo.join(hits, "text_id").select("text_id", "key", "t", "wanted", "cells"))
     windows = written(close.mapInArrow(_windows(passage, gram, step), f"text_id long, key {kind}, a long, b long, start long"))
+    discard(cells, todo)
     hit = windows.groupBy("a", "b").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("a", "b")
     spotted = windows.join(hit, ["a", "b"], "left_semi").select("text_id", "start")
-    return docs.drop("t").join(groups, "text_id"), spotted
+    return slim.join(groups, "text_id"), spotted
 
 
 def shared_spans(df: DataFrame, key: str, text: str, passage: int = PASSAGE) -> DataFrame:
