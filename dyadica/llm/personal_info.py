@@ -40,7 +40,8 @@ In Is It Its Just Keep Lake Last Let Like Many Maybe Me Most My Neither Never Ne
 On Once One Only Or Other Our Part Passport People Perhaps Please Reach Regards Room Seat Set She Should Since
 So Some Somebody Someone Sorry Table Take Tell Thank Thanks That The Their Then There These They This Thoughts
 Those Ticket To Today Try Under Version Was We Were What When Where Which While Who Why Will With Work Would Yes
-Yesterday You Your Monday Tuesday Wednesday Thursday Friday Saturday Sunday
+Afterwards Again Although Eventually Finally However Instead Later Meanwhile Often Soon Sometimes Still Suddenly Though Unless
+Until Usually Yesterday You Your Monday Tuesday Wednesday Thursday Friday Saturday Sunday
 """.split()
 
 # Words of firms, and of places, that make a capitalised pair no person.
@@ -54,26 +55,35 @@ WORD = rf"{CAP}(?:-{CAP})?"
 LAST = rf"(?!(?i:(?:{'|'.join(map(str, ORDINARY))})\b)){WORD}"
 FIRST = rf"(?:{'|'.join(sorted({*GIVEN, *(g.upper() for g in GIVEN)}, key=len, reverse=True))})"
 INITIAL = r"\p{Lu}\."
+# Words that a single letter follows.
+LETTERED = r"(?i:plan|vitamin|option|part|section|appendix|grade|class|hepatitis|team|group|type|point|step|exhibit|item|unit|page|row|model|size|answer|question|and|or)"
 NAMES = [
     # (pattern, score): full names, whose first part is known
     (re.compile(rf"\b{FIRST}(?:-{FIRST})?(?: (?:{INITIAL}|{FIRST}))* (?:(?i:{PARTICLE}) )?{LAST}\b"), 0.7),
     (re.compile(rf"\b{FIRST} {INITIAL}(?! ?\p{{Lu}}\.)(?!\w)"), 0.6),
     (re.compile(rf"\b{LAST}, {FIRST}(?: {INITIAL})?(?![\w-])"), 0.65),
     # titles
-    (re.compile(rf"\b{TITLE}\.? (?:(?:{INITIAL}|{FIRST}) )*(?:{PARTICLE} )?{LAST}(?! \p{{Lu}}\p{{Ll}}+ (?:{FIRM}))"), 0.7),
-    # initials
-    (re.compile(rf"(?<![\p{{L}}\p{{N}}] )(?<![\p{{L}}\p{{N}}])(?:{INITIAL} ?)+(?:{PARTICLE} )?{LAST}\b"), 0.35),
+    (re.compile(rf"\b{TITLE}\.? (?:(?:{INITIAL}|{LAST}) ){{0,2}}(?:{PARTICLE} )?{LAST}(?! \p{{Lu}}\p{{Ll}}+ (?:{FIRM}))"), 0.7),
+    # initials: inside a sentence they speak for themselves, at its start they need context
+    (re.compile(rf"(?<=\p{{Ll}},? )(?<!\b{LETTERED} )(?:{INITIAL} ?)+(?:{PARTICLE} )?{LAST}\b"), 0.5),
     (re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{INITIAL} ?)+(?:{PARTICLE} )?{LAST}\b"), 0.3),
     # two or more capitalised words; context has to speak for them
     (re.compile(rf"\b{LAST}(?: {INITIAL})?(?: (?:{PARTICLE} )?{LAST}){{1,2}}\b"), 0.15),
     (re.compile(rf"\b{LAST}\b"), 0.05),
 ]
+# What people are introduced with, and what they do; both speak for a name.
 NAME_BEFORE = re.compile(
-    r"(?i:\bmy name is|\bname’?s?:?|\bsigned by|\bI (?:spoke|talked|wrote) (?:to|with)|\b(?:best|kind|warm) regards,?|\byours sincerely,?|\bsincerely,?"
+    r"(?i:\bmy name is|\bname’?s?:?|\bnames:|\bthis is|\bsigned(?: by)?,?|\b(?:spoke|speak|talked|talk|wrote|written|met|lunch|dinner) (?:to|with)|\b(?:best|kind|warm|many) regards,?|\byours (?:sincerely|truly|faithfully),?"
+    r"|\bsincerely,?|\bcheers,|\b(?:dear|hello|hi),?|\b(?:asked|told|met|thanked|married|named|called|phoned|emailed|invited)|\b(?:neighbou?r|friend|colleague|cousin|brother|sister|uncle|aunt|boss|manager|teacher|doctor|landlord|flatmate|roommate),?"
     r"|\bich hei(?:ß|ss)e|\bje m['’]appelle|\b(?:me|mi) (?:llamo|chiamo)|\b(?:meu|mi) n?ome (?:é|e)|\bme chamo|\bmi nombre es|\bcontact(?: person)?:?) ?$"
 )
-NAME_AROUND = (re.compile(r"\b(?:It was|Then|And then) $"), re.compile(r"^ (?:who|showed up|called|came|said|told|wrote)\b"))
-SURNAME = re.compile(r"(?i)(?:bury|etti|elli|nova|quist|mark|drin|maar|lund|owski|ander|vald|wych|grave|holt|sted|sson|sen|ovic|escu|ez|oglu|stein|berg|mann|ini)$")
+NAME_AFTER = re.compile(
+    r"^,? (?:who|whom|whose|says?|said|tells?|told|asks?|asked|calls?|called|phoned|rang|came|comes|showed up|arrived|left|went|wrote|replied|answered|laughed|cried|agreed|refused|promised|knocked|offered|invited|thinks|thought|wants|wanted|knows|knew|and (?:I|his|her|their|my) )\b"
+)
+# A single word counts as a name only after these.
+SINGLE_CUE = re.compile(
+    r"(?i:\bmy name is|\bname’?s?:?|\bnames:|\bsigned(?: by)?,?|regards,?|\byours \w+,?|sincerely,?|\bich hei(?:ß|ss)e|appelle|llamo|chiamo|\bome (?:é|e)|\bnome (?:é|e)|chamo|nombre es|contact(?: person)?:?) ?$"
+)
 
 AT = r"(?:\s?[@＠]\s?|\s?[(\[{]\s?(?i:at)\s?[)\]}]\s?|(?<=\w) (?i:at) (?=[\w-]+ (?i:dot) ))"
 DOT = r"(?:\.| \. |\s?[(\[{]\s?(?i:dot)\s?[)\]}]\s?| (?i:dot) )"
@@ -111,12 +121,12 @@ IDS = [
 CARD = re.compile(rf"{EDGE}(?:\d[ -]?){{12,18}}\d{STOP}")
 IBAN = re.compile(rf"{EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{11,30}}{STOP}")
 PHONE_WORDS = re.compile(
-    r"(?i)\b(?:tel|phone|call(?:ed)?|mobile|cell|text(?:ed)?|rang|ring|dial|whatsapp|fax|reach me|number on the note|ruf|tel[eé]fono|téléphone|appelle|mon numéro|n[uú]mero|telefone?|handy|celular|cellulare|ligue|chiamami)\b"
+    r"(?i)\b(?:tel|phone|call(?:ed)?|mobile|cell|text(?:ed)?|rang|ring|dial|whatsapp|fax|reach me|ruf|tel[eé]fono|téléphone|appelle|mon numéro|n[uú]mero|telefone?|handy|celular|cellulare|ligue|chiamami)\b"
 )
 ID_WORDS = re.compile(
     r"(?i)\b(?:passport|licen[cs]e|tax|social security|insurance|personal|identity|id|ssn|national|dni|nif|cpf|steuer\w*|ausweis\w*|personalausweis|sécu|fiscale?|identificación|documento)\b(?: (?:no\.?|number|nr\.?|#|as|is))*"
 )
-OTHER_NUMBER = re.compile(r"(?i)\b(?:order|invoice|article|ticket|raffle|flight|version|seat|room|table|run|seed|item|product|serial|tracking|booking code|score|recipe|lists)\b(?: (?:number|no\.?|was|is|says))*")
+OTHER_NUMBER = re.compile(r"(?i)\b(?:order|invoice|article|ticket|flight|version|seat|room|table|run|seed|item|product|serial|tracking|booking|reference|score)\b(?: (?:number|no\.?|was|is|says))*")
 
 STREET = r"(?:street|str|st|road|rd|lane|ln|avenue|ave|crescent|cres|court|ct|terrace|drive|dr|way|place|square|sq|boulevard|blvd|close|gardens|grove|mews|parade|highway|hwy)"
 NOT_STREET = r"(?!(?i:the|a|an|of|in|on|at|to|for|and|or|is|are|was|were|my|your|our|his|her|their|its|this|that|by|from|people|weeks?|days?|months?|years?|hours?|minutes?|min|times|miles|km|euros?|dollars|pounds|items|lines|guests|old|new|more|degrees|percent)\b)"
@@ -136,11 +146,9 @@ WINDOW = 40
 MAYBE_EMAIL = ("@", "＠", "at)", "at]", "at}", "at )", "at ]", "at }", " dot ")
 MAYBE_NUMBER = re.compile(r"\d[\d ./()-]{4,}[\dA-Z]")
 MAYBE_PLACED = re.compile(r"\d")
-MAYBE_INITIAL = re.compile(r"(?<!\p{L})\p{Lu}\. ?\p{Lu}")
-MAYBE_CUED = (
-    "my name", "name:", "name’", "name'", "signed by", "i spoke ", "i talked ", "i wrote ", "regards", "sincerely", "ich hei",
-    "appelle", "llamo", "chiamo", "me nome", "meu nome", "me chamo", "nombre es", "contact", "it was ", "then ",
-)
+MAYBE_INITIAL = re.compile(r"(?<!\p{L})\p{Lu}\. ?\p{L}")
+MAYBE_PAIR = re.compile(r"\p{Lu}[\p{L}’'.-]*(?: \p{L}[\p{L}’'.-]*){0,3} \p{Lu}")
+MAYBE_NAMED = re.compile(r"(?i)name|signed|hei[ßs]|appelle|llamo|chiamo|nome|chamo|nombre|contact|regards|sincerely|yours")
 CAPITALS = re.compile(r"\p{Lu}\p{L}+")
 GIVEN_SET = frozenset({*GIVEN, *(g.upper() for g in GIVEN)})
 TITLE_SET = frozenset("Mr Mrs Ms Miss Mx Dr Prof Professor Sir Dame Herr Frau Monsieur Madame Señor Señora Signor Signora".split())
@@ -184,11 +192,11 @@ def _numbers(text: str) -> Iterator[tuple[float, int, int, str]]:
             yield 0.95, m.start(), m.end(), "id_number"
 
 
-def _persons(text: str, low: str) -> Iterator[tuple[float, int, int, str]]:
+def _persons(text: str) -> Iterator[tuple[float, int, int, str]]:
     capitals = set(CAPITALS.findall(text))
     known, titled = not capitals.isdisjoint(GIVEN_SET), not capitals.isdisjoint(TITLE_SET)
-    initial, cued = MAYBE_INITIAL.search(text), any(x in low for x in MAYBE_CUED)
-    tries = (known, known, known, titled, initial, initial, cued, cued)
+    initial, pair, named = MAYBE_INITIAL.search(text), MAYBE_PAIR.search(text), MAYBE_NAMED.search(text)
+    tries = (known, known, known, titled, initial, initial, pair, named)
     for (pattern, base), worth in zip(NAMES, tries):
         if not worth:
             continue
@@ -197,13 +205,10 @@ def _persons(text: str, low: str) -> Iterator[tuple[float, int, int, str]]:
             before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
             if re.match(rf" ?& \p{{Lu}}| {FIRM}\b", after) or re.search(rf"(?:\p{{L}} & |\b{PLACE} |@)$", before):
                 continue
-            score = base
-            if NAME_BEFORE.search(before):
-                score += 0.5
-            elif NAME_AROUND[0].search(before) and NAME_AROUND[1].search(after):
-                score += 0.5
-            if base < 0.5 and SURNAME.search(m.group()):
-                score += 0.25 if base >= 0.3 else 0.2
+            introduced = NAME_BEFORE.search(before)
+            if base < 0.1 and not (introduced and SINGLE_CUE.search(before)):
+                continue  # one word alone has to be called a name
+            score = base + 0.5 if introduced else base + 0.4 if NAME_AFTER.match(after) else base
             yield score, start, end, "name"
 
 
@@ -220,7 +225,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, float]]:
     if MAYBE_PLACED.search(text):
         for shape, base in ADDRESSES:
             found += [(base, m.start(), m.end(), "address") for m in shape.finditer(text)]
-    found += _persons(text, low)
+    found += _persons(text)
     kept: list[tuple[int, int, str, float]] = []
     taken: list[tuple[int, int]] = []
     for score, a, b, kind in sorted((f for f in found if f[0] >= THRESHOLD), key=lambda f: (-min(f[0], 0.9), f[1] - f[2], f[1])):
