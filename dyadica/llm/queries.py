@@ -114,7 +114,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies that break off."""
-    return truncation.cut_values(table(spark, sf_dir, "parsed_probes"), "response_id", "alias", "response").select("response_id", "alias")
+    limits = table(spark, sf_dir, "model_specs").select("alias", "max_output_tokens")
+    return truncation.cut_values(table(spark, sf_dir, "parsed_probes"), "response_id", "alias", "response", limits).select("response_id", "alias")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
