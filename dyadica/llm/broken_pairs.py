@@ -1,15 +1,16 @@
 """Broken prompt and response pairs, each with one kind of defect.
 
 A suffix automaton of the prompt's words is traversed with the response, which measures how
-much of the response is taken from the prompt, and whether in one piece. An Aho-Corasick
-automaton finds refusals, stop words vote for the languages of both sides, and the cut-off
-test of :mod:`truncation` (with its stack of open delimiters) marks what breaks off.
+much of the response is taken from the prompt, and whether in one piece. An automaton over
+classes of words (who speaks, what denies, what was asked for) finds refusals, function words
+vote for the languages of both sides, and the cut-off test of :mod:`truncation` (with its
+stack of open delimiters) marks what breaks off.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import pyarrow as pa
 import regex as re
@@ -27,8 +28,10 @@ COPIED_SHARE = 0.6
 #: Matched words over the stretch of prompt they lie in: copies come in one piece.
 PIECE_SHARE = 0.6
 LONG_MATCH = 16
-#: A refusal is short; longer replies that hold such a phrase go on to answer.
-REFUSAL_WORDS = 70
+#: A refusal comes first: it starts in one of so many sentences.
+FIRST_SENTENCES = 3
+#: Words of a clause before the refusal, such as "unfortunately" or "as an AI".
+LEAD = 4
 
 # Placeholders that stand for no reply.
 PLACEHOLDERS = frozenset(
@@ -36,42 +39,72 @@ PLACEHOLDERS = frozenset(
     + ("no response", "no reply", "no answer", "not available", "no content")
 )
 
-# Phrases that refuse, each from the start of a clause.
-REFUSALS = """
-i cannot assist|i can't assist|i can not assist|i cannot help with|i can't help with|i can't help you with|i cannot help you with|i am unable to assist
-i am unable to help|i'm unable to assist|i'm unable to help|i am not able to help|i'm not able to help|i am not able to assist|i'm not able to assist
-i must decline|i have to decline|i need to decline|i decline to|i would rather not answer|i prefer not to answer|i refuse to
-i won't be able to|i will not be able to|i am not going to answer|i'm not going to answer|i can't provide|i cannot provide|i am unable to provide|i'm unable to provide
-i can't answer|i cannot answer|i am unable to answer|i'm unable to answer|i can't comply|i cannot comply|i can't fulfill|i cannot fulfill|i can't discuss|i cannot discuss
-i am not able to take|i'm not able to take|i am not allowed to|i'm not allowed to|i am not permitted to|i'm not permitted to|i can't give advice|i cannot give advice
-i can't give an opinion|i cannot give an opinion|i can't offer|i cannot offer|i can't take sides|i cannot take sides|i can't continue|i cannot continue|i can't engage|i cannot engage
-my guidelines do not|my guidelines don't|my guidelines prevent|my policy does not|against my guidelines|against my policy|violates my guidelines|my programming does not
-i am just a language model|i'm just a language model|i am only a language model|i'm only a language model|as a language model i|as an ai language model|as an ai i|as an ai system i|as an ai assistant i
-your request cannot be|this request cannot be|your request can't be|this request can't be|your request was declined|your request has been declined|this content is not something i
-sorry no advice|no advice on|i'm sorry but i can't|i'm sorry but i cannot|i am sorry but i can't|i am sorry but i cannot|sorry but i can't|sorry but i cannot|sorry i can't help|sorry i cannot help|sorry i can't assist|sorry i cannot assist
-lo siento pero no puedo|no puedo ayudarte con|no puedo ayudar con|es tut mir leid aber ich kann|ich kann dabei nicht helfen|ich kann ihnen dabei nicht|je suis désolé mais je ne peux|je ne peux pas vous aider|je ne peux pas t'aider
-falls outside what i am allowed|falls outside what i'm allowed|falls outside my|i have to pass on|i'll have to pass on|i must pass on|i will have to pass on
-i'd rather not weigh|i would rather not weigh|i'd rather not comment|i would rather not comment|i'd rather not answer|i'd prefer not to|i would prefer not to|i'd rather not give
-isn't something i'm able|is not something i'm able|is not something i am able|isn't something i am able|isn't something i can|is not something i can|isn't something i'm going
-i don't feel comfortable giving|i do not feel comfortable giving|i don't feel comfortable answering|i'm not comfortable giving|i am not comfortable giving|i'm not comfortable answering
-topic i am going to leave|topic i'm going to leave|question i am going to leave|topic i would rather leave|i am choosing not to answer|i'm choosing not to answer
-dabei kann ich leider nicht|dazu möchte ich mich nicht|das kann ich leider nicht beantworten|dazu kann ich nichts sagen|prefiero no opinar|prefiero no responder|no puedo responder|no puedo opinar
-désolé je ne peux pas|désolée je ne peux pas|je préfère ne pas|je ne peux pas répondre|preferisco non|non posso rispondere|prefiro não|não posso responder|não posso opinar|предпочитаю не|я не могу ответить
-コメントできません|回答を控え|お答えを控え
-sinto muito mas não posso|não posso ajudar com|mi dispiace ma non posso|non posso aiutarti con|申し訳ありませんが|お手伝いできません|お答えできません|извините но я не могу|я не могу помочь
+# Classes of words that refusals are made of, in several languages.
+CLASSES = {
+    "self": "i we ich je yo eu io я ik",
+    "can": "can will am are able allowed permitted going position",
+    "not": "not unable never",
+    "rather": "rather prefer choose choosing chose",
+    "decline": "decline refuse abstain pass declining refusing abstaining",
+    "direct": "assist answer comment advise comply respond reply discuss engage weigh opine participate help",
+    "directing": "assisting answering commenting advising complying responding replying discussing engaging weighing participating helping",
+    "give": "give provide offer take express make form", "giving": "giving providing offering taking expressing making forming",
+    "object": "advice opinion opinions view views guidance answer reply response recommendation sides side position stance assistance help comment judgement judgment verdict",
+    "between": "be able to going allowed permitted in a position currently really just personally at this time of any comfortable",
+    "finish": "fulfill fulfil complete completed process processed continue continuing granted answered handled",
+    "asked": "request question topic subject matter message prompt query",
+    "leave": "leave skip avoid decline pass",
+    "outside": "outside beyond against violates exceeds",
+    "bounds": "guidelines policy policies programming rules instructions allowed permitted scope remit purpose capabilities able",
+    "rules": "guidelines policy policies programming rules instructions",
+    "forbid": "not prevent prevents forbid forbids prohibit prohibits",
+    "model": "ai model assistant chatbot bot",
+    "artificial": "ai language machine artificial virtual",
+    "as": "as just only merely",
+    "no": "no not unable cannot lack without",
+    "something": "something anything",
+    "declined": "declined refused rejected blocked",
+    "no_": "no",
+    "on": "on about from regarding concerning",
+    "es_no": "no", "es_can": "puedo podemos prefiero voy", "es_ask": "ayudar ayudarte ayudarle ayudarles responder responderte opinar comentar contestar asistir asistirte aconsejar",
+    "fr_not": "ne", "fr_can": "peux peut pouvons préfère souhaite suis", "fr_ask": "aider répondre prononcer commenter conseiller discuter assister",
+    "de_can": "kann möchte darf können", "de_not": "nicht nichts kein keine", "de_ask": "helfen beantworten äußern sagen antworten unterstützen kommentieren raten weiterhelfen beraten",
+    "pt_no": "não nao", "pt_can": "posso podemos prefiro consigo", "pt_ask": "ajudar ajudá-lo ajudar-te responder opinar comentar aconselhar",
+    "it_no": "non", "it_can": "posso possiamo preferisco", "it_ask": "aiutarti aiutarla aiutare rispondere rispondervi esprimermi commentare consigliare",
+    "ru_no": "не", "ru_can": "могу можем предпочитаю буду", "ru_ask": "помочь ответить отвечать комментировать обсуждать советовать",
+    "nl_can": "kan wil mag", "nl_not": "niet geen", "nl_ask": "helpen beantwoorden antwoorden reageren adviseren",
+}
+# The orders in which classes refuse; a number is how many other words may stand before the next class,
+# after a tilde only those of the class "between".
+ORDERS = """
+self 0 can 1 not ~6 direct|self 0 can 1 not ~6 give 4 object|self 0 can 1 not ~6 finish|self 2 not 1 comfortable 0 directing|self 2 not 1 comfortable 0 giving 4 object
+self 1 rather 0 not ~2 direct|self 1 rather 0 not ~2 give 4 object|self 3 decline 1 to|self 3 decline 0 on|self 3 decline
+outside 3 bounds|rules 1 forbid|asked 1 can 0 not 1 be|asked 2 declined|asked 1 self 1 can 2 leave|asked 3 self 0 can 1 not|not 0 something 2 self 1 can
+as 1 artificial 1 model 6 no|as 1 artificial 3 self 1 can 1 not|as 1 model 3 self 1 can 1 not|self 3 artificial 0 model 6 no|no_ 0 object 0 on
+es_no 0 es_can 3 es_ask|es_can 0 es_no 2 es_ask|fr_not 0 fr_can 5 fr_ask|fr_can 0 fr_not 3 fr_ask|de_can 4 de_not 2 de_ask|pt_no 0 pt_can 3 pt_ask|pt_can 0 pt_no 2 pt_ask
+it_no 0 it_can 3 it_ask|it_can 0 it_no 2 it_ask|ru_no 0 ru_can 3 ru_ask|ru_can 0 ru_no 2 ru_ask|nl_can 4 nl_not 2 nl_ask
 """.strip().replace("\n", "|").split("|")
-# How a phrase goes on when it does not refuse.
-GOES_ON = ("i can't tell you how", "i cannot tell you how", "i won't be able to come", "i can't help but", "i cannot help but", "i can't offer enough")
-
-# Frequent short words of each language.
+# How a denial goes on when it does not refuse, and how a reply goes on to help.
+IDIOM = re.compile(r"\bnot help (?:but|feeling|wondering|thinking|noticing|smiling|it)\b|\bnot (?:offer|give|take|make) (?:enough|up|away|sure)\b")
+HELPS_ON = re.compile(r"\b(?:but|however|still|instead) (?:i (?:can|could|will|am able)(?! not)|here|let|you (?:can|could|might)|what i can)\b")
+# Refusals of languages without spaces.
+UNSPACED = re.compile(r"(?:手伝い|お答え|回答|コメント|支援|お応え)[^。]{0,8}(?:できません|控え|かねます)|(?:无法|不能|不便|無法)[^。]{0,6}(?:帮助|回答|提供|评论|协助|幫助|評論)")
+# Spellings of negations and short forms, one word a part.
+SHORT = [(re.compile(p), r) for p, r in ((r"\bcannot\b", "can not"), (r"\bcan't\b", "can not"), (r"\bwon't\b", "will not"), (r"n't\b", " not"), (r"'m\b", " am"), (r"'d\b", " would"), (r"'ll\b", " will"), (r"'re\b", " are"))]
+QUOTED = re.compile(r"“[^”]*”|\"[^\"]*\"")
+CLAUSE = re.compile(r"[.!?:;\n()*…。！？—]+|(?:^|[\s,])(?:but|so|therefore|aber|pero|mais|ma|mas|но)(?=\s)")
+SENTENCE = re.compile(r"[.!?…。！？\n]+")
+
+# Frequent function words of each language.
 STOPWORDS = {
-    "en": "the and you your that to of is it a in was for with but what they have not this be are on as so when from i my would how who than if me we there",
-    "es": "el la los las que de y en un una por con para tu mi lo se no es muy pero cuando desde estaba estabas después antes hace nadie quizá todavía sé ya había hizo fue también me deben",
-    "de": "der die das und ich du ist nicht ein eine mit auf für von zu dem den des dass es war nach vor haben hat deine deiner meine wegen auch wenn vielleicht noch ob über alle",
-    "fr": "le la les et je tu est que de des un une ne pas pour avec ce sur mais dans du au à ta ton ma mon avait après avant même personne tout peut il y nous était",
-    "pt": "o a os as que de e em um uma por com para seu sua não é mas do da no na você foi ninguém talvez seja faz depois antes ainda minha meu sobre dias acho dos",
-    "it": "il la lo gli le che di e in un una per con non è ma del della tua tuo mia mio sono nessuno forse prima dopo anche molto quando tu su ha era giorni dovresti se",
-    "ru": "и в не на что я ты с это как но по от из за для мой твоя уже был была после перед",
+    "en": "the and you your that to of is it a in was for with but what they have not this be are on as so when from i my would how who than if me we there their will at by or an do can could should",
+    "es": "el la los las que de y en un una por con para tu mi lo se no es muy pero cuando desde después antes también ya ha había hizo fue me su al del como más si porque sin sobre este esta eso te le nos hay son está estás ser sus yo ella",
+    "de": "der die das und ich du ist nicht ein eine mit auf für von zu dem den des dass es war nach vor haben hat dein deine mein meine wegen auch wenn noch ob über alle sie er wir im am bei aus wie so aber oder als man nur wird sich einen einer",
+    "fr": "le la les et je tu est que de des un une ne pas pour avec ce sur mais dans du au à ta ton ma mon après avant même tout il y nous était qui se sa son ses vous elle ils par plus ou où si leur cette ces été aux sans comme",
+    "pt": "o a os as que de e em um uma por com para seu sua não é mas do da no na foi ser depois antes ainda minha meu sobre dos das ao à se ele ela você como mais ou quando muito já também nos são está isso este esta pelo pela sem",
+    "it": "il la lo gli le che di e in un una per con non è ma del della tua tuo mia mio sono prima dopo anche molto quando tu su ha era se al dei delle nel nella si come più o ci ti mi questo questa suo sua loro da dal alla cui sei",
+    "nl": "de het een en van ik je dat niet is in op te met voor aan zijn er maar om dan ook als bij nog wel naar uit door over hij ze was heeft mijn jouw deze dit geen",
+    "ru": "и в не на что я ты с это как но по от из за для мой твоя уже был была после перед мы он она они так же бы если или к у о",
 }
 _VOTES: dict[str, list[str]] = {}
 for _lang, _words in STOPWORDS.items():
@@ -167,47 +200,112 @@ class PromptAutomaton:
         return out[::-1]
 
 
-def is_copy(response: list[str], prompt: list[str]) -> bool:
-    """Whether a good part of the response is taken from the prompt, in its order."""
-    if len(response) < 4 or len(prompt) < 4:
+@lru_cache(maxsize=256)
+def _prompt(text: str) -> tuple[list[str], dict[int, set], list]:
+    """A prompt's words, its sets of runs by length, and (when asked for) its automaton."""
+    return words(text), {}, []
+
+
+def _runs(tokens: list[str], n: int) -> set[tuple[str, ...]]:
+    return {tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)}
+
+
+def is_copy(response: list[str], prompt: str) -> bool:
+    """Whether a good part of the response is taken from the prompt, in its order.
+
+    The runs and the automaton of a prompt are kept for its other responses, which come
+    next to each other.
+    """
+    asked, runs, automaton = _prompt(prompt)
+    if len(response) < 4 or len(asked) < 4:
         return False
-    least = min(LEAST_MATCH, len(response), len(prompt))
-    grams = {tuple(prompt[i : i + least]) for i in range(len(prompt) - least + 1)}
-    if not any(tuple(response[i : i + least]) in grams for i in range(len(response) - least + 1)):
+    least = min(LEAST_MATCH, len(response), len(asked))
+    if least not in runs:
+        runs[least] = _runs(asked, least)
+    if runs[least].isdisjoint(_runs(response, least)):
         return False
-    found = PromptAutomaton(prompt).matches(response, least)
+    if not automaton:
+        automaton.append(PromptAutomaton(asked))
+    found = automaton[0].matches(response, least)
     total = sum(n for _, n, _ in found)
     longest = max((n for _, n, _ in found), default=0)
     if total < COPIED_SHARE * len(response) and longest < 2 * LONG_MATCH:
         return False
     # The stretch of prompt that the matches lie in: alike in length, if it is one piece.
     stretch = max(p + n for _, n, p in found) - min(p for _, _, p in found)
-    return longest >= LONG_MATCH or total >= PIECE_SHARE * stretch and (total >= 0.8 * len(response) and total >= 10 or total >= 0.9 * len(prompt))
-
+    return longest >= LONG_MATCH or total >= PIECE_SHARE * stretch and (total >= 0.8 * len(response) and total >= 10 or total >= 0.9 * len(asked))
+
+
+class RefusalAutomaton:
+    """A non-deterministic automaton over word classes: each order is a chain of states, and a
+    state waits some words for the next class of its order."""
+
+    def __init__(self, orders: list[str], classes: dict[str, str]):
+        self.member: dict[str, set[str]] = {}
+        for name, listed in classes.items():
+            for w in listed.split():
+                self.member.setdefault(w, set()).add(name)
+        self.chains = []
+        for order in orders:
+            parts = order.split()
+            self.chains.append((parts[0::2], [(int(g.lstrip("~")), g[0] == "~") for g in parts[1::2]]))
+        for names, _ in self.chains:  # a name without a list is a word of its own
+            for n in names:
+                if n not in classes:
+                    self.member.setdefault(n, set()).add(n)
+        self.first: dict[str, list[int]] = {}
+        for i, (names, _) in enumerate(self.chains):
+            self.first.setdefault(names[0], []).append(i)
+
+    def accepts(self, clause: list[str]) -> bool:
+        """Whether an order begins near the clause's start and is gone through."""
+        active: dict[tuple[int, int], int] = {}
+        for at, w in enumerate(clause):
+            own, now = self.member.get(w, ()), {}
+            for (chain, state), patience in active.items():
+                names, gaps = self.chains[chain]
+                if names[state] in own:
+                    if state + 1 == len(names):
+                        return True
+                    now[chain, state + 1] = gaps[state][0]
+                if patience and (not gaps[state - 1][1] or "between" in own):
+                    now[chain, state] = max(patience - 1, now.get((chain, state), 0))
+            if at < LEAD:
+                for name in own:
+                    for chain in self.first.get(name, ()):
+                        names, gaps = self.chains[chain]
+                        if len(names) == 1:
+                            return True
+                        now[chain, 1] = max(gaps[0][0], now.get((chain, 1), 0))
+            active = now
+            if not active and at >= LEAD:
+                return False
+        return False
 
-@cache
-def _refusal_automaton():
-    import ahocorasick
 
-    automaton = ahocorasick.Automaton()
-    for phrase in REFUSALS:
-        automaton.add_word(phrase, phrase)
-    automaton.make_automaton()
-    return automaton
+REFUSAL = RefusalAutomaton(ORDERS, CLASSES)
+#: Every order holds a word of these classes, so a text without any is let go at once.
+DENIES = frozenset(w for c in CLASSES if c in ("not", "rather", "decline", "outside", "forbid", "declined", "leave", "no") or c.endswith(("_no", "_not")) for w in CLASSES[c].split())
+WORD = re.compile(r"[\w\-]+")
 
 
-def is_refusal(text: str, tokens: list[str]) -> bool:
-    """Whether a short reply turns the request down, at or near the start of one of its clauses."""
-    if len(tokens) > REFUSAL_WORDS:
+def is_refusal(text: str) -> bool:
+    """Whether a reply turns the request down: near the start of a clause of its first
+    sentences, in its own words (quoted ones are another's), and without going on to help."""
+    low = text.lower().replace("’", "'")
+    if UNSPACED.search(low):
+        return True
+    if DENIES.isdisjoint(re.findall(r"\w+", low)) and "n't" not in low:
         return False
-    # Marks become a bar, so that a phrase at a clause's start can be told apart.
-    flat = "|" + re.sub(r"\s+", " ", re.sub(r"[.!?:;\n\"“”()*]+", "|", text.lower().replace("’", "'").replace(",", " ")))
-    flat = re.sub(r"\s*\|\s*", "|", flat)
-    for end, phrase in _refusal_automaton().iter(flat):
-        start = end - len(phrase) + 1
-        clause = flat.rindex("|", 0, start) + 1
-        near = flat[start - 1] in "| " and flat.count(" ", clause, start) <= 3
-        if (near or not phrase[0].isascii()) and not flat.startswith(GOES_ON, start):
+    bare = QUOTED.sub(" ", low)
+    low = bare if WORD.search(bare) else low
+    for p, r in SHORT:
+        low = p.sub(r, low)
+    sentences = [x for x in SENTENCE.split(low) if WORD.search(x)][:FIRST_SENTENCES]
+    for sentence in sentences:
+        if HELPS_ON.search(sentence) or IDIOM.search(sentence):
+            continue
+        if any(REFUSAL.accepts(WORD.findall(c)) for c in CLAUSE.split(sentence)):
             return True
     return False
 
@@ -224,17 +322,21 @@ def defect(response: str | None, prompt: str | None, other: str | None, cut: boo
     own = words(bare)
     if not own:
         return "empty"
-    asked_words = words(prompt)
-    if prompt and is_copy(own, asked_words):
+    if prompt and is_copy(own, prompt):
         return "copied"
-    if is_refusal(bare, own):
+    if is_refusal(bare):
         return "refusal"
-    spoken, asked = language(bare, own), language(prompt, asked_words) or language(other)
+    spoken, asked = language(bare, own), _asked(prompt) or _asked(other)
     if spoken and asked and spoken != asked:
         return "other_language"
     return "truncated" if cut else None
 
 
+@lru_cache(maxsize=256)
+def _asked(text: str | None) -> str | None:
+    return language(text)
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key, *rest = batch.columns
@@ -242,7 +344,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([key, pa.array(out, pa.string())], names=["key", "defect"])
 
 
-def broken_pairs(responses: DataFrame, prompts: DataFrame, key: str, text: str, source: str, prompt_key: str, prompt_kind: str, prompt_text: str) -> DataFrame:
+def broken_pairs(responses: DataFrame, prompts: DataFrame, key: str, text: str, source: str, prompt_key: str, prompt_kind: str, prompt_text: str, limits: DataFrame | None = None) -> DataFrame:
     """(key, defect) of each defective reply, repeated rows included, with exactly one defect.
 
     Replies are held against the prompt of the same cleaned key and the same kind. Null,
@@ -251,14 +353,15 @@ def broken_pairs(responses: DataFrame, prompts: DataFrame, key: str, text: str,
     whole. Of several texts under one prompt the greatest counts. An empty table gives an
     empty result; other columns play no part.
     """
-    cut = cut_values(responses, key, source, text).select(F.col(key).alias("_cut")).distinct()
+    cut = cut_values(responses, key, source, text, limits).select(F.col(key).alias("_cut")).distinct()
     kinds = prompts.select(trimmed(F.col(prompt_key)).alias("pid"), F.col(prompt_kind).alias("t"), F.col(prompt_text).alias("x")).filter("x is not null and pid is not null")
     texts = kinds.groupBy("pid", "t").agg(F.max("x").alias("x"))
     own = responses.select(F.col(key).alias("key"), F.col(text).cast("string").alias("r"), F.col(prompt_kind).alias("t"), trimmed(F.col(prompt_key)).alias("pid"))
     # Cuts are joined before the prompts' texts, so that those are shuffled once.
     own = own.join(cut, F.col("key") == F.col("_cut"), "left").select("key", "r", "t", "pid", F.col("_cut").isNotNull().alias("c"))
     asked = own.join(texts, ["pid", "t"], "left")
-    known = asked.filter("x is not null").select("key", "r", "x", F.lit(None).cast("string").alias("y"), "c")
+    # Replies to one prompt come together, so its automaton is built once.
+    known = asked.filter("x is not null").sortWithinPartitions("pid", "t").select("key", "r", "x", F.lit(None).cast("string").alias("y"), "c")
     # Only replies without their own prompt's text look for another wording of it.
     lone = asked.filter("x is null").drop("x", "t")
     wordings = kinds.join(lone.select("pid").distinct(), "pid", "left_semi").groupBy("pid").agg(F.max("x").alias("y"))

@@ -109,7 +109,8 @@ def p5_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective replies with their defect."""
     replies, prompts = table(spark, sf_dir, "parsed_probes"), table(spark, sf_dir, "prompts")
-    return broken_pairs.broken_pairs(replies, prompts, "response_id", "response", "alias", "prompt_id", "prompt_type", "text")
+    limits = table(spark, sf_dir, "model_specs").select("alias", "max_output_tokens")
+    return broken_pairs.broken_pairs(replies, prompts, "response_id", "response", "alias", "prompt_id", "prompt_type", "text", limits)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
