@@ -18,7 +18,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Large-star hangs every larger neighbour of a node on the least node of its
     neighbourhood, small-star every smaller one; in turn they flatten each component to one
     star in a logarithmic number of rounds. Each round's edges are cut off in the shared
-    folder. Minima are aggregated map-side, and the join that hands them back is one that
+    folder. Minima are aggregated map-side, and the join that hands them back shuffles (no set
+    of edges passes the driver) and is one that
     adaptive execution splits, so a node with a third of all edges stays spread. Loops,
     repeated edges and either direction are fine; edges with a null end are left out, and a
     node that only has a loop is its own component.
@@ -30,10 +31,10 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(low, "a")
+            large.join(low.hint("merge"), "a")
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
             .filter("a <> b")
             .distinct()
@@ -48,5 +49,5 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     labels = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
     named = labels.union(roots)
-    alone = loops.join(named, "node", "left_anti").select("node", F.col("node").alias("label"))
+    alone = loops.join(named.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("label"))
     return named.union(alone)

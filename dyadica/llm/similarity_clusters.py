@@ -1,21 +1,25 @@
 """Grouping records into similarity clusters, by parallel pivot clustering of vectors.
 
-Cross-polytope hashes bring similar vectors into common buckets. First, each vector looks at
-the least member (by a hash order) of its buckets: the local minimum is a pivot, and it absorbs
-the vectors that are truly similar to it. The absorbed form components. Then the buckets of
-all tables are gone through with those components known: only members of different components
-are compared, first by a bit sketch and then exactly, which joins what a pivot could not reach
-directly. A second, longer set of tables is gone through in the same way. Every link that
-counts is verified on the whole vectors; no pairs within a component are formed.
+Cross-polytope hashes bring similar vectors into common buckets. In rounds, the least vector
+of each bucket by a hash order is a pivot, and each vector is absorbed by the closest of its
+pivots if it is truly similar to it; what is left goes into the next round. The absorbed form
+components. Then the buckets of all tables are gone through with those components known: only
+members of different components are compared, first by a bit sketch and then exactly, which
+joins what no pivot reached. Every link that counts is verified on the whole vectors; no pairs
+within a component are formed.
 
 Clusters are the connected components of the links, so they do not depend on the pivots'
-order. A link at exactly the threshold that nothing else bridges, be it of two lone vectors or
-of two large components, is found with a probability of about 0.99.
+order. How many hashes make a key follows from the number of vectors, so that chance meetings
+in a bucket stay few, and how many tables there are from the chance that two vectors at exactly
+the threshold meet in one; a link that nothing else bridges is missed with a probability of
+about ``MISS``. Profiles reassign members to the closest medoid and recompute the medoids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +31,20 @@ from ..session import cut_lineage, spread
 from .components import components
 
 ALIKE = 0.75
-PIVOT_TABLES, TABLES, EXTRA_TABLES = 8, 32, 64
+#: The chance to miss a lone link at exactly the threshold.
+MISS = 0.005
+#: Pivot rounds, and the tables each looks at.
+ROUNDS, ROUND_TABLES = 2, 8
+#: Vectors that meet in a bucket by chance, at most, on average.
+CHANCE_ROWS = 64
 #: Sketch distance in bits (of 128) up to which a pair is verified. At the threshold angle
 #: 30 bits differ on average, with a deviation of under 5.
 MOST_BITS = 48
 #: A bucket expected to hold more rows than this is split over tasks.
-HOT_ROWS = 200_000
+HOT_ROWS = 50_000
 SAMPLE = 20_000
+#: Floats of random projections that are kept at a time.
+KEPT = 64 << 20
 _ROTATIONS: dict[tuple, np.ndarray] = {}
 
 
@@ -41,6 +52,8 @@ def _rotation(dim: int, first: int, count: int, seed: int) -> np.ndarray:
     """Random projections of `count` hash functions; the same on every worker."""
     key = (dim, first, count, seed)
     if key not in _ROTATIONS:
+        if sum(m.size for m in _ROTATIONS.values()) > KEPT:
+            _ROTATIONS.clear()
         parts = [np.random.default_rng([seed, dim, t]).standard_normal((dim, dim), np.float32) for t in range(first, first + count)]
         _ROTATIONS[key] = np.concatenate(parts, axis=1)
     return _ROTATIONS[key]
@@ -52,15 +65,42 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bucket_keys(x: np.ndarray, first: int, tables: int, seed: int = 7) -> np.ndarray:
-    """(vectors, tables) bucket of each vector: two cross-polytope hashes a table."""
+@lru_cache(maxsize=64)
+def hash_plan(buckets: float, dim: int, alike: float) -> tuple[int, int]:
+    """(hashes a key, tables) for so many buckets: keys long enough for few chance meetings, tables
+    enough to miss a lone link at the threshold with a probability of ``MISS``.
+
+    The chance that one hash agrees at that angle is drawn once, with a fixed seed.
+    """
+    hashes = 2
+    while (2 * dim) ** hashes < buckets:
+        hashes += 1
+    rng = np.random.default_rng([17, dim])
+    draws = max(2_000, min(40_000, 8_000_000 // dim))
+    y = rng.standard_normal((draws, dim), np.float32)
+    z = alike * y + np.float32(np.sqrt(max(0.0, 1 - alike * alike))) * rng.standard_normal((draws, dim), np.float32)
+    i, j = np.abs(y).argmax(1), np.abs(z).argmax(1)
+    at = np.arange(draws)
+    once = max(float(np.mean((i == j) & (np.sign(y[at, i]) == np.sign(z[at, j])))), 1e-3)
+    meet = once**hashes
+    return hashes, max(ROUNDS * ROUND_TABLES, ceil(log(MISS) / log(1 - meet)) if meet < 1 else 1)
+
+
+def bucket_keys(x: np.ndarray, first: int, tables: int, hashes: int = 2, seed: int = 7) -> np.ndarray:
+    """(vectors, tables) bucket of each vector: some cross-polytope hashes a table."""
     dim = x.shape[1]
-    y = (x @ _rotation(dim, 2 * first, 2 * tables, seed)).reshape(len(x), 2 * tables, dim)
-    at = np.abs(y).argmax(2)
-    code = (2 * at + (np.take_along_axis(y, at[:, :, None], 2)[:, :, 0] > 0)).astype(np.uint64)
-    table = np.arange(first, first + tables, dtype=np.uint64)
-    both = (code[:, 0::2] * np.uint64(2 * dim) + code[:, 1::2]) * np.uint64(1024) + table
-    return _mixed(both * np.uint64(4096) + np.uint64(dim)).view(np.int64)
+    out = np.empty((len(x), tables), np.uint64)
+    step = max(1, min(tables, KEPT // (dim * dim * hashes)))
+    for t in range(0, tables, step):
+        own = min(step, tables - t)
+        y = (x @ _rotation(dim, hashes * (first + t), hashes * own, seed)).reshape(len(x), hashes * own, dim)
+        at = np.abs(y).argmax(2)
+        code = (2 * at + (np.take_along_axis(y, at[:, :, None], 2)[:, :, 0] > 0)).astype(np.uint64)
+        key = np.broadcast_to(np.arange(first + t, first + t + own, dtype=np.uint64) * np.uint64(4096) + np.uint64(dim), (len(x), own))
+        for h in range(hashes):
+            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + code[:, h::hashes])
+        out[:, t : t + own] = key
+    return out.view(np.int64)
 
 
 def sketches(x: np.ndarray, seed: int = 11) -> np.ndarray:
@@ -81,16 +121,18 @@ def _unit(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield own, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _hashed(first: int, tables: int, with_sketch: bool):
+def _hashed(n: int, alike: float, first: int = 0, tables: int | None = None):
     """(id, component, unit vector) rows to one row a table: bucket, id, component, sketch."""
+    buckets = n / CHANCE_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, comps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for rows, x in _unit(batch.column(2)):
-                keys = bucket_keys(x, first, tables)
-                s = sketches(x) if with_sketch else np.zeros((len(x), 2), np.int64)
-                each = [keys.ravel(), *(np.repeat(v, tables) for v in (ids[rows], comps[rows], s[:, 0], s[:, 1]))]
+                hashes, every = hash_plan(buckets, x.shape[1], alike)
+                count = every if tables is None else tables
+                keys, s = bucket_keys(x, first, count, hashes), sketches(x)
+                each = [keys.ravel(), *(np.repeat(v, count) for v in (ids[rows], comps[rows], s[:, 0], s[:, 1]))]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in each], names=["bucket", "id", "comp", "s0", "s1"])
 
     return run
@@ -103,28 +145,31 @@ def _far(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(s[i] ^ s[j]).sum(1)
 
 
-def _pair_blocks(group: np.ndarray, comps: np.ndarray, s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pair_blocks(group: np.ndarray, comps: np.ndarray, s: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of every pair within a bucket whose components differ and whose sketches are
     within MOST_BITS, some at a time; rows come ordered by bucket and component.
 
+    With ``side``, rows of 0 are held against those of 1 only, and rows of -1 against all.
     Buckets of up to 64 rows are compared in one sweep over the offsets between rows, larger
     ones in blocks of rows against the rows of later components.
     """
+    side = np.full(len(group), -1, np.int8) if side is None else side
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     small = np.repeat(sizes <= 64, sizes)
     for step in range(1, min(64, sizes[sizes <= 64].max(initial=0))):
-        i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]) & (comps[:-step] != comps[step:]))
+        i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]) & (comps[:-step] != comps[step:]) & ((side[:-step] != side[step:]) | (side[:-step] < 0)))
         i = i[_far(s, i, i + step) <= MOST_BITS]
         yield i, i + step
     for at, n in zip(starts[sizes > 64], sizes[sizes > 64]):
-        own, words = comps[at : at + n], s[at : at + n]
+        own, words, where = comps[at : at + n], s[at : at + n], side[at : at + n]
         for x in range(0, n, 512):
             mine = slice(x, min(n, x + 512))
             for y in range(int(np.searchsorted(own, own[x], "right")), n, 4096):
                 other = slice(y, min(n, y + 4096))
                 near = np.bitwise_count(words[mine, None, :] ^ words[None, other, :]).sum(2, dtype=np.uint8) <= MOST_BITS
-                i, j = np.nonzero(near & (own[mine, None] < own[None, other]))
+                met = (where[mine, None] != where[None, other]) | (where[mine, None] < 0)
+                i, j = np.nonzero(near & met & (own[mine, None] < own[None, other]))
                 yield at + x + i, at + y + j
 
 
@@ -140,10 +185,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
 
     def emit(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = {c: part[c].to_numpy() for c in ("bucket", "slice", "id", "comp", "s0", "s1")}
+        col = {c: part[c].to_numpy() for c in ("bucket", "slice", "id", "comp", "s0", "s1", "side")}
         group = col["bucket"] * 1_000_003 + col["slice"]
         words = np.stack([col["s0"], col["s1"]], 1).view(np.uint64)  # signed words would count wrongly
-        for i, j in _pair_blocks(group, col["comp"], words):
+        for i, j in _pair_blocks(group, col["comp"], words, col["side"]):
             a, b = np.minimum(col["id"][i], col["id"][j]), np.maximum(col["id"][i], col["id"][j])
             keep = a != b
             if keep.any():
@@ -173,40 +218,67 @@ def _dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame, alike: float) -> DataFrame:
-    """The pairs (a, b) whose whole vectors are alike, and of one length."""
+def _measured(pairs: DataFrame, vectors: DataFrame, alike: float) -> DataFrame:
+    """(a, b, cosine) of the pairs (a, b) whose whole vectors are alike, and of one length.
+
+    Both joins shuffle, so that no set of links or vectors passes the driver.
+    """
     left = vectors.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"))
     right = vectors.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
-    both = pairs.join(left, "a").join(right, "b").filter(F.size("va") == F.size("vb"))
-    return both.filter(_dot("va", "vb") >= F.lit(alike) * F.col("na") * F.col("nb")).select("a", "b").distinct()
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter(F.size("va") == F.size("vb"))
+    dot, norms = _dot("va", "vb"), F.col("na") * F.col("nb")
+    return both.filter(dot >= F.lit(alike) * norms).select("a", "b", (dot / norms).alias("cosine"))
 
 
 def _labelled(vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    return vectors.join(labels, vectors["id"] == labels["node"], "left").select("id", F.coalesce("label", "id").alias("comp"), "v")
+    named = labels.hint("merge")
+    return vectors.join(named, vectors["id"] == named["node"], "left").select("id", F.coalesce("label", "id").alias("comp"), "v")
 
 
-def _sliced(rows: DataFrame, vectors: DataFrame, first: int, tables: int, total: int) -> DataFrame:
-    """Add ``slice``: 0, but in hot buckets the leading component is split and the rest repeated.
+def _sliced(rows: DataFrame, vectors: DataFrame, alike: float, total: int) -> DataFrame:
+    """Add ``slice`` and ``side``: hot buckets are split into blocks, and slices hold two of them.
 
-    Which buckets are hot is estimated from a bounded sample; the result does not depend on it.
+    The rows of the leading component go to blocks of their own, which are held against the
+    blocks of the rest; those are held against each other. Which buckets are hot is estimated
+    from a bounded sample of rows; the result does not depend on it.
     """
     if total <= HOT_ROWS:
-        return rows.withColumn("slice", F.lit(0))
+        return rows.withColumns({"slice": F.lit(0), "side": F.lit(-1).cast("byte")})
     share = min(1.0, SAMPLE / total)
-    taken = vectors.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share)).mapInArrow(_hashed(first, tables, False), BUCKET_ROWS)
-    counts = taken.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.max_by("comp", "count").alias("lead"))
+    taken = vectors.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share)).mapInArrow(_hashed(total, alike), BUCKET_ROWS)
+    counts = taken.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.max_by("comp", "count").alias("lead"), F.max("count").alias("most"))
     # A bucket with over HOT_ROWS of the rows is one with a fixed share of the sample.
-    hot = counts.filter(F.col("n") > max(20, HOT_ROWS * share)).select("bucket", "lead", F.ceil(F.col("n") / share / HOT_ROWS).cast("int").alias("slices"))
-    out = rows.join(F.broadcast(cut_lineage(hot)), "bucket", "left")
-    own = F.array(F.pmod(F.xxhash64("id", F.lit(3)), F.col("slices")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("slices") - 1)
-    where = F.when(F.col("slices").isNull(), F.array(F.lit(0))).when(F.col("comp") == F.col("lead"), own).otherwise(every)
-    return out.withColumn("slice", F.explode(where)).drop("lead", "slices")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / share / HOT_ROWS).cast("int"))
+    hot = counts.filter(F.col("n") > max(20, HOT_ROWS * share)).select("bucket", "lead", blocks(F.col("most")).alias("p"), blocks(F.col("n") - F.col("most")).alias("q"))
+    out = rows.join(F.broadcast(cut_lineage(hot)), "bucket", "left")  # at most SAMPLE / 20 buckets a table
+    p, q, code = F.col("p"), F.col("q"), F.xxhash64("id", F.lit(3))
+    at = lambda slice_, side: F.struct(slice_.cast("int").alias("slice"), side.cast("byte").alias("side"))
+    i, j = F.pmod(code, p).cast("int"), F.pmod(code, q).cast("int")
+    lead = F.transform(F.sequence(F.lit(0), q - 1), lambda y: at(i * q + y, F.lit(0)))
+    against = F.transform(F.sequence(F.lit(0), p - 1), lambda x: at(x * q + j, F.lit(1)))
+    among = F.transform(F.sequence(F.lit(0), q - 1), lambda y: at(p * q + F.least(j, y) * q + F.greatest(j, y), F.when(y == j, -1).when(j < y, 0).otherwise(1)))
+    where = F.when(p.isNull(), F.array(at(F.lit(0), F.lit(-1)))).when(F.col("comp") == F.col("lead"), lead).otherwise(F.concat(against, among))
+    return out.withColumn("x", F.explode(where)).select("bucket", "x.slice", "x.side", "id", "comp", "s0", "s1")
+
+
+def _nearest_pivots(active: DataFrame, n: int, alike: float, first: int) -> DataFrame:
+    """(a, b, place) of each active vector and its two closest pivots by sketch, of one round's tables.
+
+    A bucket's pivot is its least vector by a hash order.
+    """
+    rows = active.select("id", F.col("id").alias("comp"), "v").mapInArrow(_hashed(n, alike, first, ROUND_TABLES), BUCKET_ROWS)
+    rows = rows.select("bucket", "id", "s0", "s1", F.xxhash64("id").alias("prio"))
+    least = rows.groupBy("bucket").agg(F.min(F.struct("prio", "id", "s0", "s1")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("bucket", "p")
+    far = F.bit_count(F.col("s0").bitwiseXOR(F.col("p.s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("p.s1")))
+    met = rows.join(least.hint("merge"), "bucket").filter("p.id <> id").select("id", F.struct(far.alias("far"), F.col("p.id").alias("b")).alias("c"))
+    best = met.groupBy("id").agg(F.min("c").alias("c1"), F.array_sort(F.collect_set("c")).alias("all"))
+    return best.select(F.col("id").alias("a"), F.posexplode(F.slice("all", 1, 2)).alias("place", "c")).select("a", F.col("c.b").alias("b"), "place")
 
 
-def similar_groups(df: DataFrame, key: str, vector: str, alike: float = ALIKE) -> tuple[DataFrame, DataFrame]:
-    """(vectors, clusters): the usable vectors (id, v, norm), and (id, cluster) of every member
-    of a cluster of two or more, ``cluster`` being its least id.
+def similar_groups(df: DataFrame, key: str, vector: str, alike: float = ALIKE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors, clusters, pivots): the usable vectors (id, v, norm); (id, cluster) of every
+    member of a cluster of two or more, ``cluster`` being its least id; and (a, b), the pivots b
+    that vectors a were held against and found alike.
 
     Vectors that are null, empty, all zero or hold null, NaN or infinite numbers, and rows with a null key,
     belong to no cluster. Vectors of different lengths are never alike. A row repeated under
@@ -219,58 +291,81 @@ def similar_groups(df: DataFrame, key: str, vector: str, alike: float = ALIKE) -
     vectors = cut_lineage(spread(rows.withColumn("norm", norm).filter("norm > 0")))
     total = vectors.count()
 
-    # Pivots: the least member of each bucket, by a hash order of the ids.
-    plain = vectors.select("id", F.col("id").alias("comp"), "v")
-    first = plain.mapInArrow(_hashed(0, PIVOT_TABLES, False), BUCKET_ROWS).select("bucket", "id", F.xxhash64("id").alias("prio"))
-    pivots = first.groupBy("bucket").agg(F.min(F.struct("prio", "id")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("bucket", "p")
-    nearest = first.join(pivots, "bucket").filter("p.id <> id").groupBy("id").agg(F.min("p").alias("p"))
-    links = cut_lineage(_verified(nearest.select(F.col("id").alias("a"), F.col("p.id").alias("b")), vectors, alike))
-    labels = cut_lineage(components(links))
+    active, absorbed = vectors.select("id", "v"), None
+    for r in range(ROUNDS):
+        met = _nearest_pivots(active, total, alike, r * ROUND_TABLES)
+        found = cut_lineage(_measured(met.select("a", "b"), vectors, alike).select("a", "b").distinct())
+        absorbed = found if absorbed is None else absorbed.union(found)
+        if r + 1 < ROUNDS:
+            active = active.join(found.select(F.col("a").alias("id")).distinct().hint("merge"), "id", "left_anti")
+    labels = cut_lineage(components(absorbed))
 
     # All tables, between components only.
     known = cut_lineage(_labelled(vectors, labels))
-    hashed = _sliced(known.mapInArrow(_hashed(0, TABLES, True), BUCKET_ROWS), known, 0, TABLES, total)
-    pairs = _compared(hashed)
-    links = cut_lineage(links.union(_verified(pairs, vectors, alike)))
-    labels = cut_lineage(components(links))
-
-    # Longer tables, again of all members and between components only.
-    known = cut_lineage(_labelled(vectors, labels))
-    extra = _compared(_sliced(known.mapInArrow(_hashed(TABLES, EXTRA_TABLES, True), BUCKET_ROWS), known, TABLES, EXTRA_TABLES, total))
-    found = cut_lineage(_verified(extra, vectors, alike))
+    hashed = _sliced(known.mapInArrow(_hashed(total, alike), BUCKET_ROWS), known, alike, total)
+    found = cut_lineage(_measured(_compared(hashed), vectors, alike).select("a", "b").distinct())
     if not found.isEmpty():
-        labels = components(links.union(found))
-    return vectors, labels.select(F.col("node").alias("id"), F.col("label").alias("cluster"))
+        labels = components(absorbed.union(found))
+    return vectors, labels.select(F.col("node").alias("id"), F.col("label").alias("cluster")), absorbed
 
 
 def _compared(hashed: DataFrame) -> DataFrame:
     ordered = hashed.repartition("bucket", "slice").sortWithinPartitions("bucket", "slice", "comp")
-    lean = ordered.select("bucket", "slice", "id", "comp", "s0", "s1")
+    lean = ordered.select("bucket", "slice", "id", "comp", "s0", "s1", "side")
     return lean.mapInArrow(_compare, "a long, b long").distinct()
 
 
 def cluster_members(df: DataFrame, key: str, vector: str, alike: float = ALIKE) -> DataFrame:
     """(key, cluster_id) of every member of every cluster; see :func:`similar_groups`."""
-    _, clusters = similar_groups(df, key, vector, alike)
+    _, clusters, _ = similar_groups(df, key, vector, alike)
     return clusters.select(F.col("id").alias(key), F.col("cluster").alias("cluster_id"))
 
 
+def _middles(own: DataFrame, group: list[str], dim: int) -> DataFrame:
+    """(group, size, m): the mean unit vector of each group."""
+    sums = own.groupBy(*group).agg(F.count("*").alias("size"), *[F.sum(F.try_element_at("u", F.lit(i + 1))).alias(f"x{i}") for i in range(dim)])
+    middle = F.array(*[F.coalesce(F.col(f"x{i}"), F.lit(0.0)) / F.col("size") for i in range(dim)]) if dim else F.array().cast("array<double>")
+    return sums.select(*group, "size", middle.alias("m"))
+
+
+def _medoids(own: DataFrame, dim: int) -> DataFrame:
+    """(cluster, pivot, size, id, u): the member of each pivot's group that is closest to its mean; ties go to the lesser key."""
+    means = _middles(own, ["cluster", "pivot"], dim)
+    near = own.join(means.hint("merge"), ["cluster", "pivot"]).withColumn("score", F.round(_dot("u", "m"), 9))
+    return near.groupBy("cluster", "pivot").agg(F.max("size").alias("size"), F.min_by(F.struct("id", "u"), F.struct(-F.col("score"), "id")).alias("x")).select("cluster", "pivot", "size", "x.*")
+
+
 def cluster_profiles(df: DataFrame, key: str, vector: str, alike: float = ALIKE, typical: int = 3) -> DataFrame:
-    """(cluster_id, size, typical array of keys, spread): each cluster by its medoids.
+    """(cluster_id, size, typical, medoids, spread): each cluster by its most typical members.
 
     A member's mean similarity to all members is its product with the mean unit vector, so
-    the most typical ones are found without pairs; ties go to the lesser key. ``spread`` is
-    1 less the mean similarity of two members.
+    the ``typical`` ones are found without pairs; ties go to the lesser key. A cluster may be
+    stretched, so its pivots' groups are told apart: each group gets a medoid, members are
+    reassigned to the closest medoid of those pivots that they were held against, and the
+    medoids are computed again; those of the largest groups are given as ``medoids``. ``spread``
+    is 1 less the mean similarity of two members.
     """
-    vectors, clusters = similar_groups(df, key, vector, alike)
-    own = cut_lineage(clusters.join(vectors, "id").withColumn("u", F.transform("v", lambda x: x / F.col("norm"))).select("id", "cluster", "u"))
+    vectors, clusters, met = similar_groups(df, key, vector, alike)
+    clusters = cut_lineage(clusters)
+    own = clusters.join(vectors.hint("merge"), "id").withColumn("u", F.transform("v", lambda x: x / F.col("norm"))).select("id", "cluster", "u")
+    own = cut_lineage(own)
     dim = own.agg(F.max(F.size("u"))).first()[0] or 0
-    sums = own.groupBy("cluster").agg(F.count("*").alias("size"), *[F.sum(F.try_element_at("u", F.lit(i + 1))).alias(f"x{i}") for i in range(dim)])
-    middle = F.array(*[F.coalesce(F.col(f"x{i}"), F.lit(0.0)) / F.col("size") for i in range(dim)]) if dim else F.array().cast("array<double>")
-    means = sums.select("cluster", "size", middle.alias("m"))
-    scored = own.join(means, "cluster").withColumn("score", F.round(_dot("u", "m"), 9)).select("cluster", "size", "id", "score")
+    scored = own.join(_middles(own, ["cluster"], dim).hint("merge"), "cluster").withColumn("score", F.round(_dot("u", "m"), 9)).select("cluster", "size", "id", "score")
     rank = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("score"), "id"))
     top = scored.withColumn("rn", rank).filter(F.col("rn") <= typical)
     chosen = top.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"]).alias("typical"))
     wide = scored.groupBy("cluster").agg(F.max("size").alias("size"), (1 - F.avg("score")).alias("spread"))
-    return wide.join(chosen, "cluster").select(F.col("cluster").alias("cluster_id"), "size", "typical", "spread")
+
+    # Pivot groups: a member starts with the least pivot it is alike to, or is one by itself.
+    first = met.groupBy(F.col("a").alias("id")).agg(F.min_by("b", F.xxhash64("b")).alias("pivot"))
+    placed = cut_lineage(own.join(first.hint("merge"), "id", "left").withColumn("pivot", F.coalesce("pivot", "id")))
+    centres = _medoids(placed, dim).select("cluster", "pivot", F.col("u").alias("c"))
+    choices = placed.select("id", "cluster", "u", "pivot").unionByName(placed.select("id", "cluster", "u").join(met.select(F.col("a").alias("id"), F.col("b").alias("pivot")).hint("merge"), "id"))
+    closest = choices.join(centres.hint("merge"), ["cluster", "pivot"]).groupBy("cluster", "id").agg(F.max_by("pivot", F.struct(F.round(_dot("u", "c"), 9), -F.col("pivot"))).alias("pivot"))
+    moved = own.join(closest.hint("merge"), ["cluster", "id"])
+    medoids = _medoids(moved, dim)
+    order = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("size"), "id"))
+    largest = medoids.select("cluster", "size", "id", order.alias("rn")).filter(F.col("rn") <= typical)
+    listed = largest.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"]).alias("medoids"))
+    out = wide.join(chosen, "cluster").join(listed, "cluster")
+    return out.select(F.col("cluster").alias("cluster_id"), "size", "typical", "medoids", "spread")

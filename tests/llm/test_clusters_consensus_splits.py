@@ -76,6 +76,35 @@ def test_hot_bucket_is_split(frame, monkeypatch):
     assert got == brute_clusters(rows, 0.75)
 
 
+def test_longer_keys_lose_no_bridge(frame, monkeypatch):
+    monkeypatch.setattr(similarity_clusters, "CHANCE_ROWS", 0.005)
+    assert similarity_clusters.hash_plan(480 / 0.005, 96, 0.75)[0] == 3
+    rows = bridged(np.random.default_rng(9), 20, 0.77)
+    got = {r["vec"]: r["cluster_id"] for r in similarity_clusters.cluster_members(frame(rows, "vec long, vector array<float>"), "vec", "vector").collect()}
+    assert got == {i: i // 12 * 12 for i, _ in rows}
+
+
+def test_hash_plan_grows_with_the_rows():
+    plans = [similarity_clusters.hash_plan(n / similarity_clusters.CHANCE_ROWS, 96, 0.75) for n in (10**4, 10**6, 10**8, 10**10)]
+    assert [h for h, _ in plans] == [2, 2, 3, 4] and [t for _, t in plans] == sorted(t for _, t in plans)
+
+
+def test_hot_bucket_of_many_components(frame, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = planted(rng, 1, 90, noise=0.95) + [(500 + i, v) for i, v in planted(rng, 12, 3)]
+    monkeypatch.setattr(similarity_clusters, "HOT_ROWS", 10)
+    monkeypatch.setattr(similarity_clusters, "SAMPLE", 10**6)
+    got = {r["vec"]: r["cluster_id"] for r in similarity_clusters.cluster_members(frame(rows, "vec long, vector array<float>"), "vec", "vector").collect()}
+    assert got == brute_clusters(rows, 0.75)
+
+
+def test_medoids_tell_a_stretched_cluster_apart(frame):
+    turn = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    rows = [(i, turn(d)) for i, d in enumerate([0, 1, 2, 3, 4, 40, 80, 120, 121, 122])]
+    row = similarity_clusters.cluster_profiles(frame(rows, "vec long, vector array<float>"), "vec", "vector").collect()
+    assert len(row) == 1 and row[0]["size"] == 10 and 1 < len(row[0]["medoids"]) <= 3 and set(row[0]["medoids"]) <= set(range(10))
+
+
 def test_profiles_and_empty(frame):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, -0.1]), (4, [-1.0, 0.0]), (5, [-1.0, 0.0])]
     got = {r["cluster_id"]: r for r in similarity_clusters.cluster_profiles(frame(rows, "vec long, vector array<float>"), "vec", "vector").collect()}
