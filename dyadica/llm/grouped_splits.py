@@ -75,7 +75,7 @@ def _augment(costs: dict[tuple, float], source, sink) -> list | None:
     return path[::-1]
 
 
-def _place(units: dict, size: int, quota: list[float], wish: dict) -> dict:
+def _place(units: dict, size: float, quota: list[float], wish: dict) -> dict:
     """Send each profile's left-over groups of one size to splits, at least deviation.
 
     Every group is a unit of flow: source -> profile -> split -> sink. An arc's cost is how
@@ -110,7 +110,7 @@ def _place(units: dict, size: int, quota: list[float], wish: dict) -> dict:
     return sent
 
 
-def allocate(bundles: list[tuple[int, int, int]], shares: list[float]) -> dict[tuple[int, int], list[int]]:
+def allocate(bundles: list[tuple[float, int, int]], shares: list[float]) -> dict[tuple[float, int], list[int]]:
     """How many groups of each (size, profile) bundle go to each split.
 
     ``bundles`` holds (size, profile, groups). Sizes are gone through from the largest to the
@@ -166,14 +166,21 @@ def assign_splits(groups: DataFrame, record: str, profile: DataFrame | None = No
     coarse = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.02)))
     size = F.when(F.col("n") <= EXACT_SIZE, F.col("n")).otherwise(F.round(F.pow(F.lit(1.02), coarse + 0.5))).cast("long")
     slot = F.pmod(F.xxhash64("g", F.lit(1)), F.lit(SLOTS)).cast("int")
-    sized = cut_lineage(sized.select("g", "profile", size.alias("size"), slot.alias("slot")))
-    per_slot = sized.groupBy("size", "profile", "slot").agg(F.count("*").alias("groups"))
-    counts = per_slot.groupBy("size", "profile").agg(F.sum("groups").alias("groups")).limit(MAX_BUNDLES + 1).collect()
+    sized = cut_lineage(sized.select("g", "n", "profile", size.alias("size"), slot.alias("slot")))
+    per_slot = sized.groupBy("size", "profile", "slot").agg(F.count("*").alias("groups"), F.sum("n").alias("records"))
+    counts = per_slot.groupBy("size", "profile").agg(F.sum("groups").alias("groups"), F.sum("records").alias("records")).limit(MAX_BUNDLES + 1).collect()
     if len(counts) > MAX_BUNDLES:
         raise ValueError("too many bundles of size and profile")
-    plan = allocate([(r["size"], r["profile"], r["groups"]) for r in counts], weights)
+    # Quotas are filled with the records there are: a shared bundle counts with its mean size.
+    held: dict[int, list[int]] = {}
+    for r in counts:
+        both = held.setdefault(r["size"], [0, 0])
+        both[0], both[1] = both[0] + r["records"], both[1] + r["groups"]
+    mean = {a: records / groups for a, (records, groups) in held.items()}
+    sizes = {(mean[r["size"]], r["profile"]): r["size"] for r in counts}
+    plan = allocate([(mean[r["size"]], r["profile"], r["groups"]) for r in counts], weights)
     spark = groups.sparkSession
-    rows = [(a, p, *[int(sum(x[: s + 1])) for s in range(len(names))]) for (a, p), x in plan.items()]
+    rows = [(sizes[a, p], p, *[int(sum(x[: s + 1])) for s in range(len(names))]) for (a, p), x in plan.items()]
     ends = ", ".join(f"e{s} long" for s in range(len(names)))
     ladder = F.broadcast(spark.createDataFrame(rows, f"size long, profile int, {ends}"))
     before = F.sum("groups").over(W.partitionBy("size", "profile").orderBy("slot").rowsBetween(W.unboundedPreceding, -1))
