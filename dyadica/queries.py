@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import cues, parsing, stats, text
-from .operators import attempts, describe, inference, outcome, probes, terms, topics, vectors
+from .operators import attempts, describe, inference, outcome, permutation, probes, terms, topics, vectors
 from .plans import design, prompts
 from .schema import CONTROL, FRAMINGS, clean_keys, no_nan, normalize_label
 from .session import table, trimmed
@@ -730,6 +730,72 @@ def bootstrap_ci(spark, d):
     return rounded(inference.bootstrap_ci(t, "persona_id", "score", 400, 0.95, 3))
 
 
+# Facet by topic, in blocks of (model, framing): the counts of the three most common topics, the levels shuffled over framings.
+PERM = f"""{TOP}, top3 AS (SELECT topic FROM tk GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 3),
+fc AS (SELECT run_id, prompt_type, persona_type, topic FROM tk SEMI JOIN top3 USING (topic) WHERE persona_type <> 'none'),
+pb AS (SELECT DISTINCT run_id, prompt_type, persona_type FROM tk WHERE persona_type <> 'none'),
+cnt AS (SELECT pb.run_id || '|' || pb.prompt_type AS b, pb.prompt_type AS g, pb.persona_type AS l, t.topic AS f, count(fc.topic) AS v FROM pb CROSS JOIN top3 t LEFT JOIN fc ON fc.run_id = pb.run_id AND fc.prompt_type = pb.prompt_type AND fc.persona_type = pb.persona_type AND fc.topic = t.topic GROUP BY ALL),
+nlev AS (SELECT count(DISTINCT l) AS k FROM cnt), okb AS (SELECT b FROM cnt, nlev GROUP BY b HAVING count(DISTINCT l) = max(k)),
+arr AS (SELECT b, g, l, list(v ORDER BY f) AS v FROM cnt SEMI JOIN okb USING (b) GROUP BY ALL), fs AS (SELECT list(topic ORDER BY topic) AS fs FROM top3),
+idx AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY l) - 1 AS i FROM arr), dr AS (SELECT unnest(range(0, 201)) AS draw),
+mix AS (SELECT draw, b, v, row_number() OVER (PARTITION BY draw, b ORDER BY CASE WHEN draw = 0 THEN lpad(CAST(i AS VARCHAR), 9, '0') ELSE md5('7|' || draw || '|' || b || '|' || i) END) - 1 AS place FROM idx, dr),
+lng AS (SELECT m.draw, x.g AS "group", x.l AS level, unnest(fs.fs) AS feature, CAST(unnest(m.v) AS DOUBLE) AS v FROM mix m JOIN idx x ON x.b = m.b AND x.i = m.place, fs)"""
+MOMENTS = """, mo AS (SELECT {k}, max(s) FILTER (draw = 0) AS observed, avg(s) FILTER (draw > 0) AS null_mean, stddev_samp(s) FILTER (draw > 0) AS null_sd FROM {src} GROUP BY {k}),
+hit AS (SELECT {k}, count(*) FILTER (draw > 0 AND abs(s - null_mean) >= abs(observed - null_mean) - 1e-9) AS hits, count(*) FILTER (draw > 0) AS draws FROM {src} JOIN mo USING ({k}) GROUP BY {k}),
+pp AS (SELECT *, (hits + 1) / (draws + 1) AS p_mc, CASE WHEN null_sd > 1e-12 THEN (observed - null_mean) / null_sd END AS z FROM mo JOIN hit USING ({k}))"""
+
+
+def _draws(spark: SparkSession, d: str) -> DataFrame:
+    """Draws of the facets over the counts of the three most common topics, within model and framing."""
+    t = _topics(spark, d)
+    top = [r["topic"] for r in t.groupBy("topic").count().orderBy(F.desc("count"), "topic").limit(3).collect()]
+    own = t.filter(F.col("persona_type") != CONTROL).groupBy("run_id", "prompt_type", "persona_type").agg(*[F.count_if(F.col("topic") == x).alias(x) for x in top])
+    levels = own.select("persona_type").distinct().count()
+    blocks = own.withColumn("block", F.concat_ws("|", "run_id", "prompt_type"))
+    return permutation.long_sums(permutation.draw_sums(blocks, "block", "persona_type", sorted(top), levels, 200, 7, "prompt_type"), sorted(top))
+
+
+@query(
+    f"""WITH {PERM}, sm AS (SELECT draw, level, feature, sum(v) AS s FROM lng GROUP BY ALL){MOMENTS.format(k='level, feature', src='sm')}
+SELECT level, feature, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(z, 6) AS z, round(p_mc, 6) AS p_mc, round(CASE WHEN null_sd > 1e-12 AND null_mean >= 5 THEN {normal_p_('z')} END, 6) AS p_normal, coalesce(null_sd > 1e-12 AND null_mean >= 5, false) AS usable FROM pp"""
+)
+def perm_both_p(spark, d):
+    s = _draws(spark, d).groupBy("draw", "level", "feature").agg(F.sum("s").alias("s"))
+    return rounded(permutation.both_p(s, ["level", "feature"]))
+
+
+@query(
+    f"""WITH {PERM}, ce AS (SELECT draw, "group", level, feature, sum(v) AS s FROM lng GROUP BY ALL HAVING sum(v) > 0), rc AS (SELECT *, sum(s) OVER (PARTITION BY draw, "group", level) AS r, sum(s) OVER (PARTITION BY draw, "group", feature) AS c FROM ce),
+pd AS (SELECT draw, "group", sum(s) AS t, sum(s) * (sum(s * s / (r * c)) - 1) AS chi2, count(DISTINCT level) AS nr, count(DISTINCT feature) AS nc FROM rc GROUP BY ALL), ob AS (SELECT "group", chi2 AS stat, t, nr, nc FROM pd WHERE draw = 0),
+nu AS (SELECT pd."group", count(*) FILTER (pd.chi2 >= ob.stat - 1e-9) AS hits, count(*) AS draws FROM pd JOIN ob ON ob."group" = pd."group" WHERE pd.draw > 0 GROUP BY ALL)
+SELECT ob."group", round(stat, 4) AS chi2, (nr - 1) * (nc - 1) AS dof, round((hits + 1) / (draws + 1), 6) AS p_permutation, round(sqrt(greatest(stat, 0) / (t * (least(nr, nc) - 1))), 6) AS cramers_v, draws FROM ob JOIN nu ON nu."group" = ob."group\""""
+)
+def perm_omnibus(spark, d):
+    out = permutation.omnibus(_draws(spark, d)).drop("p_asymptotic")  # its tail is a fit, tested against literals
+    return rounded(out.withColumn("chi2", F.round("chi2", 4)), "p_permutation", "cramers_v")
+
+
+@query(
+    f"""WITH {PERM}, ls AS (SELECT draw, "group", level, feature, sum(v) AS s FROM lng GROUP BY ALL), sh AS (SELECT *, CASE WHEN sum(s) OVER (PARTITION BY draw, "group", level) > 1e-12 THEN s / sum(s) OVER (PARTITION BY draw, "group", level) ELSE 0 END AS share FROM ls),
+wd AS (SELECT draw, level, feature, max(share) FILTER ("group" = 'original_post') AS a, max(share) FILTER ("group" = 'flipped_story') AS b, max(s) FILTER ("group" = 'original_post') AS sa, max(s) FILTER ("group" = 'flipped_story') AS sb, a - b AS s FROM sh GROUP BY ALL){MOMENTS.format(k='level, feature', src='wd')}
+SELECT level, feature, round(a, 6) AS share_first, round(b, 6) AS share_second, round(observed, 6) AS difference, round(z, 5) AS z, round(p_mc, 6) AS p_mc, coalesce(null_sd > 1e-12, false) AND least(sa, sb) >= 5 AS testable FROM pp JOIN (SELECT * EXCLUDE (draw, s) FROM wd WHERE draw = 0) USING (level, feature)"""
+)
+def perm_interaction(spark, d):
+    out = permutation.share_interaction(_draws(spark, d), *FRAMINGS).drop("p_normal")
+    return rounded(out.withColumn("z", F.round("z", 5)), "share_first", "share_second", "difference", "p_mc")
+
+
+@query(
+    f"""WITH {T}, r AS (SELECT persona_id AS g, sum(score) AS s, count(*) AS n FROM t WHERE dimension = 'user_rightness' AND score BETWEEN 0 AND 1 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (ORDER BY sha256('3|bootstrap|' || g), g) - 1 AS i, count(*) OVER () AS k FROM r), p AS (SELECT draw, CAST('0x' || left(md5('3|' || draw || '|' || i), 15) AS BIGINT) % k AS i FROM k, (SELECT unnest(range(1, 401)) AS draw)),
+m AS (SELECT draw, sum(s) / sum(n) AS m FROM p JOIN k USING (i) GROUP BY ALL)
+SELECT round((SELECT sum(s) / sum(n) FROM r), 6) AS mean, (SELECT count(*) FROM r) AS clusters, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
+)
+def bootstrap_multinomial(spark, d):
+    t = _labels(spark, d).filter("dimension = 'user_rightness' and score between 0 and 1")
+    return rounded(permutation.bootstrap_means(t, "persona_id", "score", 400, 0.95, 3))
+
+
 # ---- probes -------------------------------------------------------------------------------
 @query(
     f"""WITH {T} SELECT cell_key, dimension, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median, count(score) AS votes, count(DISTINCT teacher) AS teachers, round(stddev_samp(score), 6) AS sd, min(score) AS least, max(score) AS most FROM t WHERE score IS NOT NULL GROUP BY ALL"""
