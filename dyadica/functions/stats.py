@@ -80,13 +80,21 @@ def chi2_p(x: Column, dof: Column) -> Column:
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:
-    """Exact two-sided McNemar p of the discordant counts: a binomial tail with even odds."""
+    """Exact two-sided McNemar p of the discordant counts: a binomial tail with even odds.
+
+    Each binomial follows from the one before, which is exact for up to 50 pairs; above 1,000,
+    where their scale would underflow, their logarithms are added up.
+    """
     n, k = (b + c).cast("double"), F.least(b, c).cast("int")
-    tail = F.aggregate(
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    step = lambda acc, i: F.struct((acc["term"] * (n - i + 1) / i).alias("term"), (acc["total"] + acc["term"] * (n - i + 1) / i).alias("total"))
+    short = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), start, step, lambda acc: acc["total"] * F.pow(F.lit(0.5), n))
+    long = F.aggregate(
         F.sequence(F.lit(0), k),
         F.lit(0.0),
         lambda acc, i: acc + F.exp(log_gamma(n + 1) - log_gamma(i + 1.0) - log_gamma(n - i + 1.0) - n * F.ln(F.lit(2.0))),
     )
+    tail = F.when(n <= 1000, short).otherwise(long)
     return F.when(n == 0, F.lit(1.0)).when(n.isNotNull(), F.least(F.lit(1.0), 2 * tail))
 
 

@@ -17,8 +17,8 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
 
 
 def unit(vector: Column) -> Column:
-    """The vector divided by its length, in double."""
-    n = norm(vector)
+    """The vector divided by its length, in double; nulls where it is all zero."""
+    n = F.nullif(norm(vector), F.lit(0.0))
     return F.transform(vector, lambda x: x.cast("double") / n)
 
 
@@ -36,11 +36,18 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str, dim: int, weight:
     return raw.select(*keys, "n", F.transform("_m", lambda x: x / F.greatest(norm(F.col("_m")), F.lit(1e-12))).alias("mean_vector"))
 
 
-def distance_to_control(df: DataFrame, keys: list[str], vector: str, control) -> DataFrame:
-    """1 - cosine of each row's unit vector to the control's of the same keys (the control averaged)."""
-    rows = df.withColumn("_u", unit(F.col(vector)))
-    base = rows.filter(control).groupBy(*keys).agg(F.max_by("_u", F.xxhash64("_u")).alias("_c"))
-    return rows.filter(~control).join(base, keys).withColumn("distance", 1 - dot(F.col("_u"), F.col("_c"))).drop("_u", "_c")
+def distance_to_control(df: DataFrame, keys: list[str], vector: str, control: Column) -> DataFrame:
+    """Add ``distance``: 1 - cosine of each other row's vector to the mean of its keys' control unit vectors.
+
+    Rows and controls without a usable vector are left out, and so are rows without a control.
+    The distance is null where the lengths differ or the controls cancel out.
+    """
+    rows = usable(df, vector).withColumn("_u", unit(F.col(vector)))
+    parts = rows.filter(control).select(*keys, F.posexplode("_u").alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg("_x").alias("_x"))
+    base = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias("_c"))
+    length = norm(F.col("_c"))
+    cosine = F.when((F.size("_u") == F.size("_c")) & (length > 1e-12), dot(F.col("_u"), F.col("_c")) / length)
+    return rows.filter(~control).join(base, keys).withColumn("distance", 1 - cosine).drop("_u", "_c")
 
 
 def group_distance(df: DataFrame, keys: list[str], vector: str, dim: int) -> DataFrame:

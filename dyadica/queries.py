@@ -189,6 +189,49 @@ def tercile_within(spark, d):
     return outcome.within_terciles(v, "prompt_id", "y", "cell_key").select("prompt_id", "cell_key", "tercile")
 
 
+ATT = f"""{T}, {S}, {A}, lb AS (SELECT cell_key, persona_type, persona_id, prompt_id, prompt_type, {label_('assumption')} AS label FROM a WHERE assumption IS NOT NULL),
+pc AS (SELECT persona_type, persona_id, prompt_id, avg(outcome_logit) AS v FROM sc GROUP BY ALL), pp AS (SELECT persona_type, persona_id, avg(outcome_logit) AS v FROM sc GROUP BY ALL),
+ja AS (SELECT lb.*, pc.v AS cv, pc.prompt_id IS NOT NULL AS cm, pp.v AS pv FROM lb LEFT JOIN pc USING (persona_type, persona_id, prompt_id) LEFT JOIN pp ON lb.persona_type = pp.persona_type AND lb.persona_id = pp.persona_id WHERE label <> ''),
+o AS (SELECT prompt_id, prompt_type, cell_key, persona_id, label, CASE WHEN (SELECT avg(CAST(cm AS INT)) > 0 FROM ja) THEN cv ELSE pv END AS y FROM ja), oy AS (SELECT * FROM o WHERE y IS NOT NULL)"""
+
+
+def _scored_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised labels with their cell's paired outcome, joined by cell or else by person."""
+    a = _assumptions(spark, d).filter("assumption is not null").withColumn("label", normalize_label(F.col("assumption"))).filter("label <> ''")
+    keys = ["persona_type", "persona_id"]
+    return outcome.attach_scores(a, _scores(spark, d), "outcome_logit", [*keys, "prompt_id"], keys).withColumn("y", F.col("outcome_logit"))
+
+
+@query(
+    f"""WITH {ATT}, u AS (SELECT prompt_id, cell_key, label, avg(y) AS y FROM oy GROUP BY ALL), c AS (SELECT label, prompt_id, count(*) AS n1, sum(y) AS s1 FROM u GROUP BY ALL),
+st AS (SELECT prompt_id, count(*) AS n, sum(y) AS s, coalesce(var_samp(y), 0) AS v FROM u GROUP BY ALL), j AS (SELECT c.*, n, s, v, n - n1 AS n0 FROM c JOIN st USING (prompt_id) WHERE n > n1),
+wi AS (SELECT label, sum(n1 * (s1 / n1 - (s - s1) / n0)) / sum(n1) AS within_delta, sqrt(sum(n1 * n1 * v * (1.0 / n1 + 1.0 / n0))) / sum(n1) AS within_se, count(*) AS n_strata,
+ CAST(sum(CASE WHEN v > 0 THEN n1 ELSE 0 END) AS BIGINT) AS n_informative FROM j GROUP BY label),
+pl AS (SELECT label, count(*) AS n, sum(y) AS s, avg(y) AS mean FROM u GROUP BY label), g AS (SELECT count(*) AS gn, sum(y) AS gs FROM u)
+SELECT pl.label, pl.n, round(pl.mean, 5) AS mean, round(CASE WHEN gn > pl.n THEN pl.mean - (gs - pl.s) / (gn - pl.n) END, 5) AS delta, round(within_delta, 5) AS within_delta, round(within_se, 5) AS within_se, n_strata, n_informative
+FROM pl CROSS JOIN g LEFT JOIN wi USING (label)"""
+)
+def label_outcome_rank(spark, d):
+    """Labels by the paired outcome of the cells that they were stated in."""
+    out = outcome.rank_labels(_scored_labels(spark, d), "label", "prompt_id", "y", ["prompt_id", "cell_key"], 1).drop("z", "p", "q")
+    return out.withColumns({c: F.round(c, 5) for c in ("mean", "delta", "within_delta", "within_se")})
+
+
+@query(
+    f"""WITH {ATT}, st AS (SELECT prompt_id, count(*) AS n, min(y) AS lo, max(y) AS hi FROM oy GROUP BY ALL)
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows, count(*) AS strata, CAST(coalesce(sum(CAST(lo < hi AS INT)), 0) AS BIGINT) AS varying, (SELECT count(DISTINCT persona_id) FROM oy) AS persons FROM st"""
+)
+def outcome_diagnostics(spark, d):
+    return outcome.design_diagnostics(_scored_labels(spark, d), "prompt_id", "persona_id", "y")
+
+
+@query(f"WITH {ATT} SELECT cell_key, label, round(y, 6) AS y FROM oy")
+def scored_assumptions(spark, d):
+    """Assumptions restricted to cells with an outcome (a semi join to the scored rows)."""
+    a = _scored_labels(spark, d).select("cell_key", "label", "y").filter("y is not null")
+    return rounded(a)
+
+
 # ---- attempts -----------------------------------------------------------------------------
 LOG = "l AS (SELECT DISTINCT * FROM attempt_log), k AS (SELECT *, coalesce(error, '') = '' AND trim(coalesce(raw, '')) <> '' AS ok FROM l)"
 
@@ -448,11 +491,16 @@ def marked_words(spark, d):
     return rounded(terms.marked_words(a, t, ["prompt_id", "prompt_type"], "label", "text", 3))
 
 
-@query()
+@query(
+    f"""WITH {A}, v AS (SELECT probability_norm AS p, description FROM a WHERE probability_norm IS NOT NULL AND description IS NOT NULL), q AS (SELECT quantile_cont(p, 1 / 3.0) AS lo, quantile_cont(p, 2 / 3.0) AS hi FROM v),
+sd AS (SELECT CASE WHEN p <= lo THEN 'low' WHEN p > hi THEN 'high' END AS side, description FROM v, q), w AS (SELECT side, unnest(regexp_extract_all(lower(description), '[a-z]+')) AS term FROM sd WHERE side IS NOT NULL), c AS (SELECT side, term, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY ALL),
+pr AS (SELECT term, sum(n) AS prior FROM c GROUP BY ALL), ow AS (SELECT side, sum(n) AS own FROM c GROUP BY ALL), al AS (SELECT sum(prior) AS tokens, sum(greatest(prior, 1)) AS mass FROM pr)
+SELECT side, term, CAST(n AS BIGINT) AS n, CAST(prior AS BIGINT) AS prior, round({word_z_('n', '(own + mass)', '(prior - n)', '(tokens - own + mass)', 'prior')}, 6) AS z FROM c JOIN pr USING (term) JOIN ow USING (side), al WHERE prior >= 10"""
+)
 def tercile_words(spark, d):
     """Words of well and badly scored explanations (quantile cuts, then the word contrast)."""
     a = _assumptions(spark, d).filter("probability_norm is not null and description is not null")
-    return terms.tercile_words(a, "probability_norm", "description", 10)
+    return rounded(terms.tercile_words(a, "probability_norm", "description", 10))
 
 
 # ---- topics -------------------------------------------------------------------------------
@@ -566,6 +614,48 @@ def cosine_to_control(spark, d):
     return rounded(vectors.distance_to_control(kept, ["g"], "embedding", F.col("label") == 0).select("vec_id", "distance"))
 
 
+#: Usable response vectors by cleaned keys, as unit vectors.
+RV = f"""rv AS (SELECT vec_id, model, {p_('persona_type')} AS persona_type, {c_('prompt_id')} AS prompt_id, prompt_type, assumption, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM response_vectors
+ WHERE vector IS NOT NULL AND len(vector) > 0 AND NOT list_bool_or(list_transform(vector, lambda x: isnan(x)))), ru AS (SELECT * EXCLUDE (v), list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM rv WHERE list_sum(list_transform(v, lambda x: x * x)) > 0)"""
+
+
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    return clean_keys(table(spark, d, "response_vectors"))
+
+
+@query(
+    f"""WITH {RV}, cx AS (SELECT model, prompt_type, prompt_id, i, avg(u[i]) AS x FROM ru, (SELECT unnest(range(1, 97)) AS i) WHERE persona_type = 'none' GROUP BY ALL), cc AS (SELECT model, prompt_type, prompt_id, list(x ORDER BY i) AS c FROM cx GROUP BY ALL)
+SELECT vec_id, round(1 - list_dot_product(u, c) / sqrt(list_sum(list_transform(c, lambda x: x * x))), 6) AS distance FROM ru JOIN cc USING (model, prompt_type, prompt_id) WHERE persona_type <> 'none'"""
+)
+def distance_to_control(spark, d):
+    """How far each response is from the mean control response of its model and prompt."""
+    out = vectors.distance_to_control(_responses(spark, d), ["model", "prompt_type", "prompt_id"], "vector", F.col("persona_type") == CONTROL)
+    return rounded(out.select("vec_id", "distance"))
+
+
+@query(
+    f"""WITH {RV}, w AS (SELECT *, greatest(1.0 - vec_id % 5, 0) AS wt FROM ru), x AS (SELECT model, prompt_type, unnest(range(1, 97)) AS i, u, wt FROM w), s AS (SELECT model, prompt_type, i, count(*) AS n, sum(wt) AS sw, sum(wt * u[i]) AS a, sum(u[i]) AS b FROM x GROUP BY ALL),
+m AS (SELECT model, prompt_type, i, n, CASE WHEN sw > 0 THEN a ELSE b END AS m FROM s), l AS (SELECT model, prompt_type, sqrt(sum(m * m)) AS l FROM m GROUP BY ALL)
+SELECT model, prompt_type, any_value(n) AS n, list(round(m / l, 5) ORDER BY i) AS mean_vector FROM m JOIN l USING (model, prompt_type) GROUP BY ALL"""
+)
+def weighted_vectors(spark, d):
+    """Weighted mean response per model and framing; rows of weight 0 or less do not count."""
+    rows = _responses(spark, d).withColumn("weight", 1.0 - F.col("vec_id") % 5)
+    out = vectors.mean_vectors(rows, ["model", "prompt_type"], "vector", 96, "weight")
+    return out.withColumn("mean_vector", F.transform("mean_vector", lambda x: F.round(x, 5)))
+
+
+@query(
+    f"""WITH {RV}, x AS (SELECT persona_type, prompt_type, model, unnest(range(1, 97)) AS i, u FROM ru), s AS (SELECT persona_type, prompt_type, model, i, sum(u[i]) AS s, count(*) AS n FROM x GROUP BY ALL),
+g AS (SELECT persona_type, prompt_type, model, any_value(n) AS n, sum(s * s) AS t FROM s GROUP BY ALL HAVING any_value(n) >= 2), d AS (SELECT persona_type, n * (n - 1) / 2.0 AS w, 1 - (t - n) / (n * (n - 1.0)) AS d FROM g)
+SELECT persona_type, round(sum(w * d) / sum(w), 6) AS distance, round(sum(w), 6) AS pairs, count(*) AS groups FROM d GROUP BY ALL"""
+)
+def pooled_distance(spark, d):
+    """Mean pairwise distance per facet, pooled over models and framings by their pairs."""
+    per = vectors.group_distance(_responses(spark, d), ["persona_type", "prompt_type", "model"], "vector", 96)
+    return rounded(vectors.pooled(per, ["persona_type"], "distance", "pairs"))
+
+
 @query()
 def ridge_probe(spark, d):
     """Held-out metrics of a ridge probe on embeddings, trained on four fifths by hash."""
@@ -678,7 +768,14 @@ def mcnemar_counts(spark, d):
     return inference.discordance(_topics(spark, d), UNIT.split(", "), "topic", "prompt_type", *FRAMINGS)
 
 
-@query()
+@query(
+    f"""WITH {TOP}, h AS (SELECT DISTINCT {UNIT}, prompt_type, topic FROM tk), pr AS (SELECT {UNIT} FROM h GROUP BY ALL HAVING count(DISTINCT prompt_type) = 2),
+w AS (SELECT {UNIT}, topic, max(CAST(prompt_type = 'original_post' AS INT)) AS a, max(CAST(prompt_type = 'flipped_story' AS INT)) AS b FROM h SEMI JOIN pr USING ({UNIT}) GROUP BY ALL),
+n AS (SELECT topic, CAST(sum(CAST(a > b AS INT)) AS BIGINT) AS only_first, CAST(sum(CAST(b > a AS INT)) AS BIGINT) AS only_second FROM w GROUP BY ALL),
+t AS (SELECT topic, only_first, only_second, only_first + only_second AS n, unnest(range(0, least(only_first, only_second) + 1)) AS i FROM n),
+x AS (SELECT topic, only_first, only_second, CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * sum(list_reduce(list_prepend(1.0, list_transform(range(1, i + 1), lambda j: CAST(j AS DOUBLE))), lambda acc, j: acc * (n - j + 1) / j)) * pow(0.5, n)) END AS p FROM t GROUP BY topic, only_first, only_second, n)
+SELECT topic, only_first, only_second, round(p, 6) AS p, round(q, 6) AS q FROM {bh_('x', 'p', 'topic')}"""
+)
 def mcnemar_test(spark, d):
     """The same counts with exact p and q."""
     n = inference.discordance(_topics(spark, d), UNIT.split(", "), "topic", "prompt_type", *FRAMINGS)
@@ -1008,7 +1105,14 @@ def persona_text(spark, d):
     return persona_texts(clean_keys(table(spark, d, "personas").select("persona_type", "persona_id", "messages").distinct()), "user")
 
 
-@query()
+@query(
+    """WITH p AS (SELECT DISTINCT persona_type, persona_id, messages FROM personas), k AS (SELECT *, row_number() OVER () AS rid FROM p),
+m AS (SELECT rid, i, lower(messages[i].role) AS role, trim(coalesce(messages[i].content, '')) AS content FROM k, (SELECT unnest(range(1, 200)) AS i) WHERE i <= len(messages)),
+u AS (SELECT * FROM m WHERE role IN ('user', 'assistant') AND content <> ''), c AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY rid ORDER BY i) THEN 0 ELSE 1 END AS f FROM u),
+g AS (SELECT *, sum(f) OVER (PARTITION BY rid ORDER BY i) AS t FROM c), r AS (SELECT rid, t, any_value(role) AS role, string_agg(content, chr(10) || chr(10) ORDER BY i) AS content FROM g GROUP BY rid, t),
+o AS (SELECT * FROM r WHERE NOT (t = 1 AND role = 'assistant')), l AS (SELECT rid, count(*) AS n, string_agg(CASE role WHEN 'user' THEN 'User' ELSE 'AI' END || ': ' || content, chr(10) ORDER BY t) AS text FROM o GROUP BY rid)
+SELECT persona_type, persona_id, CAST(coalesce(n, 0) AS INT) AS n_turns, coalesce(text, '') AS text FROM k LEFT JOIN l USING (rid)"""
+)
 def transcript_text(spark, d):
     """Cleaned turns (merged roles, no opening assistant) and their "User / AI" lines."""
     p = table(spark, d, "personas").select("persona_type", "persona_id", "messages").distinct()
