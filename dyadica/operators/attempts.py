@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def succeeded(error: Column, raw: Column) -> Column:
     """An attempt without an error and with some output."""
@@ -64,7 +66,8 @@ def systematic_sample(df: DataFrame, order: str, n: int) -> DataFrame:
         return df.limit(0)
     step = max(1.0, total / n)
     # Positions are counted per range partition first, so no task sees more than its range.
-    part = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    # The ranges are kept, as a second evaluation might cut them elsewhere.
+    part = cut_lineage(df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()))
     sizes = part.groupBy("_p").count()
     before = sizes.withColumn("_o", F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     numbered = part.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(order)) - 1).join(F.broadcast(before), "_p")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import entropy_bits
 from ..schema import CONTROL, FRAMINGS, MODEL_DIMENSIONS, normalize_label, present, safe_ratio
+from .ranges import quantiles
 
 GOOD = ("clean", "repaired", "salvaged")
 
@@ -125,7 +126,10 @@ def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def census(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     """sum, mean, 95th percentile (linear) and maximum of a count per group."""
     v = F.col(value).cast("double")
-    return df.groupBy(*group).agg(F.sum(v).alias("total"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.95)).alias("p95"), F.max(v).alias("top"))
+    sums = df.groupBy(*group).agg(F.sum(v).alias("total"), F.avg(v).alias("mean"), F.max(v).alias("top"))
+    high = quantiles(df, group, value, [0.95], "_q").select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_q")[0].alias("p95"))
+    same = [sums[g].eqNullSafe(high[f"_{g}"]) for g in group]
+    return sums.join(high, same, "left").select(*group, "total", "mean", "p95", "top") if group else sums.crossJoin(high).select("total", "mean", "p95", "top")
 
 
 def facet_deviation(df: DataFrame, model: str, facet: str, metric: str) -> DataFrame:

@@ -11,10 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_p, log_odds_ratio, normal_p, normal_quantile
+from .ranges import quantiles
 
 
 def benjamini_hochberg(df: DataFrame, p: str, ties: list[str], q: str = "q", within: list[str] | None = None) -> DataFrame:
-    """Add q values; null p values stay null and do not count. Meant for result tables."""
+    """Add q values; null p values stay null and do not count.
+
+    Each family is sorted in one task: meant for result tables. For one family of any size see
+    :func:`dyadica.operators.ranges.false_discovery`.
+    """
     w = W.partitionBy(*[F.col(c) for c in within or []], F.col(p).isNull())
     ranked = df.withColumn("_m", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.col(p), *ties)))
     down = w.orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -100,8 +105,7 @@ def bootstrap_ci(df: DataFrame, group: str, value: str, samples: int, confidence
 
 def null_band(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     """The central 95 per cent of a null sample, by linear quantiles."""
-    v = F.col(value).cast("double")
-    return df.groupBy(*group).agg(F.percentile(v, F.lit(0.025)).alias("low"), F.percentile(v, F.lit(0.975)).alias("high"))
+    return quantiles(df, group, value, [0.025, 0.975], "_q").select(*group, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
 
 
 def contrast_table(df: DataFrame, level: str, feature: str, unit: str, stratum: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import logaddexp
+from .ranges import quantiles, running
 
 
 def aggregate_votes(df: DataFrame, keys: list[str], teacher: str, score: str) -> DataFrame:
@@ -54,11 +55,10 @@ def average_rank(value: str, within: list[str]) -> Column:
 def _histogram(df: DataFrame, group: list[str], value: str, extra: list) -> DataFrame:
     """Distinct values with counts and the rows below them: ranks without sorting single rows.
 
-    Rows are aggregated by value first, so a window only sees distinct values.
+    Rows are aggregated by value first, and a window only sees one range of distinct values.
     """
     per = df.groupBy(*group, value).agg(F.count("*").alias("c"), *extra)
-    below = F.coalesce(F.sum("c").over(W.partitionBy(*group).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("rank", below + (F.col("c") + 1) / 2.0)
+    return running(per, group, value, {"c": "below"}).withColumn("rank", F.col("below") + (F.col("c") + 1) / 2.0).drop("below", "below_all")
 
 
 def auc(df: DataFrame, group: list[str], score: str, positive: str) -> DataFrame:
@@ -94,7 +94,7 @@ def regression_metrics(df: DataFrame, group: list[str], truth: str, guess: str)
 
 def extreme_classes(df: DataFrame, group: list[str], value: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
     """True above the upper quantile, false up to the lower one, null between (linear quantiles)."""
-    cuts = df.groupBy(*group).agg(F.percentile(F.col(value).cast("double"), F.array(F.lit(low), F.lit(high))).alias("_c"))
+    cuts = quantiles(df, group, value, [low, high], "_c")
     joined = df.join(cuts, group) if group else df.crossJoin(F.broadcast(cuts))
     c = F.col("_c")
     return joined.withColumn("extreme", F.when(F.col(value) >= c[1], True).when(F.col(value) <= c[0], False)).drop("_c")

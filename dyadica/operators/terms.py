@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import word_z
 from ..functions.text import PROMPT_ECHO, STOPWORD_MODES, bare_words, ngrams
 from ..schema import CONTROL, safe_ratio
+from .ranges import quantiles
 
 
 def term_rows(df: DataFrame, keys: list[str], text: str, n: int, mode: str = "unigrams", echo: bool = True) -> DataFrame:
@@ -95,7 +96,7 @@ def marked_words(rows: DataFrame, texts: DataFrame, keys: list[str], label: str,
 
 def tercile_words(rows: DataFrame, value: str, text: str, least: int) -> DataFrame:
     """Words of the texts above the upper third of a value against those up to the lower third."""
-    cuts = rows.agg(F.percentile(F.col(value).cast("double"), F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("c"))
+    cuts = quantiles(rows, [], value, [1 / 3, 2 / 3], "c")
     side = F.when(F.col(value) <= F.col("c")[0], "low").when(F.col(value) > F.col("c")[1], "high")
     split = rows.crossJoin(F.broadcast(cuts)).withColumn("side", side).filter("side is not null")
     return group_contrasts(split.select("side", text), "side", text, least)

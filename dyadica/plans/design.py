@@ -104,6 +104,17 @@ def coordinates_digest(df: DataFrame, keys: list[str], group: list[str] | None =
     return slots.groupBy(*(group or [])).agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(lines, ","), 256).alias("digest"))
 
 
+def coordinates_checksum(df: DataFrame, keys: list[str], group: list[str] | None = None) -> DataFrame:
+    """(rows, digest) of a coordinate set, whatever its order, at any size.
+
+    The 60-bit words of each coordinate's sha256 are added up (repeated coordinates once), so
+    sums are combined map-side and no task holds the set. Equal sets have equal digests.
+    """
+    own = df.select(*(group or []), F.sha2(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), 256).alias("h")).distinct()
+    words = [F.sum(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    return own.groupBy(*(group or [])).agg(F.count("*").alias("n_rows"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), *[w.cast("string") for w in words]), 256).alias("digest"))
+
+
 def hash_key(seed: int, tag: str, value: Column) -> Column:
     """The stable order key of an id under a seed and a tag."""
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), value.cast("string")), 256)
@@ -187,6 +198,11 @@ def design_summary(cells: DataFrame) -> DataFrame:
 
 
 def history_windows(turns: DataFrame, conversation: str, turn: str, line: str) -> DataFrame:
-    """Each turn with the lines of all earlier turns of its conversation."""
-    w = W.partitionBy(conversation).orderBy(turn).rowsBetween(W.unboundedPreceding, -1)
-    return turns.withColumn("history", F.array_join(F.collect_list(line).over(w), "\n"))
+    """Each turn with the lines of all earlier turns of its conversation.
+
+    A conversation's lines are gathered once, and each turn takes the first of them.
+    """
+    whole = turns.groupBy(conversation).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.struct(*turns.columns).alias("r"), F.col(line).alias("l")))).alias("_x"))
+    each = whole.select("_x", F.posexplode("_x").alias("_i", "_e"))
+    history = F.array_join(F.transform(F.slice("_x", F.lit(1), F.col("_i")), lambda e: e["l"]), "\n")
+    return each.select("_e.r.*", history.alias("history"))

@@ -33,12 +33,11 @@ def lineage_faults(labels: DataFrame, cells: DataFrame, key: str, fields: list[s
 
 def require_complete(planned: DataFrame, labels: DataFrame, keys: list[str]) -> None:
     """An error unless every planned key has a label and none is repeated."""
-    seen = labels.groupBy(*keys).agg(F.count("*").alias("_n"))
-    j = planned.select(*keys).distinct().join(seen, keys, "full")
-    row = planned.select(*keys).distinct().join(seen, keys, "left").agg(F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(F.col("_n") > 1).alias("repeated")).first()
-    extra = j.count() - planned.select(*keys).distinct().count()
-    if row["missing"] or row["repeated"] or extra:
-        raise ValueError(f"{row['missing']} labels missing, {row['repeated']} repeated, {extra} unexpected")
+    both = planned.select(*keys, F.lit(1).alias("_p"), F.lit(0).alias("_l")).unionByName(labels.select(*keys, F.lit(0).alias("_p"), F.lit(1).alias("_l")))
+    per = both.groupBy(*keys).agg(F.sum("_p").alias("p"), F.sum("_l").alias("l"))
+    row = per.agg(F.count_if(F.expr("p > 0 and l = 0")).alias("missing"), F.count_if(F.expr("p > 0 and l > 1")).alias("repeated"), F.count_if(F.expr("p = 0")).alias("extra")).first()
+    if row["missing"] or row["repeated"] or row["extra"]:
+        raise ValueError(f"{row['missing']} labels missing, {row['repeated']} repeated, {row['extra']} unexpected")
 
 
 def digest_mismatches(rows: DataFrame, prompt: Column, stored: str, size: int = 16) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.attempts import latest_success, succeeded
 from ..schema import UNIT_KEYS
-from .design import coordinates_digest, set_difference
+from .design import coordinates_checksum, set_difference
 
 
 def canonical_json(value) -> str:
@@ -103,7 +103,7 @@ def reconcile(stored: dict | None, manifest: Manifest) -> dict:
 
 def make_lock(factors: dict, cells: DataFrame) -> dict:
     """A design lock: the factors and the digest of all coordinates they expand to."""
-    row = coordinates_digest(cells, list(UNIT_KEYS)).first()
+    row = coordinates_checksum(cells, list(UNIT_KEYS)).first()
     body = {"factors": factors, "n_cells": row["n_rows"], "coordinates": row["digest"]}
     return {"design_id": digest(body), **body}
 
@@ -113,7 +113,7 @@ def verify_lock(lock: dict, cells: DataFrame) -> None:
     body = {k: v for k, v in lock.items() if k != "design_id"}
     if digest(body) != lock["design_id"]:
         raise ValueError("the lock's digest does not match its content")
-    row = coordinates_digest(cells, list(UNIT_KEYS)).first()
+    row = coordinates_checksum(cells, list(UNIT_KEYS)).first()
     if row is None or (row["n_rows"], row["digest"]) != (lock["n_cells"], lock["coordinates"]):
         raise ValueError("the cells are not those of the lock")
 

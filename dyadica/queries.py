@@ -104,12 +104,10 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _outcome_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Normalised labels with the score of their cell's rightness, by way of person and prompt."""
-    t = _labels(spark, d).filter("dimension = 'user_rightness' and score is not null")
-    per = t.groupBy("persona_type").agg(F.avg("score").alias("m"))
+    """Normalised labels with their normalised probability."""
     a = _assumptions(spark, d).filter("assumption is not null").withColumn("label", normalize_label(F.col("assumption"))).filter("label <> ''")
     y = F.col("probability_norm")
-    return a.join(per, "persona_type", "left").filter(y.isNotNull()).withColumn("y", y)
+    return a.filter(y.isNotNull()).withColumn("y", y)
 
 
 # ---- outcomes -----------------------------------------------------------------------------
@@ -1000,41 +998,21 @@ def eligible_division(spark, d):
     return design.eligible_ids(clean_keys(table(spark, d, "prompts")).filter("text is not null"), "prompt_id", "prompt_type", 2)
 
 
-def _small_design(spark: SparkSession, d: str) -> DataFrame:
-    """The design of one facet's persons over the paired prompts, two reps."""
-    people = clean_keys(table(spark, d, "personas")).filter("persona_type = 'faith'")
-    return design.build_cells(people, clean_keys(table(spark, d, "prompts")).filter("text is not null"), ["faith"], reps=2)
-
-
-GRID = f"""{PP}, pq AS (SELECT prompt_id FROM po GROUP BY 1 HAVING count(DISTINCT prompt_type) = 2), pz AS (SELECT * FROM po WHERE prompt_id IN (SELECT prompt_id FROM pq)), ps AS (SELECT 'none' AS persona_type, 'none' AS persona_id UNION ALL SELECT * FROM pe WHERE persona_type = 'faith'),
+GRID = f"""{PP}, pq AS (SELECT prompt_id FROM po GROUP BY 1 HAVING count(DISTINCT prompt_type) = 2), pz AS (SELECT * FROM po WHERE prompt_id IN (SELECT prompt_id FROM pq)), ps AS (SELECT 'none' AS persona_type, 'none' AS persona_id UNION ALL SELECT * FROM pe WHERE persona_type <> 'none'),
 gd AS (SELECT persona_type, persona_id, prompt_type, prompt_id, CAST(rep AS INT) AS rep FROM ps, pz, (SELECT unnest([0, 1]) AS rep))"""
 
 
-@query(f"WITH {GRID} SELECT persona_type, prompt_type, count(*) AS cells, count(DISTINCT persona_id) AS persons, count(DISTINCT prompt_id) AS prompts FROM gd GROUP BY ALL")
-def design_grid(spark, d):
-    return design.design_summary(_small_design(spark, d))
-
-
-@query(f"WITH {GRID}, cv AS (SELECT DISTINCT {p_('persona_type')} AS persona_type, {p_('persona_id')} AS persona_id, prompt_type, {c_('prompt_id')} AS prompt_id, rep FROM attempt_log) SELECT persona_type, prompt_type, count(*) AS n FROM (SELECT * FROM gd EXCEPT SELECT * FROM cv) GROUP BY ALL")
-def wave_except(spark, d):
-    left = design.wave(_small_design(spark, d), clean_keys(table(spark, d, "attempt_log")))
-    return left.groupBy("persona_type", "prompt_type").agg(F.count("*").alias("n"))
-
-
-ALL_GRID = GRID.replace("persona_type = 'faith'", "persona_type <> 'none'")
-
-
 def _factors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """People of all facets, and the paired prompts."""
     return design.facet_factors(clean_keys(table(spark, d, "personas")), clean_keys(table(spark, d, "prompts")).filter("text is not null"))
 
 
-@query(f"WITH {ALL_GRID} SELECT persona_type, prompt_type, count(*) AS cells, count(DISTINCT persona_id) AS persons, count(DISTINCT prompt_id) AS prompts FROM gd GROUP BY ALL")
+@query(f"WITH {GRID} SELECT persona_type, prompt_type, count(*) AS cells, count(DISTINCT persona_id) AS persons, count(DISTINCT prompt_id) AS prompts FROM gd GROUP BY ALL")
 def design_grid_all(spark, d):
     return design.factor_summary(*_factors(spark, d), 2)
 
 
-@query(f"WITH {ALL_GRID}, cv AS (SELECT DISTINCT {p_('persona_type')} AS persona_type, {p_('persona_id')} AS persona_id, prompt_type, {c_('prompt_id')} AS prompt_id, rep FROM attempt_log) SELECT persona_type, prompt_type, count(*) AS n FROM gd ANTI JOIN cv USING (persona_type, persona_id, prompt_type, prompt_id, rep) GROUP BY ALL")
+@query(f"WITH {GRID}, cv AS (SELECT DISTINCT {p_('persona_type')} AS persona_type, {p_('persona_id')} AS persona_id, prompt_type, {c_('prompt_id')} AS prompt_id, rep FROM attempt_log) SELECT persona_type, prompt_type, count(*) AS n FROM gd ANTI JOIN cv USING (persona_type, persona_id, prompt_type, prompt_id, rep) GROUP BY ALL")
 def wave_except_all(spark, d):
     return design.factor_wave(*_factors(spark, d), 2, clean_keys(table(spark, d, "attempt_log")))
 
@@ -1047,6 +1025,15 @@ def coord_digest(spark, d):
     return design.coordinates_digest(clean_keys(table(spark, d, "attempt_log")), list(("persona_type", "persona_id", "prompt_type", "prompt_id", "rep")), ["run_id"])
 
 
+@query(
+    f"""WITH c AS (SELECT DISTINCT run_id, sha256({p_('persona_type')} || '|' || {p_('persona_id')} || '|' || prompt_type || '|' || {c_('prompt_id')} || '|' || rep) AS h FROM attempt_log),
+w AS (SELECT run_id, count(*) AS n, sum(CAST('0x' || h[1:15] AS HUGEINT)) AS a, sum(CAST('0x' || h[16:30] AS HUGEINT)) AS b, sum(CAST('0x' || h[31:45] AS HUGEINT)) AS c, sum(CAST('0x' || h[46:60] AS HUGEINT)) AS e FROM c GROUP BY ALL)
+SELECT run_id, n AS n_rows, sha256(n || '|' || a || '|' || b || '|' || c || '|' || e) AS digest FROM w"""
+)
+def coord_checksum(spark, d):
+    return design.coordinates_checksum(clean_keys(table(spark, d, "attempt_log")), list(("persona_type", "persona_id", "prompt_type", "prompt_id", "rep")), ["run_id"])
+
+
 def part_(key: str, src: str, tag: str) -> str:
     n, r = "count(*) OVER ()", f"row_number() OVER (ORDER BY sha256('7|{tag}|' || {key}), {key})"
     return f"SELECT {key}, CASE WHEN {r} <= floor({n} * 0.7 + 0.5) THEN 'train' WHEN {r} <= floor({n} * (0.7 + 0.15) + 0.5) THEN 'validation' ELSE 'test' END AS part FROM (SELECT DISTINCT {key} FROM {src})"

@@ -14,16 +14,17 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.attempts import latest_success, succeeded
 
 
-def read_log_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 64) -> DataFrame:
-    """A stream of parquet or JSON attempt files, by the schema given."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def read_log_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 64, kind: str = "parquet") -> DataFrame:
+    """A stream of attempt files of a folder, parquet or ``json`` lines, by the schema given."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(kind).load(folder)
 
 
 def canonical_stream(stream: DataFrame, state: str, checkpoint: str, key: str = "cell_key", seq: str = "seq") -> StreamingQuery:
-    """Keep the latest success per key under ``state``, one folder per finished batch.
+    """Keep the latest success per key under ``state``, in the folder of the newest finished batch.
 
     A batch that is replayed after a failure writes the same folder again, so the result is
-    exactly that of the batch operator over all files read so far.
+    exactly that of the batch operator over all files read so far. The folder before is kept
+    for such a replay and older ones are deleted.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
@@ -32,6 +33,9 @@ def canonical_stream(stream: DataFrame, state: str, checkpoint: str, key: str =
         if number:
             rows = spark.read.schema(batch.schema).parquet(f"{state}/{number - 1}").unionByName(batch)
         latest_success(rows, key, seq, succeeded(F.col("error"), F.col("raw"))).write.mode("overwrite").parquet(f"{state}/{number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
