@@ -133,7 +133,8 @@ NOT_STREET = r"(?!(?i:the|a|an|of|in|on|at|to|for|and|or|is|are|was|were|my|your
 UNIT = r"(?:(?i:flat|apt\.?|apartment|unit|suite) \w{1,5},? )"
 TOWN = r"(?:,? (?i:apt\.?|flat|unit|suite|#) ?\w{1,5})?(?:, (?:\d{4,6} )?\p{Lu}[\p{L}’'-]+(?: \p{Lu}[\p{L}’'-]+(?=[,.\d]| \d))?(?: \d{4,6})?(?![\p{L}\p{N}]))?"
 ADDRESSES = [
-    (re.compile(rf"{EDGE}{UNIT}?\d{{1,5}}[a-zA-Z]?,? (?:{NOT_STREET}\p{{L}}[\p{{L}}’'-]+ ){{1,3}}(?i:{STREET})\b\.?{TOWN}"), 0.6),
+    (re.compile(rf"{EDGE}{UNIT}\d{{1,5}}[a-zA-Z]?,? (?:{NOT_STREET}\p{{L}}[\p{{L}}’'-]+ ){{1,3}}(?i:{STREET})\b\.?{TOWN}"), 0.6),
+    (re.compile(rf"{EDGE}\d{{1,5}}[a-zA-Z]?,? (?:{NOT_STREET}\p{{L}}[\p{{L}}’'-]+ ){{1,3}}(?i:{STREET})\b\.?{TOWN}"), 0.6),
     (re.compile(rf"(?i:\bp\.? ?o\.? ?box|\bpostfach|\bapartado(?: de correos)?|\bcaixa postal|\bcasella postale|\bbo[iî]te postale) \d{{1,6}}\b{TOWN}"), 0.9),
     (re.compile(rf"{EDGE}\d{{1,5}}(?: ?bis| ?ter)?,? (?i:rue|avenue|boulevard|place|chemin|allée|impasse|quai)(?: (?:de la|de l’|de l'|de|des|du|d’|d'))? ?{CAP}(?: {CAP})?{TOWN}"), 0.8),
     (re.compile(rf"(?i:\bcalle|\bavenida|\bplaza|\bpaseo|\brua|\bvia|\bviale|\bcorso|\bpiazza|\btravessa)(?: (?i:del|de la|de los|de las|de|da|do|dos|das|della|dei|degli))? {CAP}(?: {CAP}){{0,2}},? \d{{1,5}}(?:, \d{{1,2}}º ?\w?)?{TOWN}"), 0.8),
@@ -148,7 +149,8 @@ MAYBE_NUMBER = re.compile(r"\d[\d ./()-]{4,}[\dA-Z]")
 MAYBE_PLACED = re.compile(r"\d")
 MAYBE_INITIAL = re.compile(r"(?<!\p{L})\p{Lu}\. ?\p{L}")
 MAYBE_PAIR = re.compile(r"\p{Lu}[\p{L}’'.-]*(?: \p{L}[\p{L}’'.-]*){0,3} \p{Lu}")
-MAYBE_NAMED = re.compile(r"(?i)name|signed|hei[ßs]|appelle|llamo|chiamo|nome|chamo|nombre|contact|regards|sincerely|yours")
+NAMED_PARTS = ("name", "signed", "heiß", "heis", "appelle", "llamo", "chiamo", "nome", "chamo", "nombre", "contact", "regards", "sincerely", "yours")
+UNITS = ("flat", "apt", "apartment", "unit", "suite")
 CAPITALS = re.compile(r"\p{Lu}\p{L}+")
 GIVEN_SET = frozenset({*GIVEN, *(g.upper() for g in GIVEN)})
 TITLE_SET = frozenset("Mr Mrs Ms Miss Mx Dr Prof Professor Sir Dame Herr Frau Monsieur Madame Señor Señora Signor Signora".split())
@@ -192,10 +194,10 @@ def _numbers(text: str) -> Iterator[tuple[float, int, int, str]]:
             yield 0.95, m.start(), m.end(), "id_number"
 
 
-def _persons(text: str) -> Iterator[tuple[float, int, int, str]]:
+def _persons(text: str, low: str) -> Iterator[tuple[float, int, int, str]]:
     capitals = set(CAPITALS.findall(text))
     known, titled = not capitals.isdisjoint(GIVEN_SET), not capitals.isdisjoint(TITLE_SET)
-    initial, pair, named = MAYBE_INITIAL.search(text), MAYBE_PAIR.search(text), MAYBE_NAMED.search(text)
+    initial, pair, named = MAYBE_INITIAL.search(text), MAYBE_PAIR.search(text), any(x in low for x in NAMED_PARTS)
     tries = (known, known, known, titled, initial, initial, pair, named)
     for (pattern, base), worth in zip(NAMES, tries):
         if not worth:
@@ -223,9 +225,9 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, float]]:
     if MAYBE_NUMBER.search(text):
         found += _numbers(text)
     if MAYBE_PLACED.search(text):
-        for shape, base in ADDRESSES:
+        for shape, base in ADDRESSES if any(x in low for x in UNITS) else ADDRESSES[1:]:
             found += [(base, m.start(), m.end(), "address") for m in shape.finditer(text)]
-    found += _persons(text)
+    found += _persons(text, low)
     kept: list[tuple[int, int, str, float]] = []
     taken: list[tuple[int, int]] = []
     for score, a, b, kind in sorted((f for f in found if f[0] >= THRESHOLD), key=lambda f: (-min(f[0], 0.9), f[1] - f[2], f[1])):
