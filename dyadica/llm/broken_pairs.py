@@ -9,18 +9,19 @@ stack of open delimiters) marks what breaks off.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex as re
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import trimmed
 from .truncation import cut_values
 
-WORDS = re.compile(r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}]|[[\p{L}\p{M}\p{N}’']--[\p{Han}\p{Hiragana}\p{Katakana}]]+")
+WORDS = regex.compile(r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}]|[[\p{L}\p{M}\p{N}’']--[\p{Han}\p{Hiragana}\p{Katakana}]]+")
 PLAIN_WORDS = re.compile(r"[a-z0-9']+")
 #: Matches of fewer words say nothing about copying.
 LEAST_MATCH = 6
@@ -110,7 +111,7 @@ _VOTES: dict[str, list[str]] = {}
 for _lang, _words in STOPWORDS.items():
     for _w in set(_words.split()):
         _VOTES.setdefault(_w, []).append(_lang)
-KANA, HAN, CYRILLIC, HANGUL = (re.compile(rf"\p{{{s}}}") for s in ("Hiragana", "Han", "Cyrillic", "Hangul"))
+KANA, HAN, CYRILLIC, HANGUL = (regex.compile(rf"\p{{{s}}}") for s in ("Hiragana", "Han", "Cyrillic", "Hangul"))
 PREAMBLE = re.compile(r"(?i)^\s*(?:okay|ok|sure|of course|certainly)?[,.! ]*(?:here(?:'s| is) (?:my|the|your) (?:reply|answer|response)|you (?:wrote|said|asked)|response|reply|answer)\s*:\s*")
 
 
@@ -289,20 +290,33 @@ DENIES = frozenset(w for c in CLASSES if c in ("not", "rather", "decline", "outs
 WORD = re.compile(r"[\w\-]+")
 
 
-def is_refusal(text: str) -> bool:
+def is_refusal(text: str, tokens: list[str] | None = None) -> bool:
     """Whether a reply turns the request down: near the start of a clause of its first
     sentences, in its own words (quoted ones are another's), and without going on to help."""
     low = text.lower().replace("’", "'")
-    if UNSPACED.search(low):
+    if not low.isascii() and UNSPACED.search(low):
         return True
-    if DENIES.isdisjoint(re.findall(r"\w+", low)) and "n't" not in low:
+    if DENIES.isdisjoint(re.findall(r"\w+", low) if tokens is None else tokens) and "n't" not in low:
         return False
-    bare = QUOTED.sub(" ", low)
-    low = bare if WORD.search(bare) else low
-    for p, r in SHORT:
-        low = p.sub(r, low)
-    sentences = [x for x in SENTENCE.split(low) if WORD.search(x)][:FIRST_SENTENCES]
-    for sentence in sentences:
+    if "“" in low or '"' in low:
+        bare = QUOTED.sub(" ", low)
+        low = bare if WORD.search(bare) else low
+    first: list[str] = []
+    at = 0
+    for m in SENTENCE.finditer(low):
+        if WORD.search(low, at, m.start()):
+            first.append(low[at : m.start()])
+        at = m.end()
+        if len(first) == FIRST_SENTENCES:
+            break
+    else:
+        first.append(low[at:])
+    for sentence in first:
+        if DENIES.isdisjoint(WORD.findall(sentence)) and "n't" not in sentence:
+            continue
+        if "'" in sentence or "cannot" in sentence:
+            for p, r in SHORT:
+                sentence = p.sub(r, sentence)
         if HELPS_ON.search(sentence) or IDIOM.search(sentence):
             continue
         if any(REFUSAL.accepts(WORD.findall(c)) for c in CLAUSE.split(sentence)):
@@ -324,7 +338,7 @@ def defect(response: str | None, prompt: str | None, other: str | None, cut: boo
         return "empty"
     if prompt and is_copy(own, prompt):
         return "copied"
-    if is_refusal(bare):
+    if is_refusal(bare, own):
         return "refusal"
     spoken, asked = language(bare, own), _asked(prompt) or _asked(other)
     if spoken and asked and spoken != asked:

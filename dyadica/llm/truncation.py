@@ -24,10 +24,9 @@ from ..session import spread, trimmed, written
 # Words are runs of letters, digits, hyphens and apostrophes; ideographs and kana count singly.
 PLAIN_TOKEN = re.compile(r"[a-z0-9'\-]+")
 TOKEN = regex.compile(r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}]|[[\p{L}\p{M}\p{N}'’\-]--[\p{Han}\p{Hiragana}\p{Katakana}]]+")
-ENDED = re.compile(r"(?:[.!?…][\"”»’'*_)\]~]*|[。！？][」』”\"）]*)$")
-BREAK = re.compile(r"(?<=[.!?…])(?=[\"”»’'*_)\]]{0,3}\s)[\"”»’'*_)\]]{0,3}\s+|(?<=[。！？])|[\r\n]+")
-DAMAGED = re.compile("\ufffd+$")
-TRAIL = re.compile(r"[\s\u200b\ufeff]+$")
+# A sentence ends after its mark; marks that close come with it. Lines end one too.
+BREAK = re.compile(r"[.!?…][\"”»’'*_)\]]{0,3}\s+|[。！？]|[\r\n]+")
+MARKS, CLOSING, WIDE_MARKS, WIDE_CLOSING = ".!?…", "\"”»’'*_)]~", "。！？", "」』”\"）"
 #: How model limits count: words and single marks.
 UNITS = re.compile(r"\w+|[^\w\s]")
 # Delimiters that close what they open; a face is none.
@@ -68,43 +67,71 @@ def open_delimiters(sentence: str) -> list[str]:
     return stack
 
 
+def has_ended(text: str) -> bool:
+    """Whether a text's last character, but for closing marks, is a mark that ends a sentence."""
+    plain, wide = text.rstrip(CLOSING), text.rstrip(WIDE_CLOSING)
+    return plain != "" and plain[-1] in MARKS or wide != "" and wide[-1] in WIDE_MARKS
+
+
+def sentences_of(text: str) -> list[str]:
+    """The sentences of a text, each with its mark, without the white space around."""
+    out, at = [], 0
+    for m in BREAK.finditer(text):
+        end = m.start() + (text[m.start()] not in "\r\n")
+        if part := text[at:end].strip():
+            out.append(part)
+        at = m.end()
+    if part := text[at:].strip():
+        out.append(part)
+    return out
+
+
 def read_text(text: str) -> tuple[list[tuple[list[str], bool]], bool, bool]:
     """(sentences as words and whether each ends with its mark, damaged, ended) of a text."""
-    damaged = DAMAGED.search(text) is not None
+    damaged = text.endswith("\ufffd")
     find = PLAIN_TOKEN.findall if text.isascii() else TOKEN.findall
-    parts = [p for p in (x.strip() for x in BREAK.split(DAMAGED.sub("", text))) if p]
-    sentences = [(find(p.lower()), ENDED.search(p) is not None) for p in parts]
-    ended = not damaged and ENDED.search(text) is not None and not (parts and open_delimiters(parts[-1]))
+    parts = sentences_of(text.rstrip("\ufffd"))
+    sentences = [(find(p.lower()), has_ended(p)) for p in parts]
+    ended = not damaged and has_ended(text) and not (parts and open_delimiters(parts[-1]))
     return sentences, damaged, ended
 
 
-OPENING = pa.struct([("key", pa.string()), ("whole", pa.bool_()), ("done", pa.bool_()), ("last", pa.bool_()), ("size", pa.int32())])
-
-
-def _openings(sentences: list[tuple[list[str], bool]], ended: bool) -> list[tuple]:
-    """(first words, whether they are all, done, last, size), of one to three words, of each sentence."""
-    out = []
-    for i, (words, mark) in enumerate(sentences):
-        last = i == len(sentences) - 1
-        for k in range(1, min(len(words), KEY_WORDS) + 1):
-            out.append((" ".join(words[:k]), k == len(words), ended if last else mark, last, len(words)))
-    return out
+def _lists(ends: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, source, raw_source, text) rows to what is known of each text, in one pass."""
-    fields = [("n", pa.int32()), ("units", pa.int32()), ("damaged", pa.bool_()), ("ended", pa.bool_()), ("words", pa.list_(pa.string())), ("openings", pa.list_(OPENING)), ("vocab", pa.list_(pa.string()))]
+    """(key, source, raw_source, text) rows to what is known of each text, in one pass: its
+    lengths, end and last words, its sentences' first words (one to three, with whether they
+    are all, done, last, and the sentence's size), and its distinct words."""
     for batch in batches:
-        rows = []
-        for raw in batch.column(3).to_pylist():
-            text = TRAIL.sub("", raw)
+        texts = batch.column(3).to_pylist()
+        n, units, damage, ends = [], [], [], []
+        last_at, last, open_at, opening, vocab_at, vocab = [0], [], [0], [[], [], [], [], []], [0], []
+        for raw in texts:
+            text = raw.rstrip()
+            while text[-1:] in ("\u200b", "\ufeff") and text:
+                text = text[:-1].rstrip()
             sentences, damaged, ended = read_text(text)
-            units = 0 if ended else len(UNITS.findall(text))
-            openings = [dict(zip(("key", "whole", "done", "last", "size"), o)) for o in _openings(sentences, ended)]
-            vocab = [w for words, _ in sentences for w in set(words)]
-            rows.append((len(raw), units, damaged, ended, sentences[-1][0] if sentences else [], openings, vocab))
-        columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *columns], names=["key", "source", "raw_source", *(n for n, _ in fields)])
+            n.append(len(raw))
+            units.append(0 if ended else len(UNITS.findall(text)))
+            damage.append(damaged)
+            ends.append(ended)
+            for i, (words, mark) in enumerate(sentences):
+                final = i == len(sentences) - 1
+                for k in range(1, min(len(words), KEY_WORDS) + 1):
+                    for column, value in zip(opening, (" ".join(words[:k]), k == len(words), ended if final else mark, final, len(words))):
+                        column.append(value)
+                vocab.extend(set(words))
+            last.extend(sentences[-1][0] if sentences else ())
+            last_at.append(len(last))
+            open_at.append(len(opening[0]))
+            vocab_at.append(len(vocab))
+        kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32())
+        struct = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(opening, kinds)], ["key", "whole", "done", "last", "size"])
+        columns = [pa.array(n, pa.int32()), pa.array(units, pa.int32()), pa.array(damage, pa.bool_()), pa.array(ends, pa.bool_())]
+        columns += [_lists(last_at, pa.array(last, pa.string())), _lists(open_at, struct), _lists(vocab_at, pa.array(vocab, pa.string()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *columns], names=["key", "source", "raw_source", "n", "units", "damaged", "ended", "words", "openings", "vocab"])
 
 
 def _features(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
