@@ -261,8 +261,8 @@ def _sliced(rows: DataFrame, vectors: DataFrame, alike: float, total: int) -> Da
     return out.withColumn("x", F.explode(where)).select("bucket", "x.slice", "x.side", "id", "comp", "s0", "s1")
 
 
-def _nearest_pivots(active: DataFrame, n: int, alike: float, first: int) -> DataFrame:
-    """(a, b, place) of each active vector and its two closest pivots by sketch, of one round's tables.
+def _nearest_pivots(active: DataFrame, n: int, alike: float, first: int, choices: int) -> DataFrame:
+    """(a, b) of each active vector and its closest pivots by sketch, of one round's tables.
 
     A bucket's pivot is its least vector by a hash order.
     """
@@ -271,14 +271,16 @@ def _nearest_pivots(active: DataFrame, n: int, alike: float, first: int) -> Data
     least = rows.groupBy("bucket").agg(F.min(F.struct("prio", "id", "s0", "s1")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("bucket", "p")
     far = F.bit_count(F.col("s0").bitwiseXOR(F.col("p.s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("p.s1")))
     met = rows.join(least.hint("merge"), "bucket").filter("p.id <> id").select("id", F.struct(far.alias("far"), F.col("p.id").alias("b")).alias("c"))
-    best = met.groupBy("id").agg(F.min("c").alias("c1"), F.array_sort(F.collect_set("c")).alias("all"))
-    return best.select(F.col("id").alias("a"), F.posexplode(F.slice("all", 1, 2)).alias("place", "c")).select("a", F.col("c.b").alias("b"), "place")
+    if choices == 1:
+        return met.groupBy("id").agg(F.min("c").alias("c")).select(F.col("id").alias("a"), F.col("c.b").alias("b"))
+    best = met.groupBy("id").agg(F.array_sort(F.collect_set("c")).alias("all"))
+    return best.select(F.col("id").alias("a"), F.explode(F.slice("all", 1, choices)).alias("c")).select("a", F.col("c.b").alias("b"))
 
 
-def similar_groups(df: DataFrame, key: str, vector: str, alike: float = ALIKE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar_groups(df: DataFrame, key: str, vector: str, alike: float = ALIKE, choices: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vectors, clusters, pivots): the usable vectors (id, v, norm); (id, cluster) of every
     member of a cluster of two or more, ``cluster`` being its least id; and (a, b), the pivots b
-    that vectors a were held against and found alike.
+    that vectors a were held against, ``choices`` a round, and found alike.
 
     Vectors that are null, empty, all zero or hold null, NaN or infinite numbers, and rows with a null key,
     belong to no cluster. Vectors of different lengths are never alike. A row repeated under
@@ -293,8 +295,8 @@ def similar_groups(df: DataFrame, key: str, vector: str, alike: float = ALIKE) -
 
     active, absorbed = vectors.select("id", "v"), None
     for r in range(ROUNDS):
-        met = _nearest_pivots(active, total, alike, r * ROUND_TABLES)
-        found = cut_lineage(_measured(met.select("a", "b"), vectors, alike).select("a", "b").distinct())
+        met = _nearest_pivots(active, total, alike, r * ROUND_TABLES, choices)
+        found = cut_lineage(_measured(met, vectors, alike).select("a", "b").distinct())
         absorbed = found if absorbed is None else absorbed.union(found)
         if r + 1 < ROUNDS:
             active = active.join(found.select(F.col("a").alias("id")).distinct().hint("merge"), "id", "left_anti")
@@ -345,7 +347,7 @@ def cluster_profiles(df: DataFrame, key: str, vector: str, alike: float = ALIKE,
     medoids are computed again; those of the largest groups are given as ``medoids``. ``spread``
     is 1 less the mean similarity of two members.
     """
-    vectors, clusters, met = similar_groups(df, key, vector, alike)
+    vectors, clusters, met = similar_groups(df, key, vector, alike, 2)
     clusters = cut_lineage(clusters)
     own = clusters.join(vectors.hint("merge"), "id").withColumn("u", F.transform("v", lambda x: x / F.col("norm"))).select("id", "cluster", "u")
     own = cut_lineage(own)
