@@ -106,6 +106,17 @@ def clean_topic_label(text: Column) -> Column:
     return F.substring(bare, 1, 60)
 
 
+def short_label(text: Column, most: int = 28) -> Column:
+    """A label cut to a length, at a word's end where there is one, with an ellipsis."""
+    cut = F.regexp_replace(F.substring(text, 1, most - 1), r"\s+\S*$", "")
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when(cut != "", cut).otherwise(F.substring(text, 1, most - 1)), F.lit("…")))
+
+
+def plain_name(text: Column) -> Column:
+    """A name reduced to lower-case letters and digits, as it is compared."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
+
+
 def judge_score(text: Column) -> Column:
     """The first lone digit 1 to 5 of a judge's answer, else null."""
     return F.regexp_extract(text, r"\b([1-5])\b", 1).try_cast("int")

@@ -85,6 +85,19 @@ def structured_flip(df: DataFrame, unit: list[str]) -> DataFrame:
     )
 
 
+def response_table(df: DataFrame, cell: str, rank: str, label: str, weight: str, text: str) -> DataFrame:
+    """One row per answer: size, top mass, first label, labels in rank order and as a sorted set, all texts.
+
+    Rows without a rank are left out; ties in rank go by label.
+    """
+    rows = df.filter(F.col(rank).isNotNull()).select(F.col(cell).alias("c"), F.col(rank).alias("r"), F.col(label).alias("l"), F.col(weight).alias("w"), F.coalesce(text, F.lit("")).alias("t")).distinct()
+    per = rows.groupBy("c").agg(F.count("*").alias("n"), F.max("w").alias("top_mass"), F.array_sort(F.collect_list(F.struct("r", "l", "t"))).alias("x"))
+    ordered = F.transform("x", lambda e: e["l"])
+    kept = F.filter(ordered, lambda v: v != "")
+    texts = F.array_join(F.filter(F.transform("x", lambda e: e["t"]), lambda v: v != ""), " ")
+    return per.select(F.col("c").alias(cell), "n", "top_mass", F.element_at(ordered, 1).alias("first_label"), ordered.alias("labels"), F.array_sort(F.array_distinct(kept)).alias("label_set"), texts.alias("text"))
+
+
 def parse_report(df: DataFrame, cell: str = "cell_key") -> DataFrame:
     """Cells, failures and calibration (mean and spread of the raw probability sum) per facet and status."""
     per = df.groupBy("persona_type", cell, "parse_status").agg(F.sum("probability").alias("total"), F.count("probability").alias("k"))

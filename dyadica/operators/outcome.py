@@ -59,6 +59,12 @@ def coverage(scores: DataFrame, group: list[str] | None = None) -> DataFrame:
     )
 
 
+def stratum_coverage(scores: DataFrame, group: list[str], stratum: str, value: Column) -> DataFrame:
+    """Per group: rows with an outcome, strata, strata of two rows or more, and the mean of their standard deviations."""
+    per = scores.groupBy(*group, stratum).agg(F.count(value).alias("_n"), F.stddev_samp(value).alias("_sd")).filter("_n > 0")
+    return per.groupBy(*group).agg(F.sum("_n").alias("scored"), F.count("*").alias("strata"), F.count("_sd").alias("repeated"), F.avg("_sd").alias("within_sd"))
+
+
 def summarize(scores: DataFrame, by: list[str], outcome: Column, control: Column) -> DataFrame:
     """Mean outcome by factors with the lift over the control's mean (one broadcast row)."""
     base = scores.filter(control).agg(F.avg(outcome).alias("control_mean"))

@@ -94,6 +94,33 @@ def marked_words(rows: DataFrame, texts: DataFrame, keys: list[str], label: str,
     return j.filter(F.col("n") >= least).withColumn("z", z).filter(F.col("z") > threshold).select(label, "term", "n", "prior", "z")
 
 
+def words_by_topic(units: DataFrame, texts: DataFrame, unit: list[str], topic: str, rate: str, text: str, least: int, threshold: float = 1.96) -> DataFrame:
+    """(topic, term, n, prior, z) of words that set texts of units with a high rate of a topic
+    apart from those with a low one.
+
+    ``units`` holds (unit, topic, rate), 0 where a unit lacks a topic. Each topic's units are
+    split at the thirds of its rates; both sides need ``least`` units. Words are counted once
+    per unit and joined to the sides, so texts are not repeated per topic.
+    """
+    from .ranges import quantiles
+
+    cuts = quantiles(units, [topic], rate, [1 / 3, 2 / 3], "_c")
+    side = F.when(F.col(rate) <= F.col("_c")[0], "low").when(F.col(rate) > F.col("_c")[1], "high")
+    sided = units.join(cuts, topic).withColumn("side", side).filter("side is not null").select(*unit, topic, "side")
+    sizes = sided.groupBy(topic).agg(F.count_if(F.col("side") == "high").alias("_h"), F.count_if(F.col("side") == "low").alias("_l"))
+    sided = sided.join(sizes.filter((F.col("_h") >= least) & (F.col("_l") >= least)).select(topic), topic, "left_semi")
+    words = texts.select(*unit, F.explode(bare_words(F.col(text))).alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("n"))
+    prior = words.groupBy("term").agg(F.sum("n").alias("prior"))
+    whole = prior.agg(F.sum(F.greatest("prior", F.lit(1))).alias("mass"))
+    here = lambda s: F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0))
+    counts = sided.join(words, unit).groupBy(topic, "term").agg(here("high").alias("h"), here("low").alias("l"))
+    sums = counts.groupBy(topic).agg(F.sum("h").alias("hs"), F.sum("l").alias("ls"))
+    j = counts.join(prior, "term").join(sums, topic).crossJoin(F.broadcast(whole))
+    d = lambda c: F.col(c).cast("double")
+    z = word_z(d("h"), d("hs") + d("mass"), d("l"), d("ls") + d("mass"), d("prior"))
+    return j.withColumn("z", z).filter(F.abs("z") >= threshold).select(topic, "term", (F.col("h") + F.col("l")).alias("n"), "prior", "z")
+
+
 def tercile_words(rows: DataFrame, value: str, text: str, least: int) -> DataFrame:
     """Words of the texts above the upper third of a value against those up to the lower third."""
     cuts = quantiles(rows, [], value, [1 / 3, 2 / 3], "c")

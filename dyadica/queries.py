@@ -11,10 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import cues, parsing, stats, text
-from .operators import attempts, describe, inference, outcome, permutation, probes, terms, topics, vectors
-from .plans import design, prompts
-from .schema import CONTROL, FRAMINGS, clean_keys, no_nan, normalize_label
-from .session import table, trimmed
+from .operators import attempts, describe, inference, judging, outcome, permutation, probes, terms, topics, training, vectors
+from .plans import design, prompts, waves
+from .schema import CONTROL, FRAMINGS, clean_keys, flag, level_codes, no_nan, normalize_label
+from .session import cut_lineage, table, trimmed
 from .sources.readers import persona_texts
 
 QUERIES: dict = {}
@@ -1175,3 +1175,241 @@ def long_to_wide(spark, d):
 )
 def judge_fan_out(spark, d):
     return prompts.fan_out(table(spark, d, "part").select("p_partkey", "p_brand", "p_type"), ["p_partkey"], ["p_brand", "p_type"], ["clarity", "warmth"])
+
+
+# ---- waves, status, frozen rows -----------------------------------------------------------
+@query(
+    f"""WITH {LOG}, t AS (SELECT run_id, count(*) AS attempts FROM l GROUP BY 1), c AS (SELECT run_id, ok FROM (SELECT *, row_number() OVER (PARTITION BY cell_key ORDER BY ok DESC, seq DESC) AS r FROM k) WHERE r = 1)
+SELECT run_id, any_value(attempts) AS attempts, count(*) AS cells, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS errors, any_value(attempts) - count(*) AS superseded, count(*) FILTER (NOT ok) = 0 AS settled FROM c JOIN t USING (run_id) GROUP BY run_id"""
+)
+def run_status(spark, d):
+    """Attempts, cells, successes and errors per run, and whether it is settled."""
+    return waves.run_status(_log(spark, d).select("run_id", "cell_key", "seq", "error", "raw"))
+
+
+CELLS = f"cc AS (SELECT DISTINCT run_id, {p_('persona_type')} AS persona_type, {p_('persona_id')} AS persona_id, prompt_type, {c_('prompt_id')} AS prompt_id, rep FROM attempt_log)"
+
+
+@query(
+    f"""WITH {CELLS}, g AS (SELECT run_id, count(*) AS observed, count(DISTINCT CASE WHEN persona_id <> 'none' THEN persona_id END) AS p, count(DISTINCT CASE WHEN persona_id <> 'none' THEN persona_type END) AS t,
+ count(DISTINCT prompt_id) AS q, count(DISTINCT prompt_type) AS f, count(DISTINCT rep) AS r, max(CASE WHEN persona_id = 'none' THEN 1 ELSE 0 END) AS c FROM cc GROUP BY 1)
+SELECT run_id, observed, q * f * r * (p * t + c) AS expected, q * f * r * (p * t + c) - observed AS missing FROM g"""
+)
+def self_consistency(spark, d):
+    """How far each run's cells are from the grid of their own factors."""
+    return waves.self_consistency(clean_keys(table(spark, d, "attempt_log")), ["run_id"])
+
+
+@query(
+    f"""WITH {PP}, ce AS (SELECT DISTINCT {p_('persona_type')} AS persona_type, {p_('persona_id')} AS persona_id, prompt_type, {c_('prompt_id')} AS prompt_id, rep FROM attempt_log),
+a AS ({part_('persona_id', "(SELECT persona_id FROM ce WHERE persona_id <> 'none')", 'person')}), b AS ({part_('prompt_id', 'ce', 'prompt')}),
+x AS (SELECT ce.*, CASE WHEN ce.persona_id = 'none' THEN b.part WHEN a.part = b.part THEN a.part ELSE 'cross' END AS split FROM ce LEFT JOIN a ON a.persona_id = ce.persona_id LEFT JOIN b ON b.prompt_id = ce.prompt_id)
+SELECT persona_type, persona_id, prompt_type, prompt_id, rep, split, row_number() OVER (ORDER BY prompt_id, prompt_type, persona_id, persona_type, rep) - 1 AS row_index FROM x WHERE split <> 'cross'"""
+)
+def frozen_rows(spark, d):
+    """Cells of the leakage-safe splits, numbered in a total order."""
+    cells = clean_keys(table(spark, d, "attempt_log")).select("persona_type", "persona_id", "prompt_type", "prompt_id", "rep").distinct()
+    a = design.hash_partitions(cells.filter(F.col("persona_id") != CONTROL), "persona_id", 7, "person", PARTS, "person_part")
+    b = design.hash_partitions(cells, "prompt_id", 7, "prompt", PARTS, "prompt_part")
+    rows = design.two_axis_splits(cells, a, b).filter(F.col("split").isin(*PARTS))
+    out = waves.row_index(rows, ["prompt_id", "prompt_type", "persona_id", "persona_type", "rep"])
+    return out.select("persona_type", "persona_id", "prompt_type", "prompt_id", "rep", "split", "row_index")
+
+
+@query(f"WITH {PP} SELECT DISTINCT persona_id FROM pe ORDER BY sha256('7|person|' || persona_id), persona_id LIMIT 50")
+def hash_sample(spark, d):
+    """Fifty persons by hash (a sampling operator: the limit is its feature)."""
+    return design.hash_sample(clean_keys(table(spark, d, "personas")), "persona_id", 50, 7, "person")
+
+
+@query(
+    f"""WITH {CELLS}, lv AS (SELECT persona_type, row_number() OVER (ORDER BY persona_type) - 1 AS code FROM (SELECT DISTINCT persona_type FROM cc)) SELECT persona_type, code, count(*) AS cells FROM cc JOIN lv USING (persona_type) GROUP BY ALL"""
+)
+def facet_codes(spark, d):
+    """Facets numbered in their order, with their cells."""
+    cells = clean_keys(table(spark, d, "attempt_log")).select("run_id", "persona_type", "persona_id", "prompt_type", "prompt_id", "rep").distinct()
+    return level_codes(cells, "persona_type").groupBy("persona_type", "code").agg(F.count("*").alias("cells"))
+
+
+@query("SELECT response_id, coalesce(lower(trim(CAST(has_response AS VARCHAR))) IN ('true', '1', 'yes', 't'), false) AS has_response FROM parsed_probes")
+def response_flags(spark, d):
+    """Flags as files write them, as booleans."""
+    r = table(spark, d, "parsed_probes")
+    return r.select("response_id", flag(F.col("has_response").cast("string")).alias("has_response"))
+
+
+# ---- judging, strata, topics by unit ------------------------------------------------------
+@query(
+    f"""WITH {T} SELECT teacher, dimension, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, count(*) AS n FROM t WHERE score IS NOT NULL GROUP BY ALL"""
+)
+def judge_summary(spark, d):
+    """Mean, deviation and count of the scores per teacher and dimension."""
+    return rounded(judging.judge_summary(_labels(spark, d), "teacher", "dimension", F.col("score")))
+
+
+@query(
+    """WITH w AS (SELECT p_partkey AS k, p_name AS user_1, p_type AS user_2, p_brand AS response FROM part), t AS (SELECT k, 'user_1' AS turn, user_1 AS txt, response FROM w UNION ALL SELECT k, 'user_2', user_2, response FROM w),
+x AS (SELECT k, turn, unnest(['clarity', 'warmth']) AS dimension FROM t WHERE trim(coalesce(txt, '')) <> '' AND trim(coalesce(response, '')) <> ''), dn AS (SELECT DISTINCT l_partkey AS k, 'user_1' AS turn, 'clarity' AS dimension FROM lineitem WHERE l_quantity > 45)
+SELECT turn, dimension, count(*) AS tasks FROM x ANTI JOIN dn USING (k, turn, dimension) GROUP BY ALL"""
+)
+def judge_resume(spark, d):
+    """Judging tasks left of every turn, response column and dimension."""
+    wide = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("user_1"), F.col("p_type").alias("user_2"), F.col("p_brand").alias("response"))
+    done = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("k"), F.lit("user_1").alias("turn"), F.lit("response").alias("response_column"), F.lit("clarity").alias("dimension"))
+    tasks = judging.judge_tasks(wide, ["k"], ["user_1", "user_2"], ["response"], ["clarity", "warmth"], done)
+    return tasks.groupBy("turn", "dimension").agg(F.count("*").alias("tasks"))
+
+
+@query(
+    """WITH s AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS y, l_quantity * 1500.0 AS f FROM lineitem), u AS (SELECT 'l_returnflag' AS stratum, l_returnflag AS value, y, f FROM s UNION ALL SELECT 'l_linestatus', l_linestatus, y, f FROM s)
+SELECT stratum, value, count(*) AS n, round(1 - sum((y - f) * (y - f)) / (var_pop(y) * count(y)), 6) AS r2, round(sqrt(avg((y - f) * (y - f))), 3) AS rmse, round(avg(abs(y - f)), 3) AS mae FROM u GROUP BY ALL"""
+)
+def stratum_metrics(spark, d):
+    """Regression metrics for every value of several columns."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500.0).alias("f"))
+    m = training.stratum_metrics(rows, ["l_returnflag", "l_linestatus"], "y", "f")
+    return m.select("stratum", "value", "n", F.round("r2", 6).alias("r2"), F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"))
+
+
+@query(
+    f"""WITH {A}, s AS (SELECT run_id, prompt_type, prompt_id, count(probability_norm) AS n, stddev_samp(probability_norm) AS sd FROM a GROUP BY ALL HAVING count(probability_norm) > 0)
+SELECT run_id, prompt_type, CAST(sum(n) AS BIGINT) AS scored, count(*) AS strata, count(sd) AS repeated, round(avg(sd), 6) AS within_sd FROM s GROUP BY ALL"""
+)
+def stratum_coverage(spark, d):
+    """Scored rows and strata per model and framing, with the mean deviation within strata."""
+    return rounded(outcome.stratum_coverage(_assumptions(spark, d), ["run_id", "prompt_type"], "prompt_id", F.col("probability_norm")))
+
+
+@query(
+    f"""WITH {TOP}, c AS (SELECT topic, label, count(*) AS c FROM tk GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY c DESC, label) AS r FROM c),
+s AS (SELECT topic, CAST(sum(c) AS BIGINT) AS n FROM c GROUP BY ALL), e AS (SELECT topic, string_agg(label, ' | ' ORDER BY r) AS examples FROM r WHERE r <= 3 GROUP BY ALL),
+pc AS (SELECT topic, prompt_id, CAST(count(*) AS DOUBLE) AS c FROM tk GROUP BY ALL), sp AS (SELECT topic, CASE WHEN count(*) > 1 THEN (ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(count(*)) ELSE 0 END AS spread, count(*) AS items FROM pc GROUP BY ALL)
+SELECT topic, n, round(n / sum(n) OVER (), 6) AS share, examples, round(spread, 6) AS spread, items FROM s LEFT JOIN e USING (topic) LEFT JOIN sp USING (topic)"""
+)
+def topic_table(spark, d):
+    """Topics with size, share, examples and their spread over dilemmas."""
+    return rounded(topics.topic_table(_topics(spark, d), "topic", "label", "prompt_id"))
+
+
+@query(
+    f"""WITH {TOP}, n AS (SELECT run_id, topic, count(*) AS n FROM tk WHERE topic <> 'the' GROUP BY ALL), s AS (SELECT count(DISTINCT topic) AS k, coalesce((SELECT max(t) / sum(t) FROM (SELECT topic, sum(n) AS t FROM n GROUP BY topic)), 0) AS top FROM n), o AS (SELECT coalesce(avg(CAST(topic = 'the' AS INT)), 0) AS out FROM tk)
+SELECT warning, value FROM (SELECT 'few topics' AS warning, CAST(k AS DOUBLE) AS value FROM s WHERE k < 2 UNION ALL SELECT 'one topic', top FROM s WHERE k >= 2 AND top > 0.02 UNION ALL SELECT 'outliers', out FROM o WHERE out > 0.5)""".replace("SELECT warning, value", "SELECT warning, round(value, 6) AS value")
+)
+def topic_warnings(spark, d):
+    """Ways in which the topics say little."""
+    return rounded(topics.topic_warnings(_topics(spark, d), "topic", "the", 0.02))
+
+
+@query(
+    f"""WITH {TOP}, un AS (SELECT persona_type, persona_id, count(*) AS total FROM tk WHERE persona_type <> 'none' GROUP BY ALL), t5 AS (SELECT topic FROM tk GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 5), k AS (SELECT persona_type, persona_id, topic, count(*) AS k FROM tk SEMI JOIN t5 USING (topic) GROUP BY ALL),
+pt AS (SELECT {p_('persona_type')} AS persona_type, {p_('persona_id')} AS persona_id, max(array_to_string(list_transform(list_filter(messages, lambda z: z.role = 'user' AND z.content IS NOT NULL), lambda z: z.content), chr(10))) AS txt FROM personas GROUP BY ALL),
+u0 AS (SELECT un.persona_type, un.persona_id, total FROM un JOIN pt USING (persona_type, persona_id)), r AS (SELECT u0.persona_type, u0.persona_id, t5.topic, coalesce(k, 0) / total AS rate FROM u0 CROSS JOIN t5 LEFT JOIN k ON k.persona_type = u0.persona_type AND k.persona_id = u0.persona_id AND k.topic = t5.topic),
+q AS (SELECT topic, quantile_cont(rate, 1 / 3.0) AS lo, quantile_cont(rate, 2 / 3.0) AS hi FROM r GROUP BY ALL), sd AS (SELECT persona_type, persona_id, topic, CASE WHEN rate <= lo THEN 'low' WHEN rate > hi THEN 'high' END AS side FROM r JOIN q USING (topic)),
+ok AS (SELECT topic FROM sd WHERE side IS NOT NULL GROUP BY topic HAVING count(*) FILTER (side = 'high') >= 2 AND count(*) FILTER (side = 'low') >= 2),
+w AS (SELECT persona_type, persona_id, unnest(regexp_extract_all(lower(txt), '[a-z]+')) AS term FROM pt SEMI JOIN u0 USING (persona_type, persona_id)), wc AS (SELECT persona_type, persona_id, term, count(*) AS n FROM w GROUP BY ALL),
+pr AS (SELECT term, CAST(sum(n) AS DOUBLE) AS prior FROM wc GROUP BY ALL), al AS (SELECT sum(greatest(prior, 1)) AS mass FROM pr),
+ct AS (SELECT topic, term, CAST(sum(CASE WHEN side = 'high' THEN n ELSE 0 END) AS DOUBLE) AS h, CAST(sum(CASE WHEN side = 'low' THEN n ELSE 0 END) AS DOUBLE) AS l FROM sd SEMI JOIN ok USING (topic) JOIN wc USING (persona_type, persona_id) WHERE side IS NOT NULL GROUP BY ALL),
+sm AS (SELECT topic, sum(h) AS hs, sum(l) AS ls FROM ct GROUP BY ALL), z AS (SELECT topic, term, h + l AS n, prior, {word_z_('h', '(hs + mass)', 'l', '(ls + mass)', 'prior')} AS z FROM ct JOIN pr USING (term) JOIN sm USING (topic), al)
+SELECT topic, term, CAST(n AS BIGINT) AS n, CAST(prior AS BIGINT) AS prior, round(z, 6) AS z FROM z WHERE abs(z) >= 0.5"""
+)
+def words_by_topic(spark, d):
+    """Words of the persons whose answers give a topic often, against those who rarely do."""
+    t = _topics(spark, d)
+    unit = ["persona_type", "persona_id"]
+    said = persona_texts(clean_keys(table(spark, d, "personas")), "user").groupBy(*unit).agg(F.max("text").alias("text"))
+    units = t.filter(F.col("persona_type") != CONTROL).groupBy(*unit).agg(F.count("*").alias("total")).join(said.select(*unit), unit, "left_semi")
+    top = t.groupBy("topic").count().orderBy(F.desc("count"), "topic").limit(5).select("topic")
+    k = t.join(F.broadcast(top), "topic", "left_semi").groupBy(*unit, "topic").agg(F.count("*").alias("k"))
+    rates = units.crossJoin(F.broadcast(top)).join(k, [*unit, "topic"], "left").withColumn("rate", F.coalesce("k", F.lit(0)) / F.col("total"))
+    return rounded(terms.words_by_topic(rates, said.join(units.select(*unit), unit, "left_semi"), unit, "topic", "rate", "text", 2, 0.5))
+
+
+@query(
+    f"""WITH {A}, r AS (SELECT DISTINCT run_id, prompt_id, prompt_type, run_id || '|' || {label_('assumption')} AS label FROM a WHERE rank = 1 AND {label_('assumption')} <> ''),
+pt AS (SELECT {c_('prompt_id')} AS prompt_id, prompt_type, max(text) AS txt FROM prompts WHERE text IS NOT NULL GROUP BY ALL), rl AS (SELECT DISTINCT prompt_id, prompt_type, label FROM r),
+w AS (SELECT prompt_id, prompt_type, unnest(regexp_extract_all(lower(txt), '[a-z]+')) AS term FROM pt), wc AS (SELECT prompt_id, prompt_type, term, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY ALL),
+tg AS (SELECT label, term, sum(n) AS n FROM rl JOIN wc USING (prompt_id, prompt_type) GROUP BY ALL), pr AS (SELECT term, sum(n) AS prior FROM wc GROUP BY ALL), ow AS (SELECT label, sum(n) AS own FROM tg GROUP BY ALL),
+al AS (SELECT sum(prior) AS tokens, sum(greatest(prior, 1)) AS mass FROM pr), z AS (SELECT label, term, n, prior, {word_z_('n', '(own + mass)', '(prior - n)', '(tokens - own + mass)', 'prior')} AS z FROM tg JOIN pr USING (term) JOIN ow USING (label), al WHERE n >= 3)
+SELECT label, term, CAST(n AS BIGINT) AS n, CAST(prior AS BIGINT) AS prior, round(z, 6) AS z FROM z WHERE z > 1.96"""
+)
+def marked_words_by_model(spark, d):
+    """Words of the dilemmas under each model's first labels."""
+    a = _assumptions(spark, d).filter("rank = 1").withColumn("l", normalize_label(F.col("assumption"))).filter("l <> ''").withColumn("label", F.concat_ws("|", "run_id", "l"))
+    t = clean_keys(table(spark, d, "prompts")).filter("text is not null").groupBy("prompt_id", "prompt_type").agg(F.max("text").alias("text"))
+    return rounded(terms.marked_words(a, t, ["prompt_id", "prompt_type"], "label", "text", 3))
+
+
+@query(
+    f"""WITH {A}, x AS (SELECT DISTINCT cell_key, rank, {label_('assumption')} AS label, probability_norm AS w, coalesce(description, '') AS t FROM a WHERE rank IS NOT NULL), y AS (SELECT DISTINCT cell_key, rank, label, t FROM x)
+SELECT cell_key, count(*) AS n, round(max(w), 6) AS top_mass, (SELECT list(label ORDER BY rank, label, t) FROM y WHERE y.cell_key = x.cell_key)[1] AS first_label, (SELECT list(label ORDER BY rank, label, t) FROM y WHERE y.cell_key = x.cell_key) AS labels,
+ list_sort(list_distinct(list(label) FILTER (label <> ''))) AS label_set, coalesce((SELECT string_agg(t, ' ' ORDER BY rank, label, t) FROM y WHERE y.cell_key = x.cell_key AND t <> ''), '') AS text FROM x GROUP BY cell_key"""
+)
+def response_table_full(spark, d):
+    """One row per answer with its labels in order, their set, and all its texts."""
+    a = _assumptions(spark, d).withColumn("label", normalize_label(F.col("assumption"))).select("cell_key", "rank", "label", "probability_norm", "description").distinct()
+    out = describe.response_table(a, "cell_key", "rank", "label", "probability_norm", "description")
+    return rounded(out.withColumn("label_set", F.when(F.size("label_set") > 0, F.col("label_set"))), "top_mass")
+
+
+@query(
+    f"""WITH {A}, w AS (SELECT persona_type, unnest(regexp_extract_all(lower(coalesce(description, '')), '[a-z]+')) AS term FROM a), c AS (SELECT persona_type, term, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY ALL),
+pr AS (SELECT term, sum(n) AS prior FROM c GROUP BY ALL), ow AS (SELECT persona_type, sum(n) AS own FROM c GROUP BY ALL), al AS (SELECT sum(prior) AS tokens, sum(greatest(prior, 1)) AS mass FROM pr),
+z AS (SELECT persona_type, term, n, prior, round({word_z_('n', '(own + mass)', '(prior - n)', '(tokens - own + mass)', 'prior')}, 6) AS z FROM c JOIN pr USING (term) JOIN ow USING (persona_type), al WHERE prior >= 10)
+SELECT persona_type, term, z FROM z WHERE z > 0 QUALIFY row_number() OVER (PARTITION BY persona_type ORDER BY z DESC, term) <= 3"""
+)
+def top_contrasts(spark, d):
+    """The three words that set each facet apart most (a top-k report)."""
+    z = rounded(terms.group_contrasts(_assumptions(spark, d), "persona_type", "description", 10)).filter("z > 0")
+    return terms.top_terms(z, ["persona_type"], "z", 3).select("persona_type", "term", "z")
+
+
+@query(f"WITH {A}, x AS (SELECT cell_key, rank, {label_('assumption')} AS label FROM a WHERE assumption IS NOT NULL) SELECT DISTINCT label, length(label) <= 28 AS whole, regexp_replace(lower(label), '[^a-z0-9]+', '', 'g') AS plain FROM x")
+def label_names(spark, d):
+    """Labels as axis names, and as they are compared."""
+    a = _assumptions(spark, d).filter("assumption is not null").select(normalize_label(F.col("assumption")).alias("label")).distinct()
+    return a.select("label", (text.short_label(F.col("label")) == F.col("label")).alias("whole"), text.plain_name(F.col("label")).alias("plain"))
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT persona_type, persona_id, messages FROM personas WHERE messages IS NOT NULL) SELECT persona_type, persona_id, CAST(len(messages) + CASE WHEN len(messages) > 0 AND messages[len(messages)].role = 'user' THEN 0 ELSE 1 END AS INT) AS turns,
+ length(CASE WHEN len(messages) > 0 AND messages[len(messages)].role = 'user' THEN rtrim(messages[len(messages)].content, ' ') || chr(10) || chr(10) || 'Q?' ELSE 'Q?' END) AS last_chars FROM p"""
+)
+def deployment_chats(spark, d):
+    """Each person's chat with a question as its last user turn."""
+    p = table(spark, d, "personas").select("persona_type", "persona_id", "messages").filter("messages is not null").distinct()
+    chat = p.withColumn("m", prompts.deployment_messages(F.col("messages"), F.lit(""), F.lit("Q?")))
+    return chat.select("persona_type", "persona_id", F.size("m").alias("turns"), (F.length(F.element_at("m", -1)["content"]) - 2).alias("last_chars"))
+
+
+@query(
+    r"""WITH l AS (SELECT DISTINCT * FROM attempt_log), k AS (SELECT *, coalesce(error, '') = '' AND trim(coalesce(raw, '')) <> '' AS ok FROM l), c AS (SELECT cell_key, raw, regexp_extract(raw, '(?s)\{"mental_models": \[.*?\}\]\}') AS b FROM (SELECT *, row_number() OVER (PARTITION BY cell_key ORDER BY ok DESC, seq DESC) AS r FROM k WHERE probe = 'openended-3') WHERE r = 1),
+v AS (SELECT cell_key, CAST(json_extract(b, '$.mental_models') AS JSON[]) AS m FROM c WHERE b <> '' AND json_valid(b)), e AS (SELECT cell_key, unnest(range(0, len(m))) AS i, m FROM v)
+SELECT cell_key, CAST(i AS INT) AS rank, trim(json_extract_string(m[i + 1], '$.model_name'), ' ') AS assumption, round(CAST(json_extract_string(m[i + 1], '$.probability') AS DOUBLE), 6) AS probability FROM e"""
+)
+def parse_open_valid(spark, d):
+    """The parsed assumptions of completions that hold a valid object, which any engine can read."""
+    block = F.regexp_extract("raw", r'(?s)\{"mental_models": \[.*?\}\]\}', 0)
+    log = attempts.latest_success(_log(spark, d).filter("probe = 'openended-3'").select("cell_key", "seq", "error", "raw", "n_assumptions_asked"), "cell_key", "seq", attempts.succeeded(F.col("error"), F.col("raw")))
+    valid = log.filter((block != "") & F.try_parse_json(block).isNotNull())
+    out = parsing.parsed_assumptions(valid, ["cell_key"]).filter("rank is not null")
+    return rounded(out.select("cell_key", "rank", "assumption", "probability"))
+
+
+@query()
+def probe_training(spark, d):
+    """Metrics of a probe over two layers (halves of the embeddings): selection, shuffled baseline, test."""
+    e = table(spark, d, "embeddings").withColumn("score", F.col("label") / 9.0)
+    h = F.pmod(F.xxhash64("vec_id"), F.lit(10))
+    split = F.when(h < 7, "train").when(h < 8, "validation").otherwise("test")
+    both = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.slice("embedding", 1 + 32 * b, 32).alias("vector")) for b in (0, 1)])).alias("x")
+    out = training.train_probe(e.select("vec_id", "score", split.alias("split"), both).select("vec_id", "score", "split", "x.*"), "vec_id", "block", "vector", "score", "split")
+    return spark.createDataFrame([(m["stage"], m["block"], m["n"], m["r2"], m["rmse"], m["auc"], out["passes_gate"]) for m in out["metrics"]], "stage string, block int, n long, r2 double, rmse double, auc double, passes_gate boolean")
+
+
+@query()
+def hashed_topics(spark, d):
+    """Sizes of cluster topics over hashed word vectors of the documents, outliers moved to the closest topic."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    v = cut_lineage(topics.hashed_vectors(docs, "doc_id", "text", 64))
+    placed = topics.fit_topics(v, "doc_id", "vector", 8, seed=3, far=0.3)
+    return topics.reassign_outliers(cut_lineage(placed.join(v, "doc_id")), "doc_id", "topic", "vector", -1, 0.1).groupBy("topic").agg(F.count("*").alias("n"))

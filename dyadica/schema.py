@@ -89,6 +89,46 @@ def normalize_label(col: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def flag(col: Column) -> Column:
+    """A boolean of how files write it: true, 1, yes and t in any case; null and all else are false."""
+    return F.coalesce(F.lower(F.trim(col.cast("string"))).isin("true", "1", "1.0", "yes", "t"), F.lit(False))
+
+
+def level_codes(df: DataFrame, column: str, levels: list[str] | None = None, name: str = "code") -> DataFrame:
+    """Add an integer code per level: its place in ``levels``, or in the order of all levels; unknown ones are null.
+
+    The distinct levels are numbered and joined back, so no row is ranked.
+    """
+    if levels is not None:
+        place = F.array_position(F.array(*map(F.lit, levels)), F.col(column)) - 1
+        return df.withColumn(name, F.when(place >= 0, place.cast("int")))
+    from pyspark.sql import Window as W
+
+    own = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    return df.join(own.withColumn(name, F.row_number().over(W.orderBy(column)) - 1), column, "left")
+
+
+def shared_keys(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = CELL_KEYS) -> list[str]:
+    """The keys that both tables have, as far as they follow each other from the first shared one."""
+    out: list[str] = []
+    for k in keys:
+        if k in left.columns and k in right.columns:
+            out.append(k)
+        elif out:
+            break
+    if not out:
+        raise ValueError("the tables share no key")
+    return out
+
+
+def text_column(df: DataFrame, wanted: str | None = None) -> str:
+    """The column that holds the texts: the one asked for, or the first usual name."""
+    for c in (wanted,) if wanted else ("text", "response", "description", "assumption", "content"):
+        if c in df.columns:
+            return c
+    raise ValueError(f"no text column in {df.columns}")
+
+
 def safe_ratio(n: Column, d: Column) -> Column:
     """n / d, null unless the denominator is positive."""
     return F.when(d > 0, n / d)

@@ -82,6 +82,20 @@ def load_prompts(spark: SparkSession, path: str, text: str = "text") -> DataFram
     return clean_keys(df.select(F.col("prompt_id").cast("string"), F.col("prompt_type").cast("string"), F.col(text).cast("string").alias("text")).dropna(subset=["text"]))
 
 
+def read_shards(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
+    """JSON-line shards by a glob, with the file each row came from in ``source_file``; no match is an error."""
+    return spark.read.schema(schema).json(pattern).withColumn("source_file", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
+
+
+def require_binary(df: DataFrame, column: str) -> DataFrame:
+    """The table with a numeric 0/1 column, rows without a number left out; any other number is an error."""
+    out = df.withColumn(column, F.col(column).cast("string").try_cast("double")).filter(F.col(column).isNotNull() & ~F.isnan(column))
+    bad = out.filter(~F.col(column).isin(0.0, 1.0)).limit(1).collect()
+    if bad:
+        raise ValueError(f"{column} holds {bad[0][column]}, not 0 or 1")
+    return out
+
+
 def load_answers(spark: SparkSession, path: str) -> DataFrame:
     """Earlier answers, with the control's sentinel in place of null personas."""
     return clean_keys(require(read_table(spark, path), ["persona_type", "persona_id", "prompt_id"]))

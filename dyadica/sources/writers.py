@@ -45,6 +45,50 @@ def write_sections(tables: dict[str, DataFrame], folder: str) -> None:
         df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
 
 
+def write_shared_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """The tables that reports share (topics, answers, assignments, profile), one Parquet folder each."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def markdown_table(df: DataFrame, rows: int, digits: int = 3) -> str:
+    """The first rows of an ordered result as a Markdown table; a report's top list, not a data path."""
+    show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [df.columns, ["---"] * len(df.columns), *[[show(v) for v in r] for r in df.limit(rows).collect()]]
+    return "\n".join("| " + " | ".join(line) + " |" for line in lines)
+
+
+def bundle(files: dict[str, str], path: str) -> dict[str, str]:
+    """Pack files into a .tar.gz under given names with a list of their checksums, which is returned."""
+    import io
+    import tarfile
+
+    from ..plans.lineage import canonical_json, file_digest
+
+    sums = {name: file_digest(where) for name, where in sorted(files.items())}
+    with tarfile.open(path, "w:gz") as tar:
+        for name, where in sorted(files.items()):
+            tar.add(where, name)
+        listed = canonical_json(sums).encode()
+        entry = tarfile.TarInfo("checksums.json")
+        entry.size = len(listed)
+        tar.addfile(entry, io.BytesIO(listed))
+    return sums
+
+
+def verify_bundle(path: str) -> list[str]:
+    """Names in a bundle that are missing, unlisted or differ from their checksums."""
+    import hashlib
+    import json
+    import tarfile
+
+    with tarfile.open(path, "r:gz") as tar:
+        own = {m.name: hashlib.sha256(tar.extractfile(m).read()).hexdigest() for m in tar.getmembers() if m.isfile()}
+        sums = json.loads(tar.extractfile("checksums.json").read()) if "checksums.json" in own else {}
+    own.pop("checksums.json", None)
+    return sorted(n for n in own.keys() | sums.keys() if own.get(n) != sums.get(n))
+
+
 def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> None:
     """Parquet by partition columns, clustered first so that each value fills few files."""
     df.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)
