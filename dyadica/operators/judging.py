@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,6 @@ def unprocessed(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def class_probabilities(df: DataFrame, text: str, labels: list[str], scorer) -> DataFrame:
     """Add a column per label from a ``texts -> list of {label: share}`` function, batch by batch;
     a label that the function leaves out is 0, and a blank or null text has no probabilities."""
-    import pandas as pd
-
     schema = ", ".join(f"`{name}` double" for name in labels)
 
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -51,7 +51,7 @@ def both_p(long: DataFrame, keys: list[str], least: float = 5.0) -> DataFrame:
 
     ``p_mc`` is the share of draws at least as far from the null's mean, plus one, and cannot
     fall below 1 / (draws + 1). ``p_normal`` has no such floor; it is given where the null
-    varies and its mean is at least ``least``.
+    varies and its mean is at least ``least``. A statistic that was not observed has neither.
     """
     null = F.when(F.col("draw") > 0, F.col("s"))
     seen = F.max(F.when(F.col("draw") == 0, F.col("s")))
@@ -60,7 +60,7 @@ def both_p(long: DataFrame, keys: list[str], least: float = 5.0) -> DataFrame:
     out = long.join(moments, keys).groupBy(*keys, "observed", "null_mean", "null_sd", "draws").agg(F.count_if(far).alias("hits"))
     usable = (F.col("null_sd") > 1e-12) & (F.col("null_mean") >= least)
     z = F.when(F.col("null_sd") > 1e-12, (F.col("observed") - F.col("null_mean")) / F.col("null_sd"))
-    out = out.withColumn("z", z).withColumn("p_mc", (F.col("hits") + 1) / (F.col("draws") + 1)).withColumn("p_normal", F.when(usable, normal_p(F.col("z"))))
+    out = out.withColumn("z", z).withColumn("p_mc", F.when(F.col("observed").isNotNull(), (F.col("hits") + 1) / (F.col("draws") + 1))).withColumn("p_normal", F.when(usable, normal_p(F.col("z"))))
     return out.withColumn("usable", F.coalesce(usable, F.lit(False))).drop("hits", "draws")
 
 
@@ -96,7 +96,7 @@ def share_interaction(long: DataFrame, first: str, second: str, least: float = 5
     p = both_p(wide, ["level", "feature"], least=float("-inf"))
     seen = wide.filter("draw = 0").select("level", "feature", F.col("a").alias("share_first"), F.col("b").alias("share_second"), F.least("sa", "sb").alias("support"))
     out = p.join(seen, ["level", "feature"])
-    return out.select("level", "feature", "share_first", "share_second", F.col("observed").alias("difference"), "z", "p_mc", "p_normal", (F.col("usable") & (F.col("support") >= least)).alias("testable"))
+    return out.select("level", "feature", "share_first", "share_second", F.col("observed").alias("difference"), "z", "p_mc", "p_normal", F.coalesce(F.col("usable") & (F.col("support") >= least), F.lit(False)).alias("testable"))
 
 
 def bootstrap_means(df: DataFrame, group: str, value: str, draws: int, confidence: float, seed: int) -> DataFrame:

@@ -837,7 +837,7 @@ mix AS (SELECT draw, b, v, row_number() OVER (PARTITION BY draw, b ORDER BY CASE
 lng AS (SELECT m.draw, x.g AS "group", x.l AS level, unnest(fs.fs) AS feature, CAST(unnest(m.v) AS DOUBLE) AS v FROM mix m JOIN idx x ON x.b = m.b AND x.i = m.place, fs)"""
 MOMENTS = """, mo AS (SELECT {k}, max(s) FILTER (draw = 0) AS observed, avg(s) FILTER (draw > 0) AS null_mean, stddev_samp(s) FILTER (draw > 0) AS null_sd FROM {src} GROUP BY {k}),
 hit AS (SELECT {k}, count(*) FILTER (draw > 0 AND abs(s - null_mean) >= abs(observed - null_mean) - 1e-9) AS hits, count(*) FILTER (draw > 0) AS draws FROM {src} JOIN mo USING ({k}) GROUP BY {k}),
-pp AS (SELECT *, (hits + 1) / (draws + 1) AS p_mc, CASE WHEN null_sd > 1e-12 THEN (observed - null_mean) / null_sd END AS z FROM mo JOIN hit USING ({k}))"""
+pp AS (SELECT *, CASE WHEN observed IS NOT NULL THEN (hits + 1) / (draws + 1) END AS p_mc, CASE WHEN null_sd > 1e-12 THEN (observed - null_mean) / null_sd END AS z FROM mo JOIN hit USING ({k}))"""
 
 
 def _draws(spark: SparkSession, d: str) -> DataFrame:
@@ -873,7 +873,7 @@ def perm_omnibus(spark, d):
 @query(
     f"""WITH {PERM}, ls AS (SELECT draw, "group", level, feature, sum(v) AS s FROM lng GROUP BY ALL), sh AS (SELECT *, CASE WHEN sum(s) OVER (PARTITION BY draw, "group", level) > 1e-12 THEN s / sum(s) OVER (PARTITION BY draw, "group", level) ELSE 0 END AS share FROM ls),
 wd AS (SELECT draw, level, feature, max(share) FILTER ("group" = 'original_post') AS a, max(share) FILTER ("group" = 'flipped_story') AS b, max(s) FILTER ("group" = 'original_post') AS sa, max(s) FILTER ("group" = 'flipped_story') AS sb, a - b AS s FROM sh GROUP BY ALL){MOMENTS.format(k='level, feature', src='wd')}
-SELECT level, feature, round(a, 6) AS share_first, round(b, 6) AS share_second, round(observed, 6) AS difference, round(z, 5) AS z, round(p_mc, 6) AS p_mc, coalesce(null_sd > 1e-12, false) AND least(sa, sb) >= 5 AS testable FROM pp JOIN (SELECT * EXCLUDE (draw, s) FROM wd WHERE draw = 0) USING (level, feature)"""
+SELECT level, feature, round(a, 6) AS share_first, round(b, 6) AS share_second, round(observed, 6) AS difference, round(z, 5) AS z, round(p_mc, 6) AS p_mc, coalesce(null_sd > 1e-12 AND least(sa, sb) >= 5, false) AS testable FROM pp LEFT JOIN (SELECT * EXCLUDE (draw, s) FROM wd WHERE draw = 0) USING (level, feature)"""
 )
 def perm_interaction(spark, d):
     out = permutation.share_interaction(_draws(spark, d), *FRAMINGS).drop("p_normal")
