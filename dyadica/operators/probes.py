@@ -22,18 +22,20 @@ def aggregate_votes(df: DataFrame, keys: list[str], teacher: str, score: str) ->
 def teacher_agreement(df: DataFrame, keys: list[str], teacher: str, score: str, far: float = 0.2) -> DataFrame:
     """Per pair of teachers: cells, mean and median absolute difference, share far apart, correlation.
 
-    Replicates are averaged first; a cell then holds at most one row per teacher, and pairs
+    Replicates are averaged first, to nine decimals, and differences are added up exactly, so
+    the order of rows plays no part. A cell then holds at most one row per teacher, and pairs
     are formed inside the cell's array, whose length is the number of teachers.
     """
-    per = df.filter(F.col(score).isNotNull()).groupBy(*keys, teacher).agg(F.avg(score).alias("s"))
+    per = df.filter(F.col(score).isNotNull()).groupBy(*keys, teacher).agg(F.avg(score).cast("decimal(18,9)").alias("s"))
     cell = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(teacher).alias("t"), "s"))).alias("v"))
     left = cell.select(F.posexplode("v").alias("i", "a"), "v")
     pairs = left.select("a", F.explode(F.slice("v", F.col("i") + 2, F.greatest(F.size("v"), F.lit(1)))).alias("b"))
-    a, b = F.col("a.s"), F.col("b.s")
+    gap = F.abs(F.col("a.s") - F.col("b.s"))
+    a, b = F.col("a.s").cast("double"), F.col("b.s").cast("double")
     sd = F.stddev_samp(a) * F.stddev_samp(b)
     return pairs.groupBy(F.col("a.t").alias("teacher_a"), F.col("b.t").alias("teacher_b")).agg(
-        F.count("*").alias("cells"), F.avg(F.abs(a - b)).alias("mad"), F.percentile(F.abs(a - b), F.lit(0.5)).alias("median_ad"),
-        F.avg((F.abs(a - b) > far + 1e-9).cast("double")).alias("far_share"), F.when(sd > 1e-12, F.covar_samp(a, b) / sd).alias("r"),
+        F.count("*").alias("cells"), (F.sum(gap).cast("double") / F.count("*")).alias("mad"), F.percentile(gap.cast("double"), F.lit(0.5)).alias("median_ad"),
+        F.avg((gap > F.lit(far).cast("decimal(18,9)")).cast("double")).alias("far_share"), F.sum(gap).cast("double").alias("total"), F.when(sd > 1e-12, F.covar_samp(a, b) / sd).alias("r"),
     )
 
 

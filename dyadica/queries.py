@@ -377,10 +377,10 @@ def length_census(spark, d):
 
 
 @query(
-    f"""WITH {A}, m AS (SELECT run_id, persona_type, avg(probability_norm) + 1e-9 AS metric FROM a GROUP BY ALL) SELECT run_id, persona_type, round(metric, 6) AS metric, round(metric / avg(metric) OVER (PARTITION BY run_id) - 1, 6) AS deviation FROM m"""
+    f"""WITH {A}, m AS (SELECT run_id, persona_type, avg(probability_norm) AS metric FROM a GROUP BY ALL) SELECT run_id, persona_type, round(metric, 6) AS metric, round(metric / avg(metric) OVER (PARTITION BY run_id) - 1, 6) AS deviation FROM m"""
 )
 def facet_deviation(spark, d):
-    m = _assumptions(spark, d).groupBy("run_id", "persona_type").agg((F.avg("probability_norm") + 1e-9).alias("metric"))  # off the rounding ties
+    m = _assumptions(spark, d).groupBy("run_id", "persona_type").agg(F.avg("probability_norm").alias("metric"))
     return rounded(describe.facet_deviation(m, "run_id", "persona_type", "metric"))
 
 
@@ -904,7 +904,17 @@ def vote_aggregate(spark, d):
 SELECT ta AS teacher_a, tb AS teacher_b, count(*) AS cells, round(avg(abs(x - y)), 6) AS mad, round(quantile_cont(abs(x - y), 0.5), 6) AS median_ad, round(avg(CAST(abs(x - y) > 0.2 + 1e-9 AS INT)), 6) AS far_share, round(CASE WHEN stddev_samp(x) * stddev_samp(y) > 1e-12 THEN covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)) END, 6) AS r FROM j GROUP BY ALL"""
 )
 def teacher_agreement(spark, d):
-    return rounded(probes.teacher_agreement(_labels(spark, d), ["cell_key", "dimension"], "teacher", "score"))
+    return rounded(probes.teacher_agreement(_labels(spark, d), ["cell_key", "dimension"], "teacher", "score").drop("total"))
+
+
+@query(
+    f"""WITH {T}, m AS (SELECT cell_key, dimension, teacher, CAST(avg(score) AS DECIMAL(18, 9)) AS s FROM t WHERE score IS NOT NULL GROUP BY ALL), j AS (SELECT a.teacher AS ta, b.teacher AS tb, abs(a.s - b.s) AS g FROM m a JOIN m b ON a.cell_key = b.cell_key AND a.dimension = b.dimension AND a.teacher < b.teacher)
+SELECT ta AS teacher_a, tb AS teacher_b, count(*) AS cells, CAST(sum(g) AS DOUBLE) AS total, round(CAST(sum(g) AS DOUBLE) / count(*), 6) AS mad, round(avg(CAST(g > 0.2 AS INT)), 6) AS far_share FROM j GROUP BY ALL"""
+)
+def teacher_gaps(spark, d):
+    """Absolute differences of each pair of teachers, summed exactly."""
+    out = probes.teacher_agreement(_labels(spark, d), ["cell_key", "dimension"], "teacher", "score")
+    return rounded(out.select("teacher_a", "teacher_b", "cells", "total", "mad", "far_share"), "mad", "far_share")
 
 
 @query(
