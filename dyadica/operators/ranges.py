@@ -20,14 +20,19 @@ def ranged(df: DataFrame, group: list[str], value: str, parts: int = PARTS) -> D
     """Add ``_b``: the range of a numeric column that is never null, ascending within each group."""
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     bounds = cut_lineage(df.groupBy(*group).agg(F.array_distinct(F.percentile_approx(F.col(value), shares, 1000)).alias("_s")))
+    # Every eighth bound first, then the eight from there.
+    eighths = F.filter(F.transform(F.sequence(F.lit(1), F.lit(max(1, parts // 8))), lambda i: F.try_element_at("_s", 8 * i)), lambda x: x.isNotNull())
+    bounds = bounds.withColumn("_e", eighths)
     joined = df.join(bounds, group) if group else df.crossJoin(F.broadcast(bounds))
-    return joined.withColumn("_b", F.size(F.filter("_s", lambda x: x < F.col(value)))).drop("_s")
+    below = lambda a: F.size(F.filter(a, lambda x: x < F.col(value)))
+    coarse = joined.withColumn("_b", below("_e"))
+    return coarse.withColumn("_b", 8 * F.col("_b") + below(F.slice("_s", 8 * F.col("_b") + 1, F.lit(8)))).drop("_s", "_e")
 
 
 def running(df: DataFrame, group: list[str], value: str, amounts: dict[str, str], parts: int = PARTS) -> DataFrame:
     """Add, for each amount column and its name, the sum over all rows of the group with a lesser
     value (``name``) and over the whole group (``name_all``). Values must not repeat in a group."""
-    rows = ranged(df, group, value, parts)
+    rows = ranged(cut_lineage(df), group, value, parts)
     per = rows.groupBy(*group, "_b").agg(*[F.sum(a).alias(f"_{n}") for a, n in amounts.items()])
     before, whole = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*group)
     offsets = per.select(*group, "_b", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in amounts.values()], *[F.sum(f"_{n}").over(whole).alias(f"{n}_all") for n in amounts.values()])
