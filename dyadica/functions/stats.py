@@ -72,11 +72,21 @@ def log_gamma(x: Column) -> Column:
 
 
 def chi2_p(x: Column, dof: Column) -> Column:
-    """Upper tail of the chi-square distribution, by the Wilson-Hilferty cube root."""
-    k = dof.cast("double")
+    """Upper tail of the chi-square distribution.
+
+    Up to 200 degrees of freedom by its finite sum (as good as :func:`erfc` where they are
+    odd), above by the cube-root approximation.
+    """
+    k, h = dof.cast("double"), F.greatest(x, F.lit(0.0)) / 2
+    odd = F.pmod(dof.cast("int"), F.lit(2)) == 1
+    first = F.when(odd, 2 * F.sqrt(h / F.lit(3.141592653589793)) * F.exp(-h)).otherwise(F.exp(-h))
+    terms = F.floor(k / 2).cast("int")
+    step = lambda acc, i: F.struct((acc["term"] * h / F.when(odd, i + 0.5).otherwise(i.cast("double"))).alias("term"), (acc["total"] + acc["term"]).alias("total"))
+    series = F.aggregate(F.when((terms > 0) & (terms <= 100), F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")), F.struct(first.alias("term"), F.lit(0.0).alias("total")), step, lambda acc: acc["total"])
+    exact = F.least(F.lit(1.0), series + F.when(odd, erfc(F.sqrt(h))).otherwise(0.0))
     z = (F.pow(x / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
     upper = erfc(F.abs(z) / F.sqrt(F.lit(2.0))) / 2
-    return F.when(k > 0, F.when(k == 2, F.exp(-x / 2)).when(k == 1, normal_p(F.sqrt(x))).otherwise(F.when(z >= 0, upper).otherwise(1 - upper)))
+    return F.when(k > 0, F.when(k <= 200, exact).otherwise(F.when(z >= 0, upper).otherwise(1 - upper)))
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:

@@ -125,6 +125,15 @@ def candidate_scores(df: DataFrame, yes: str, no: str) -> DataFrame:
     return df.withColumn("logit_no", F.col(no) - F.col(yes)).withColumn("p_no", F.exp(F.col(no) - mass)).withColumn("log_candidate_mass", mass).withColumn("candidate_mass", F.exp(mass))
 
 
+def require_same_units(base: DataFrame, treated: DataFrame, unit: list[str]) -> None:
+    """An error unless both arms hold exactly the same units, once each."""
+    both = base.select(*unit, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(treated.select(*unit, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    per = both.groupBy(*unit).agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
+    row = per.agg(F.count_if(F.expr("b = 0")).alias("lost"), F.count_if(F.expr("a = 0")).alias("new"), F.count_if(F.expr("a > 1 or b > 1")).alias("repeated")).first()
+    if any(row):
+        raise ValueError(f"{row['lost']} units lack the treatment, {row['new']} the baseline, {row['repeated']} are repeated")
+
+
 def steering_effect(df: DataFrame, unit: list[str], arm: str, baseline: str, keys: list[str], value: str) -> DataFrame:
     """Mean change against the baseline on the units that were eligible there (a frozen denominator)."""
     base = df.filter(F.col(arm) == baseline).select(*unit, F.col(value).alias("_b"), F.col("eligible").alias("_e"))

@@ -973,6 +973,38 @@ def best_layer(spark, d):
     return rounded(probes.best_layer(m, ["k"], "layer"), "r2")
 
 
+@query(
+    """WITH m AS (SELECT l_returnflag AS k, l_linenumber AS layer, round(corr(l_quantity, l_extendedprice) * corr(l_quantity, l_extendedprice), 1) AS r2, sqrt(avg((l_extendedprice - l_quantity * 1500.0) * (l_extendedprice - l_quantity * 1500.0))) AS rmse FROM lineitem GROUP BY ALL)
+SELECT k, arg_max(layer, (r2, -rmse, -layer)) AS best, max(r2) AS r2 FROM m GROUP BY ALL"""
+)
+def best_layer_by_error(spark, d):
+    """The same choice where R squared ties, so that the error decides."""
+    r, e = F.corr("l_quantity", "l_extendedprice"), F.col("l_extendedprice") - F.col("l_quantity") * 1500.0
+    m = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("k"), F.col("l_linenumber").alias("layer")).agg(F.round(r * r, 1).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    return probes.best_layer(m, ["k"], "layer")
+
+
+@query(
+    f"""WITH {T.replace('parse_status FROM', 'parse_status, labelled_at FROM')}, v AS (SELECT *, coalesce(score BETWEEN 0 AND 1, false) AS ok FROM t)
+SELECT cell_key, teacher, dimension, ok, epoch_us(labelled_at) AS at FROM (SELECT *, row_number() OVER (PARTITION BY cell_key, teacher, dimension ORDER BY ok DESC, labelled_at DESC) AS r FROM v) WHERE r = 1"""
+)
+def valid_then_latest(spark, d):
+    """Per cell, teacher and dimension, the newest valid label, or else the newest."""
+    t = clean_keys(table(spark, d, "teacher_labels")).withColumn("teacher", _name(F.col("teacher_id"))).withColumn("dimension", _name(F.col("dimension"))).withColumn("score", no_nan(F.col("score")))
+    ok = F.coalesce(F.col("score").between(0, 1), F.lit(False))
+    rows = t.select(F.concat_ws("|", "cell_key", "teacher", "dimension").alias("_k"), "cell_key", "teacher", "dimension", ok.alias("ok"), F.unix_micros("labelled_at").alias("at")).distinct()
+    return attempts.latest_success(rows, "_k", "at", F.col("ok")).drop("_k")
+
+
+@query(
+    f"""WITH {A}, m AS (SELECT run_id, persona_type, avg(probability_norm) AS v FROM a GROUP BY ALL HAVING avg(probability_norm) IS NOT NULL) SELECT run_id, persona_type, round(v, 6) AS metric FROM m ORDER BY round(v, 9) DESC, run_id, persona_type LIMIT 10"""
+)
+def top_facets(spark, d):
+    """The ten facets of greatest mean probability over all models (a top-k report)."""
+    m = _assumptions(spark, d).groupBy("run_id", "persona_type").agg(F.avg("probability_norm").alias("v")).filter("v is not null")
+    return m.orderBy(F.desc(F.round("v", 9)), "run_id", "persona_type").limit(10).select("run_id", "persona_type", F.round("v", 6).alias("metric"))
+
+
 @query(
     """WITH s AS (SELECT l_linestatus, l_quantity > 25 AS t, l_extendedprice > 30000 AS g FROM lineitem), c AS (SELECT l_linestatus, count(*) AS n, avg(CAST(t = g AS INT)) AS a, CAST(sum(CAST(t AND g AS INT)) AS DOUBLE) AS tp, sum(CAST(NOT t AND g AS INT)) AS fp, sum(CAST(t AND NOT g AS INT)) AS fn FROM s GROUP BY ALL)
 SELECT l_linestatus, n, round(a, 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c"""
