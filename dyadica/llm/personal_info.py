@@ -46,6 +46,7 @@ Until Usually Yesterday You Your Monday Tuesday Wednesday Thursday Friday Saturd
 
 # Words of firms, and of places, that make a capitalised pair no person.
 FIRM = r"(?:Bakery|Ltd|Limited|Inc|LLC|LLP|GmbH|AG|Corp|Co|Sons|Partners|Bank|Group|Holdings|Caf[eé]|Restaurant|Hotel|Shop|Store|Press|Books|Motors|Foundation|University|School|College|Hospital)"
+BODY = rf"(?:{FIRM}|Nations|Union|States|Kingdom|Republic|Council|Committee|Commission|Party|Church|Court|Association|Society|Club|Team|Police|Army|Department|Ministry|Office|Museum|Library|Airport|Station|Airlines?|Street|Road|Park|Bridge|Tower|Palace|Cup|League|Festival|Day|Eve|Week|Year)"
 PLACE = r"(?:Lake|Mount|Mt|Saint|St|Port|Fort|Cape|River|Isle|Bay|Castle)"
 
 TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Sir|Dame|Herr|Frau|Monsieur|Madame|Señora?|Signora?)"
@@ -207,6 +208,8 @@ def _persons(text: str, low: str) -> Iterator[tuple[float, int, int, str]]:
             before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
             if re.match(rf" ?& \p{{Lu}}| {FIRM}\b", after) or re.search(rf"(?:\p{{L}} & |\b{PLACE} |@)$", before):
                 continue
+            if base < 0.3 and re.search(rf"\b{BODY}$", m.group()):
+                continue  # what such a word ends is no person
             introduced = NAME_BEFORE.search(before)
             if base < 0.1 and not (introduced and SINGLE_CUE.search(before)):
                 continue  # one word alone has to be called a name
