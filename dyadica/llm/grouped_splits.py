@@ -118,6 +118,7 @@ def allocate(bundles: list[tuple[float, int, int]], shares: list[float]) -> dict
     so that small groups make up for what a very large one upset; the rest is placed by flow.
     """
     k = len(shares)
+    bundles = sorted(bundles)  # ties are settled alike, in whatever order the counts came
     total = sum(a * c for a, _, c in bundles)
     quota = [s * total for s in shares]
     out: dict[tuple[int, int], list[int]] = {}
