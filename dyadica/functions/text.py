@@ -96,12 +96,13 @@ def role_text(messages: Column, role: str = "user") -> Column:
 
 def strip_think(text: Column) -> Column:
     """A completion without its <think> part, closed or cut off."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), r"(?is)<think>.*$", ""))
+    rest = F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), r"(?is)<think>.*$", "")
+    return F.regexp_replace(rest, r"(?U)^\s+|\s+$", "")
 
 
 def clean_topic_label(text: Column) -> Column:
     """First line of a generated label, without quotes, marks and a leading "Topic:"."""
-    first = F.element_at(F.split(F.trim(strip_think(text)), "\n"), 1)
+    first = F.element_at(F.split(strip_think(text), r"[\r\n]"), 1)
     bare = F.regexp_replace(first, r"""^[\s"'*`#-]*(?i:(?:topic|label)\s*:)?\s*|[\s"'*`.]+$""", "")
     return F.substring(bare, 1, 60)
 
