@@ -4,9 +4,13 @@ Cross-polytope hashes bring similar vectors into common buckets. In rounds, the
 of each bucket by a hash order is a pivot, and each vector is absorbed by the closest of its
 pivots if it is truly similar to it; what is left goes into the next round. The absorbed form
 components. Then the buckets of all tables are gone through with those components known: only
-members of different components are compared, first by a bit sketch and then exactly, which
-joins what no pivot reached. Every link that counts is verified on the whole vectors; no pairs
-within a component are formed.
+members of different components are compared, which joins what no pivot reached. Rows of a
+bucket carry a bit sketch and the vector in bytes with a bound of its error. What the sketch lets
+through and the bytes prove to be alike, bound included, is joined in the bucket, which hands
+on a link for each component joined instead of its pairs; what the bytes leave open is verified
+on the whole vectors, as are pivots. No pairs within a component are formed. The tables are gone
+through a few at a time and each step's shuffle files are deleted with it, so that disk holds
+a small multiple of the vectors.
 
 Clusters are the connected components of the links, so they do not depend on the pivots'
 order. How many hashes make a key follows from the number of vectors, so that chance meetings
@@ -18,7 +22,7 @@ about ``MISS``. Profiles reassign members to the closest medoid and recompute th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import ceil, log
 
 import numpy as np
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, discard, spread, written
 from .components import components
 
 ALIKE = 0.75
@@ -43,6 +47,12 @@ MOST_BITS = 48
 #: A bucket expected to hold more rows than this is split over tasks.
 HOT_ROWS = 50_000
 SAMPLE = 20_000
+#: Bytes of bucket rows that one pass over some tables shuffles, about, and its fewest tables.
+PASS_BYTES, PASS_TABLES = 200 << 20, 2
+#: Passes after which components are brought up to date, so that later ones compare less.
+RELABEL = (1, 4, 16, 64, 256)
+#: Pairs measured at a time.
+PAIRS = 1 << 14
 #: Floats of random projections that are kept at a time.
 KEPT = 64 << 20
 _ROTATIONS: dict[tuple, np.ndarray] = {}
@@ -121,8 +131,29 @@ def _unit(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield own, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _hashed(n: int, alike: float, first: int = 0, tables: int | None = None):
-    """(id, component, unit vector) rows to one row a table: bucket, id, component, sketch."""
+def packed(x: np.ndarray) -> np.ndarray:
+    """(vectors, 8 + dim) bytes: scale and norm of the error as floats, and the scaled numbers."""
+    scale = np.abs(x).max(1, keepdims=True) / np.float32(127)
+    q = np.rint(x / scale).astype(np.int8)
+    lost = np.linalg.norm(x.astype(np.float64) - q * scale.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
+    return np.concatenate([np.concatenate([scale, lost], 1).view(np.uint8), q.view(np.uint8)], axis=1)
+
+
+def unpacked(column: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row numbers, numbers, scale, norm of the error) of :func:`packed` rows, by their length."""
+    column = column.combine_chunks()
+    flat, offsets = np.frombuffer(column.buffers()[2], np.uint8), np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    lengths = np.diff(offsets)
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        own = flat[offsets[rows][:, None] + np.arange(n)]
+        head = np.ascontiguousarray(own[:, :8]).view(np.float32).astype(np.float64)
+        yield rows, own[:, 8:].view(np.int8), head[:, 0], head[:, 1]
+
+
+def _hashed(n: int, alike: float, first: int = 0, tables: int | None = None, whole: bool = False):
+    """(id, component, unit vector) rows to one row a table: bucket, id, component, sketch; with
+    ``whole`` also the vector in bytes. A vector has no rows of tables beyond its plan."""
     buckets = n / CHANCE_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +161,30 @@ def _hashed(n: int, alike: float, first: int = 0, tables: int | None = None):
             ids, comps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for rows, x in _unit(batch.column(2)):
                 hashes, every = hash_plan(buckets, x.shape[1], alike)
-                count = every if tables is None else tables
+                count = every - first if tables is None else min(tables, every - first)
+                if count < 1:
+                    continue
                 keys, s = bucket_keys(x, first, count, hashes), sketches(x)
                 each = [keys.ravel(), *(np.repeat(v, count) for v in (ids[rows], comps[rows], s[:, 0], s[:, 1]))]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in each], names=["bucket", "id", "comp", "s0", "s1"])
+                columns, names = [pa.array(v) for v in each], ["bucket", "id", "comp", "s0", "s1"]
+                if whole:
+                    q = np.repeat(packed(x), count, axis=0)
+                    offsets = np.arange(len(q) + 1, dtype=np.int32) * np.int32(q.shape[1])
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer(offsets), pa.py_buffer(q)]))
+                    names.append("q")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _planned(n: int, alike: float):
+    """Lengths of vectors to their tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(0).to_numpy(zero_copy_only=False)
+            if len(dims):
+                yield pa.RecordBatch.from_arrays([pa.array(dims), pa.array([hash_plan(n / CHANCE_ROWS, int(d), alike)[1] for d in dims], pa.int32())], names=["dim", "tables"])
 
     return run
 
@@ -180,7 +231,44 @@ def _bucket_pairs(group: np.ndarray, ids: np.ndarray, comps: np.ndarray, s: np.n
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of each one's set, once the sets of a and b are joined; roots come as such."""
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(after := root[root], root):
+            root = after
+
+
+def bucket_links(group, ids, comps, s, side, q, scale, lost, alike) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sure): a link from each component that is joined to the least of those it is joined
+    with, and the pairs of ids of other components that the bytes of the vectors leave open."""
+    names, c = np.unique(comps, return_inverse=True)
+    root, open_ = np.arange(len(names)), []
+    exact = np.float32 if q.shape[1] <= 1024 else np.float64  # sums of products of bytes
+    for i, j in _pair_blocks(group, comps, s, side):
+        for at in range(0, len(i), PAIRS):
+            x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+            apart = root[c[x]] != root[c[y]]
+            x, y = x[apart], y[apart]
+            if not len(x):
+                continue
+            dot = np.einsum("ij,ij->i", q[x].astype(exact), q[y].astype(exact)) * scale[x] * scale[y]
+            slack = lost[x] * (1 + lost[y]) + lost[y] + 1e-5
+            sure = dot - slack >= alike
+            root = _merged(root, c[x[sure]], c[y[sure]])
+            maybe = ~sure & (dot + slack >= alike)
+            open_.append((x[maybe], y[maybe]))
+    x, y = (np.concatenate([o[k] for o in open_]) if open_ else np.zeros(0, np.int64) for k in (0, 1))
+    still = (root[c[x]] != root[c[y]]) & (ids[x] != ids[y])
+    x, y, moved = x[still], y[still], np.flatnonzero(root != np.arange(len(root)))
+    a, b = np.r_[names[moved], np.minimum(ids[x], ids[y])], np.r_[names[root[moved]], np.maximum(ids[x], ids[y])]
+    return a, b, np.arange(len(a)) < len(moved)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], alike: float) -> Iterator[pa.RecordBatch]:
     """Stream rows ordered by bucket, slice and component; a bucket may span batches."""
     held: list[pa.RecordBatch] = []
 
@@ -188,11 +276,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         col = {c: part[c].to_numpy() for c in ("bucket", "slice", "id", "comp", "s0", "s1", "side")}
         group = col["bucket"] * 1_000_003 + col["slice"]
         words = np.stack([col["s0"], col["s1"]], 1).view(np.uint64)  # signed words would count wrongly
-        for i, j in _pair_blocks(group, col["comp"], words, col["side"]):
-            a, b = np.minimum(col["id"][i], col["id"][j]), np.maximum(col["id"][i], col["id"][j])
-            keep = a != b
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        for rows, q, scale, lost in unpacked(part["q"]):  # a bucket's vectors are of one length
+            a, b, sure = bucket_links(group[rows], col["id"][rows], col["comp"][rows], words[rows], col["side"][rows], q, scale, lost, alike)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], names=["a", "b", "sure"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -235,22 +322,31 @@ def _labelled(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return vectors.join(named, vectors["id"] == named["node"], "left").select("id", F.coalesce("label", "id").alias("comp"), "v")
 
 
-def _sliced(rows: DataFrame, vectors: DataFrame, alike: float, total: int) -> DataFrame:
-    """Add ``slice`` and ``side``: hot buckets are split into blocks, and slices hold two of them.
-
-    The rows of the leading component go to blocks of their own, which are held against the
-    blocks of the rest; those are held against each other. Which buckets are hot is estimated
-    from a bounded sample of rows; the result does not depend on it.
+def _hot(vectors: DataFrame, alike: float, total: int) -> DataFrame | None:
+    """(bucket, lead, p, q_blocks) of the hot buckets of all tables: the leading component, and in how many
+    blocks its rows and the rest are split. Estimated from a bounded sample of rows.
     """
     if total <= HOT_ROWS:
-        return rows.withColumns({"slice": F.lit(0), "side": F.lit(-1).cast("byte")})
+        return None
     share = min(1.0, SAMPLE / total)
     taken = vectors.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share)).mapInArrow(_hashed(total, alike), BUCKET_ROWS)
     counts = taken.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.max_by("comp", "count").alias("lead"), F.max("count").alias("most"))
     # A bucket with over HOT_ROWS of the rows is one with a fixed share of the sample.
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / share / HOT_ROWS).cast("int"))
-    hot = counts.filter(F.col("n") > max(20, HOT_ROWS * share)).select("bucket", "lead", blocks(F.col("most")).alias("p"), blocks(F.col("n") - F.col("most")).alias("q"))
-    out = rows.join(F.broadcast(cut_lineage(hot)), "bucket", "left")  # at most SAMPLE / 20 buckets a table
+    hot = counts.filter(F.col("n") > max(20, HOT_ROWS * share)).select("bucket", "lead", blocks(F.col("most")).alias("p"), blocks(F.col("n") - F.col("most")).alias("q_blocks"))
+    return written(hot, sweep=True)  # at most SAMPLE / 20 buckets a table
+
+
+def _sliced(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Add ``slice`` and ``side``: hot buckets are split into blocks, and slices hold two of them.
+
+    The rows of the leading component go to blocks of their own, which are held against the
+    blocks of the rest; those are held against each other. The result depends neither on which
+    buckets are hot nor on which component leads.
+    """
+    if hot is None:
+        return rows.withColumns({"slice": F.lit(0), "side": F.lit(-1).cast("byte")})
+    out = rows.join(F.broadcast(hot), "bucket", "left").withColumnRenamed("q", "bytes").withColumnRenamed("q_blocks", "q")
     p, q, code = F.col("p"), F.col("q"), F.xxhash64("id", F.lit(3))
     at = lambda slice_, side: F.struct(slice_.cast("int").alias("slice"), side.cast("byte").alias("side"))
     i, j = F.pmod(code, p).cast("int"), F.pmod(code, q).cast("int")
@@ -258,7 +354,7 @@ def _sliced(rows: DataFrame, vectors: DataFrame, alike: float, total: int) -> Da
     against = F.transform(F.sequence(F.lit(0), p - 1), lambda x: at(x * q + j, F.lit(1)))
     among = F.transform(F.sequence(F.lit(0), q - 1), lambda y: at(p * q + F.least(j, y) * q + F.greatest(j, y), F.when(y == j, -1).when(j < y, 0).otherwise(1)))
     where = F.when(p.isNull(), F.array(at(F.lit(0), F.lit(-1)))).when(F.col("comp") == F.col("lead"), lead).otherwise(F.concat(against, among))
-    return out.withColumn("x", F.explode(where)).select("bucket", "x.slice", "x.side", "id", "comp", "s0", "s1")
+    return out.withColumn("x", F.explode(where)).select("bucket", "x.slice", "x.side", "id", "comp", "s0", "s1", F.col("bytes").alias("q"))
 
 
 def _nearest_pivots(active: DataFrame, n: int, alike: float, first: int, choices: int) -> DataFrame:
@@ -290,36 +386,59 @@ def similar_groups(df: DataFrame, key: str, vector: str, alike: float = ALIKE, c
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v")).filter("id is not null and size(v) > 0")
     rows = rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    vectors = cut_lineage(spread(rows.withColumn("norm", norm).filter("norm > 0")))
+    vectors = written(spread(rows.withColumn("norm", norm).filter("norm > 0")), sweep=True)
     total = vectors.count()
 
-    active, absorbed = vectors.select("id", "v"), None
+    active, rounds, spent = vectors.select("id", "v"), [], []
     for r in range(ROUNDS):
         met = _nearest_pivots(active, total, alike, r * ROUND_TABLES, choices)
-        found = cut_lineage(_measured(met, vectors, alike).select("a", "b").distinct())
-        absorbed = found if absorbed is None else absorbed.union(found)
+        met = written(met, sweep=True)
+        found = written(_measured(met, vectors, alike).select("a", "b").distinct(), sweep=True)
+        discard(met)
+        rounds.append(found)
         if r + 1 < ROUNDS:
             active = active.join(found.select(F.col("a").alias("id")).distinct().hint("merge"), "id", "left_anti")
-    labels = cut_lineage(components(absorbed))
-
-    # All tables, between components only.
-    known = cut_lineage(_labelled(vectors, labels))
-    hashed = _sliced(known.mapInArrow(_hashed(total, alike), BUCKET_ROWS), known, alike, total)
-    found = cut_lineage(_measured(_compared(hashed), vectors, alike).select("a", "b").distinct())
-    if not found.isEmpty():
-        labels = components(absorbed.union(found))
+    absorbed = written(reduce(DataFrame.union, rounds), sweep=True)
+    discard(*rounds)
+    labels = components(absorbed, lean=True)
+
+    # All tables, some at a time, between components only.
+    known = written(_labelled(vectors, labels), sweep=True)
+    hot = _hot(known, alike, total)
+    plan = vectors.select(F.size("v").alias("dim")).distinct().mapInArrow(_planned(total, alike), "dim int, tables int").agg(F.max("dim"), F.max("tables")).first()
+    step = max(PASS_TABLES, PASS_BYTES // (max(1, total) * ((plan[0] or 0) + 40)))
+    links, doubts, new = absorbed, None, False
+    for k, first in enumerate(range(0, plan[1] or 0, step), 1):
+        hashed = known.mapInArrow(_hashed(total, alike, first, step, True), f"{BUCKET_ROWS}, q binary")
+        found = written(_compared(_sliced(hashed, hot), alike), sweep=True)
+        spent.append(found)
+        links, new = links.union(found.filter("sure").select("a", "b")), True
+        open_ = found.filter("not sure").select("a", "b")
+        doubts = open_ if doubts is None else doubts.union(open_)
+        if k in RELABEL and first + step < plan[1] and not found.filter("sure").isEmpty():
+            discard(labels)
+            labels, new = components(links, lean=True), False
+            last, known = known, written(_labelled(vectors, labels), sweep=True)
+            discard(last)
+    discard(known, *([] if hot is None else [hot]))
+    if new:
+        verified = written(_measured(doubts.distinct(), vectors, alike).select("a", "b"), sweep=True)
+        last, labels = labels, components(links.union(verified), lean=True)
+        discard(last, verified)
+    discard(*spent)
     return vectors, labels.select(F.col("node").alias("id"), F.col("label").alias("cluster")), absorbed
 
 
-def _compared(hashed: DataFrame) -> DataFrame:
+def _compared(hashed: DataFrame, alike: float) -> DataFrame:
     ordered = hashed.repartition("bucket", "slice").sortWithinPartitions("bucket", "slice", "comp")
-    lean = ordered.select("bucket", "slice", "id", "comp", "s0", "s1", "side")
-    return lean.mapInArrow(_compare, "a long, b long").distinct()
+    lean = ordered.select("bucket", "slice", "id", "comp", "s0", "s1", "side", "q")
+    return lean.mapInArrow(lambda batches: _compare(batches, alike), "a long, b long, sure boolean").distinct()
 
 
 def cluster_members(df: DataFrame, key: str, vector: str, alike: float = ALIKE) -> DataFrame:
     """(key, cluster_id) of every member of every cluster; see :func:`similar_groups`."""
-    _, clusters, _ = similar_groups(df, key, vector, alike)
+    vectors, clusters, pivots = similar_groups(df, key, vector, alike)
+    discard(vectors, pivots)
     return clusters.select(F.col("id").alias(key), F.col("cluster").alias("cluster_id"))
 
 

@@ -78,15 +78,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+#: Whether Spark deletes a query's shuffle files as it ends, not when its driver collects garbage.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, sweep: bool = False) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
     Like :func:`cut_lineage`, but columnar and several times smaller, for large tables. A
     table stays until :func:`discard` or :func:`release`, as results may still be read from it.
+    With ``sweep``, the shuffle files that made it are deleted as soon as it stands.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/dyadica-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SWEEP, "false")
+    spark.conf.set(SWEEP, "true" if sweep else before)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SWEEP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._dyadica_path = path
     sc = spark.sparkContext
