@@ -8,7 +8,7 @@ members of different components are compared, which joins what no pivot reached.
 bucket carry a bit sketch and the vector in bytes with a bound of its error. What the sketch lets
 through and the bytes prove to be alike, bound included, is joined in the bucket, which hands
 on a link for each component joined instead of its pairs; what the bytes leave open is verified
-on the whole vectors, as are pivots. No pairs within a component are formed. The tables are gone
+on the whole vectors, and so it is with pivots. No pairs within a component are formed. The tables are gone
 through a few at a time and each step's shuffle files are deleted with it, so that disk holds
 a small multiple of the vectors.
 
@@ -48,9 +48,11 @@ MOST_BITS = 48
 HOT_ROWS = 50_000
 SAMPLE = 20_000
 #: Bytes of bucket rows that one pass over some tables shuffles, about, and its fewest tables.
-PASS_BYTES, PASS_TABLES = 200 << 20, 2
+PASS_BYTES, PASS_TABLES = 96 << 20, 2
 #: Passes after which components are brought up to date, so that later ones compare less.
 RELABEL = (1, 4, 16, 64, 256)
+#: Whole vectors are labelled in parts of so many bytes, but this many parts at most, so that one part's shuffle is on disk at a time.
+PART_BYTES, PARTS = 64 << 20, 4
 #: Pairs measured at a time.
 PAIRS = 1 << 14
 #: Floats of random projections that are kept at a time.
@@ -139,9 +141,22 @@ def packed(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.concatenate([scale, lost], 1).view(np.uint8), q.view(np.uint8)], axis=1)
 
 
-def unpacked(column: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _binary(q: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(q) + 1, dtype=np.int32) * np.int32(q.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(q))])
+
+
+def decided(x: tuple, y: tuple, alike: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sure, open) of pairs of (numbers, scale, norm of the error): alike for certain; not known from the bytes."""
+    exact = np.float32 if x[0].shape[1] <= 1024 else np.float64  # sums of products of bytes
+    dot = np.einsum("ij,ij->i", x[0].astype(exact), y[0].astype(exact)) * x[1] * y[1]
+    slack = x[2] * (1 + y[2]) + y[2] + 1e-5
+    return dot - slack >= alike, (dot - slack < alike) & (dot + slack >= alike)
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row numbers, numbers, scale, norm of the error) of :func:`packed` rows, by their length."""
-    column = column.combine_chunks()
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat, offsets = np.frombuffer(column.buffers()[2], np.uint8), np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     lengths = np.diff(offsets)
     for n in np.unique(lengths):
@@ -168,9 +183,7 @@ def _hashed(n: int, alike: float, first: int = 0, tables: int | None = None, who
                 each = [keys.ravel(), *(np.repeat(v, count) for v in (ids[rows], comps[rows], s[:, 0], s[:, 1]))]
                 columns, names = [pa.array(v) for v in each], ["bucket", "id", "comp", "s0", "s1"]
                 if whole:
-                    q = np.repeat(packed(x), count, axis=0)
-                    offsets = np.arange(len(q) + 1, dtype=np.int32) * np.int32(q.shape[1])
-                    columns.append(pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer(offsets), pa.py_buffer(q)]))
+                    columns.append(_binary(np.repeat(packed(x), count, axis=0)))
                     names.append("q")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -247,7 +260,6 @@ def bucket_links(group, ids, comps, s, side, q, scale, lost, alike) -> tuple[np.
     with, and the pairs of ids of other components that the bytes of the vectors leave open."""
     names, c = np.unique(comps, return_inverse=True)
     root, open_ = np.arange(len(names)), []
-    exact = np.float32 if q.shape[1] <= 1024 else np.float64  # sums of products of bytes
     for i, j in _pair_blocks(group, comps, s, side):
         for at in range(0, len(i), PAIRS):
             x, y = i[at : at + PAIRS], j[at : at + PAIRS]
@@ -255,11 +267,8 @@ def bucket_links(group, ids, comps, s, side, q, scale, lost, alike) -> tuple[np.
             x, y = x[apart], y[apart]
             if not len(x):
                 continue
-            dot = np.einsum("ij,ij->i", q[x].astype(exact), q[y].astype(exact)) * scale[x] * scale[y]
-            slack = lost[x] * (1 + lost[y]) + lost[y] + 1e-5
-            sure = dot - slack >= alike
+            sure, maybe = decided((q[x], scale[x], lost[x]), (q[y], scale[y], lost[y]), alike)
             root = _merged(root, c[x[sure]], c[y[sure]])
-            maybe = ~sure & (dot + slack >= alike)
             open_.append((x[maybe], y[maybe]))
     x, y = (np.concatenate([o[k] for o in open_]) if open_ else np.zeros(0, np.int64) for k in (0, 1))
     still = (root[c[x]] != root[c[y]]) & (ids[x] != ids[y])
@@ -317,9 +326,49 @@ def _measured(pairs: DataFrame, vectors: DataFrame, alike: float) -> DataFrame:
     return both.filter(dot >= F.lit(alike) * norms).select("a", "b", (dot / norms).alias("cosine"))
 
 
-def _labelled(vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    named = labels.hint("merge")
-    return vectors.join(named, vectors["id"] == named["node"], "left").select("id", F.coalesce("label", "id").alias("comp"), "v")
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, vector) rows to (id, bytes)."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for rows, x in _unit(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), _binary(packed(x))], names=["id", "q"])
+
+
+def _judged(batches: Iterator[pa.RecordBatch], alike: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, bytes of a, bytes of b) to the pairs that are alike and those that the bytes leave open."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        right = {own[1].shape[1]: own for own in unpacked(batch.column(3))}
+        for rows, *x in unpacked(batch.column(2)):
+            if (own := right.get(x[0].shape[1])) is not None:
+                both, i, j = np.intersect1d(rows, own[0], assume_unique=True, return_indices=True)
+                sure, maybe = decided([v[i] for v in x], [v[j] for v in own[1:]], alike)
+                at = both[sure | maybe]
+                yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(sure[sure | maybe])], names=["a", "b", "sure"])
+
+
+def _verified(pairs: DataFrame, vectors: DataFrame, alike: float) -> DataFrame:
+    """The pairs (a, b) that are alike, as a table: by their bytes, and by the whole vectors where those leave it open."""
+    q = vectors.select("id", "v").mapInArrow(_packed, "id long, q binary")
+    left, right = q.select(F.col("id").alias("a"), F.col("q").alias("qa")), q.select(F.col("id").alias("b"), F.col("q").alias("qb"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "qa", "qb")
+    judged = written(both.mapInArrow(lambda batches: _judged(batches, alike), "a long, b long, sure boolean").distinct(), sweep=True)
+    rest = _measured(judged.filter("not sure").select("a", "b"), vectors, alike).select("a", "b")
+    out = written(judged.filter("sure").select("a", "b").union(rest).distinct(), sweep=True)
+    discard(judged)
+    return out
+
+
+def _labelled(vectors: DataFrame, labels: DataFrame, parts: int) -> list[DataFrame]:
+    """(id, comp, v, norm) as tables of :func:`written`, one after the other."""
+    named, made = labels.hint("merge"), []
+    for k in range(parts):
+        own = lambda c: F.pmod(F.xxhash64(c, F.lit(9)), F.lit(parts)) == k
+        rows = vectors.filter(own("id")).join(named.filter(own("node")), F.col("id") == F.col("node"), "left")
+        made.append(written(rows.select("id", F.coalesce("label", "id").alias("comp"), "v", "norm"), sweep=True))
+    return made
 
 
 def _hot(vectors: DataFrame, alike: float, total: int) -> DataFrame | None:
@@ -357,13 +406,15 @@ def _sliced(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     return out.withColumn("x", F.explode(where)).select("bucket", "x.slice", "x.side", "id", "comp", "s0", "s1", F.col("bytes").alias("q"))
 
 
-def _nearest_pivots(active: DataFrame, n: int, alike: float, first: int, choices: int) -> DataFrame:
-    """(a, b) of each active vector and its closest pivots by sketch, of one round's tables.
+def _nearest_pivots(vectors: DataFrame, absorbed: DataFrame | None, n: int, alike: float, first: int, choices: int) -> DataFrame:
+    """(a, b) of each vector that is not absorbed and its closest pivots by sketch, of one round's tables.
 
     A bucket's pivot is its least vector by a hash order.
     """
-    rows = active.select("id", F.col("id").alias("comp"), "v").mapInArrow(_hashed(n, alike, first, ROUND_TABLES), BUCKET_ROWS)
-    rows = rows.select("bucket", "id", "s0", "s1", F.xxhash64("id").alias("prio"))
+    rows = vectors.select("id", F.col("id").alias("comp"), "v").mapInArrow(_hashed(n, alike, first, ROUND_TABLES), BUCKET_ROWS)
+    if absorbed is not None:
+        rows = rows.join(absorbed.select("id").distinct().hint("merge"), "id", "left_anti")
+    rows = rows.select("bucket", "id", "s0", "s1").repartition("bucket").withColumn("prio", F.xxhash64("id"))
     least = rows.groupBy("bucket").agg(F.min(F.struct("prio", "id", "s0", "s1")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("bucket", "p")
     far = F.bit_count(F.col("s0").bitwiseXOR(F.col("p.s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("p.s1")))
     met = rows.join(least.hint("merge"), "bucket").filter("p.id <> id").select("id", F.struct(far.alias("far"), F.col("p.id").alias("b")).alias("c"))
@@ -373,10 +424,11 @@ def _nearest_pivots(active: DataFrame, n: int, alike: float, first: int, choices
     return best.select(F.col("id").alias("a"), F.explode(F.slice("all", 1, choices)).alias("c")).select("a", F.col("c.b").alias("b"))
 
 
-def similar_groups(df: DataFrame, key: str, vector: str, alike: float = ALIKE, choices: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vectors, clusters, pivots): the usable vectors (id, v, norm); (id, cluster) of every
+def similar_groups(df: DataFrame, key: str, vector: str, alike: float = ALIKE, choices: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(vectors, clusters, pivots, tables): the usable vectors (id, v, norm); (id, cluster) of every
     member of a cluster of two or more, ``cluster`` being its least id; and (a, b), the pivots b
-    that vectors a were held against, ``choices`` a round, and found alike.
+    that vectors a were held against, ``choices`` a round, and found alike; and the tables that
+    vectors and pivots are read from.
 
     Vectors that are null, empty, all zero or hold null, NaN or infinite numbers, and rows with a null key,
     belong to no cluster. Vectors of different lengths are never alike. A row repeated under
@@ -389,27 +441,28 @@ def similar_groups(df: DataFrame, key: str, vector: str, alike: float = ALIKE, c
     vectors = written(spread(rows.withColumn("norm", norm).filter("norm > 0")), sweep=True)
     total = vectors.count()
 
-    active, rounds, spent = vectors.select("id", "v"), [], []
+    rounds, spent = [], []
     for r in range(ROUNDS):
-        met = _nearest_pivots(active, total, alike, r * ROUND_TABLES, choices)
-        met = written(met, sweep=True)
-        found = written(_measured(met, vectors, alike).select("a", "b").distinct(), sweep=True)
+        gone = reduce(DataFrame.union, rounds).select(F.col("a").alias("id")) if rounds else None
+        met = written(_nearest_pivots(vectors, gone, total, alike, r * ROUND_TABLES, choices), sweep=True)
+        found = _verified(met, vectors, alike)
         discard(met)
         rounds.append(found)
-        if r + 1 < ROUNDS:
-            active = active.join(found.select(F.col("a").alias("id")).distinct().hint("merge"), "id", "left_anti")
     absorbed = written(reduce(DataFrame.union, rounds), sweep=True)
     discard(*rounds)
     labels = components(absorbed, lean=True)
 
     # All tables, some at a time, between components only.
-    known = written(_labelled(vectors, labels), sweep=True)
-    hot = _hot(known, alike, total)
     plan = vectors.select(F.size("v").alias("dim")).distinct().mapInArrow(_planned(total, alike), "dim int, tables int").agg(F.max("dim"), F.max("tables")).first()
+    parts = min(PARTS, 1 + total * (plan[0] or 0) * 4 // PART_BYTES)
+    tables = _labelled(vectors, labels, parts)
+    discard(vectors)
+    known = reduce(DataFrame.union, tables)
+    hot = _hot(known.select("id", "comp", "v"), alike, total)
     step = max(PASS_TABLES, PASS_BYTES // (max(1, total) * ((plan[0] or 0) + 40)))
     links, doubts, new = absorbed, None, False
     for k, first in enumerate(range(0, plan[1] or 0, step), 1):
-        hashed = known.mapInArrow(_hashed(total, alike, first, step, True), f"{BUCKET_ROWS}, q binary")
+        hashed = known.select("id", "comp", "v").mapInArrow(_hashed(total, alike, first, step, True), f"{BUCKET_ROWS}, q binary")
         found = written(_compared(_sliced(hashed, hot), alike), sweep=True)
         spent.append(found)
         links, new = links.union(found.filter("sure").select("a", "b")), True
@@ -418,15 +471,17 @@ def similar_groups(df: DataFrame, key: str, vector: str, alike: float = ALIKE, c
         if k in RELABEL and first + step < plan[1] and not found.filter("sure").isEmpty():
             discard(labels)
             labels, new = components(links, lean=True), False
-            last, known = known, written(_labelled(vectors, labels), sweep=True)
-            discard(last)
-    discard(known, *([] if hot is None else [hot]))
+            last, tables = tables, _labelled(known, labels, parts)
+            discard(*last)
+            known = reduce(DataFrame.union, tables)
+    vectors = known.select("id", "v", "norm")
+    discard(*([] if hot is None else [hot]))
     if new:
         verified = written(_measured(doubts.distinct(), vectors, alike).select("a", "b"), sweep=True)
         last, labels = labels, components(links.union(verified), lean=True)
         discard(last, verified)
     discard(*spent)
-    return vectors, labels.select(F.col("node").alias("id"), F.col("label").alias("cluster")), absorbed
+    return vectors, labels.select(F.col("node").alias("id"), F.col("label").alias("cluster")), absorbed, [*tables, absorbed]
 
 
 def _compared(hashed: DataFrame, alike: float) -> DataFrame:
@@ -437,8 +492,8 @@ def _compared(hashed: DataFrame, alike: float) -> DataFrame:
 
 def cluster_members(df: DataFrame, key: str, vector: str, alike: float = ALIKE) -> DataFrame:
     """(key, cluster_id) of every member of every cluster; see :func:`similar_groups`."""
-    vectors, clusters, pivots = similar_groups(df, key, vector, alike)
-    discard(vectors, pivots)
+    _, clusters, _, tables = similar_groups(df, key, vector, alike)
+    discard(*tables)
     return clusters.select(F.col("id").alias(key), F.col("cluster").alias("cluster_id"))
 
 
@@ -466,7 +521,7 @@ def cluster_profiles(df: DataFrame, key: str, vector: str, alike: float = ALIKE,
     medoids are computed again; those of the largest groups are given as ``medoids``. ``spread``
     is 1 less the mean similarity of two members.
     """
-    vectors, clusters, met = similar_groups(df, key, vector, alike, 2)
+    vectors, clusters, met, _ = similar_groups(df, key, vector, alike, 2)
     clusters = cut_lineage(clusters)
     own = clusters.join(vectors.hint("merge"), "id").withColumn("u", F.transform("v", lambda x: x / F.col("norm"))).select("id", "cluster", "u")
     own = cut_lineage(own)
